@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, toxicity
+from lodestream.llm import bpe, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.trained(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -29,8 +33,8 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe}
+    return {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality": quality.SQL}
