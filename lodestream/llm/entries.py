@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, neardup, quality, toxicity
+from lodestream.llm import bpe, decontam, neardup, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,13 +32,17 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"], with_ids=False)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op8_near_duplicates": op8_near_duplicates}
+    return {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op6_decontamination": op6_decontamination, "op8_near_duplicates": op8_near_duplicates}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": quality.SQL, "op8_near_duplicates": neardup.SQL}
+    return {"op1_quality": quality.SQL, "op6_decontamination": decontam.SQL, "op8_near_duplicates": neardup.SQL}
