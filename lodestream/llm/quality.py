@@ -107,10 +107,11 @@ def thresholds(rows: DataFrame, lang: str = "lang", source: str = "source") -> D
     over_all = by_lang.groupBy("measure", "bucket").agg(F.sum("n").alias("n")).withColumn("__all", F.lit(1))
     own = fences(base, [lang, source]).select(F.col(lang).alias("__lang"), F.col(source).alias("__source"), F.struct("group_rows", *LIMITS).alias("own"))
     wide = fences(by_lang, [lang]).select(F.col(lang).alias("__lang2"), F.struct("group_rows", *LIMITS).alias("wide"))
-    widest = fences(over_all, ["__all"]).select("__all", F.struct("group_rows", *LIMITS).alias("widest"))
-    pick = F.when(F.col("own.group_rows") >= LEAST_GROUP, F.col("own")).when(F.col("wide.group_rows") >= LEAST_GROUP, F.col("wide")).otherwise(F.col("widest"))
-    joined = own.join(wide, F.col("__lang").eqNullSafe(F.col("__lang2"))).withColumn("__all", F.lit(1)).join(widest, "__all")
-    return joined.select("__lang", "__source", pick.alias("limits"))
+    # One row of a few numbers.
+    widest = fences(over_all, ["__all"]).select("group_rows", *LIMITS).first()
+    last = F.struct(*[F.lit(widest[k] if widest else None).cast("long").alias(k) for k in ["group_rows", *LIMITS]])
+    pick = F.when(F.col("own.group_rows") >= LEAST_GROUP, F.col("own")).when(F.col("wide.group_rows") >= LEAST_GROUP, F.col("wide")).otherwise(last)
+    return own.join(wide, F.col("__lang").eqNullSafe(F.col("__lang2"))).select("__lang", "__source", pick.alias("limits"))
 
 
 def judged(rows: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
