@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, decontam, neardup, quality, toxicity
+from lodestream.llm import bpe, decontam, neardup, quality, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +36,17 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sharding.sharded(table(spark, sf_dir, "documents"), shards=8)
+    return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op6_decontamination": op6_decontamination, "op8_near_duplicates": op8_near_duplicates}
+    return {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op6_decontamination": op6_decontamination, "op7_sharding": op7_sharding, "op8_near_duplicates": op8_near_duplicates}
 
 
 def oracle_sql() -> dict[str, str]:
