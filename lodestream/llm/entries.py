@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, decontam, neardup, quality, sharding, toxicity
+from lodestream.llm import bpe, decontam, neardup, pii, quality, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"], with_ids=False)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find_documents(docs, pii.trained(docs), keep=["doc_id"])
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
@@ -46,7 +51,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op6_decontamination": op6_decontamination, "op7_sharding": op7_sharding, "op8_near_duplicates": op8_near_duplicates}
+    return {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_pii": op4_pii, "op6_decontamination": op6_decontamination, "op7_sharding": op7_sharding, "op8_near_duplicates": op8_near_duplicates}
 
 
 def oracle_sql() -> dict[str, str]:
