@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, decontam, neardup, pii, quality, sharding, toxicity
+from lodestream.llm import bpe, decontam, licenses, neardup, pii, quality, sharding, tokencount, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_documents(docs, pii.trained(docs), keep=["doc_id"])
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
@@ -50,8 +54,13 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_pii": op4_pii, "op6_decontamination": op6_decontamination, "op7_sharding": op7_sharding, "op8_near_duplicates": op8_near_duplicates}
+    return {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_pii": op4_pii, "op5_licenses": op5_licenses, "op6_decontamination": op6_decontamination, "op7_sharding": op7_sharding, "op8_near_duplicates": op8_near_duplicates, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
