@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, decontam, licenses, neardup, pii, quality, sharding, tokencount, toxicity
+from lodestream.llm import bpe, decontam, licenses, neardup, pii, quality, sharding, tokencount, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,14 +54,18 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokencount.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_pii": op4_pii, "op5_licenses": op5_licenses, "op6_decontamination": op6_decontamination, "op7_sharding": op7_sharding, "op8_near_duplicates": op8_near_duplicates, "op10_token_counts": op10_token_counts}
+    return {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_pii": op4_pii, "op5_licenses": op5_licenses, "op6_decontamination": op6_decontamination, "op7_sharding": op7_sharding, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": quality.SQL, "op6_decontamination": decontam.SQL, "op8_near_duplicates": neardup.SQL}
+    return {"op1_quality": quality.SQL, "op6_decontamination": decontam.SQL, "op8_near_duplicates": neardup.SQL, "op9_warc": warc.SQL}
