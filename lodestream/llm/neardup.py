@@ -3,10 +3,12 @@
 A text's set holds its distinct 4-word shingles. Texts with equal sets form a class. A class's sketch has T coordinates;
 in round i every shingle is placed in a hashed bin, from round T on in bin i - T, and rounds go on until each bin is
 filled, so no coordinate is ever empty and equal coordinates estimate the Jaccard similarity with the concentration of
-independent samples. Bands of sketch coordinates give buckets. In each bucket all classes are compared with one pivot;
-what those exact comparisons leave open (members of different components whose distances to the pivot don't rule a link
-out by the triangle inequality) is compared in a second round. Links make components by hooking and pointer jumping.
-Nothing is collected: every step is a join or an aggregation whose rows grow with the number of texts.
+independent samples. Bands of sketch coordinates give buckets. In each bucket all classes are compared with one pivot.
+Buckets whose members still lie in several components are open: for their members, the shingles that no other open member
+has are counted, which bounds the similarity of any two. The member with the least share of own shingles is the next
+pivot, the hub. What is then still open is compared pair by pair, where two members' differences from the hub share one
+among their rarest, as those of linked sets must, and the bound doesn't rule a link out. Links make components by hooking and pointer jumping. Nothing is collected: every step is a join or an
+aggregation.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,16 +144,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "shared", "joint"])
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) for nodes: the text of each class's least document."""
+    wanted = nodes.join(classes.select("node", "least_doc"), "node")
+    # A doc_id with several texts brings them all; the digest picks the right one.
+    return _right_texts(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("least_doc"))).select("node", "text"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (a, b) of nodes with shared and joint, the exact sizes of intersection and union of their whole sets.
 
     Sizes that differ by more than 2.5 times count as sharing nothing: the similarity is then at most 0.4.
     """
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = ends.join(classes.select("node", "least_doc"), "node")
-    # A doc_id with several texts brings them all; the digest picks the right one.
-    found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("least_doc"))).select("node", "text")
-    texts = stored(_right_texts(found), "neardup-texts")
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     joined = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
@@ -198,52 +202,153 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """
     ship(df.sparkSession)
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = stored(sketched(docs, "doc_id", "text"), "neardup-sketches")
-    classes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least_doc"), F.first("bands").alias("bands"))
+    sketches = stored(sketched(docs, "doc_id", "text"), "neardup-sketches")
+    classes = sketches.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least_doc"), F.first("bands").alias("bands"))
     classes = stored(classes, "neardup-classes")
     members = classes.select("node", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot")
     placed = stored(members.join(buckets, "key").select("key", "node", "pivot"), "neardup-buckets")
+    texts = stored(texts_of(placed.select("node").distinct(), classes, docs), "neardup-texts")
     pairs = placed.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    tested = stored(verified(pairs, classes, docs), "neardup-tested")
+    tested = stored(verified(pairs, texts), "neardup-tested")
     linked = f"100 * shared >= {LINK_PERCENT} * joint"
     labels = components(tested.filter(linked))
-    more = _open_pairs(placed, tested, labels)
-    again = stored(verified(more, classes, docs), "neardup-tested") if not more.isEmpty() else None
-    if again is not None:
-        labels = components(tested.union(again).filter(linked))
+    rows = _open_rows(placed, tested, labels)
+    if not rows.isEmpty():
+        sets = stored(_sets(rows, texts), "neardup-open-sets")
+        rows = stored(rows.join(_own_shingles(sets), "node"), "neardup-open")
+        for pairs in (_hub_pairs, _remaining_pairs):
+            more = stored(pairs(rows, sets, tested), "neardup-open-pairs")
+            tested = tested.union(stored(verified(more, texts), "neardup-tested"))
+            labels = components(tested.filter(linked))
+            rows = rows.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     by_class = classes.select("node", "least_doc").join(labels, "node", "left").select("node", "least_doc", F.coalesce("comp", "node").alias("comp"))
     by_class = stored(by_class, "neardup-components")
     least = by_class.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
     named = by_class.join(least, "comp").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    out = sketches.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _open_pairs(placed: DataFrame, tested: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs in a bucket that may still be linked across components.
+def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """df without the rows that near_duplicates() doesn't keep, and with one row of each that repeats; all columns kept.
 
-    Only buckets whose pivot failed a member in another component are open. In each, members outside the component with
-    the most members meet the members of other components; a pair whose distances to the pivot differ by more than a
-    link's distance can't be linked and doesn't come up. Distances are kept as fractions, so nothing is rounded.
+    Rows go by doc_id and text, so a null doc_id is no reason to drop a text that is linked with nothing.
     """
+    found = near_duplicates(df, doc_id, text)
+    # Narrow: one row a dropped document. Rows with one doc_id and one set lie in one component and have one verdict.
+    dropped = stored(found.filter("not kept").select(F.col("doc_id").alias("__id")).distinct(), "neardup-dropped")
+    kept = df.join(dropped, F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti")
+    repeated = df.groupBy(F.col(doc_id).alias("__id")).agg(F.count("*").alias("n")).filter("n > 1").select("__id")
+    if repeated.isEmpty():
+        return kept
+    again = F.col(doc_id).eqNullSafe(F.col("__id"))
+    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates([doc_id, text]))
+
+
+def _open_rows(placed: DataFrame, tested: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, comp) of the buckets whose pivot failed a member that is in another component."""
     comp = labels.select("node", "comp")
     failed = tested.filter(f"100 * shared < {LINK_PERCENT} * joint").select(F.col("a").alias("node"), F.col("b").alias("pivot"))
-    open_keys = placed.join(failed, ["node", "pivot"], "left_semi").select("key").distinct()
-    far = tested.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("joint")).alias("far"))
-    rows = placed.join(open_keys, "key", "left_semi").join(far, ["node", "pivot"], "left").join(comp, "node", "left")
-    rows = rows.select("key", "node", "pivot", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("comp", "node").alias("comp"))
-    rows = stored(rows, "neardup-open")
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps")).filter("comps > 1").select("key", F.col("m.comp").alias("main"))
-    left = rows.join(main, "key").filter("comp != main").select("key", F.col("node").alias("x"), F.col("far").alias("fx"), F.col("comp").alias("cx"), "pivot")
-    right = rows.select("key", F.col("node").alias("y"), F.col("far").alias("fy"), F.col("comp").alias("cy"))
-    reach = (100 - LINK_PERCENT) / 100 + 1e-9
-    met = left.join(right, "key").filter((F.col("cx") != F.col("cy")) & (F.abs(F.col("fx") - F.col("fy")) <= reach) & (F.col("y") != F.col("pivot")) & (F.col("x") != F.col("pivot")))
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return stored(pairs.join(known, ["a", "b"], "left_anti"), "neardup-open-pairs")
+    ends = failed.join(comp, "node", "left").withColumnRenamed("comp", "c1").join(comp.select(F.col("node").alias("pivot"), F.col("comp").alias("c2")), "pivot", "left")
+    apart = ends.filter(F.coalesce("c1", "node") != F.coalesce("c2", "pivot")).select("node", "pivot")
+    open_keys = placed.join(apart, ["node", "pivot"], "left_semi").select("key").distinct()
+    return placed.join(open_keys, "key", "left_semi").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+
+
+def _sets(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, id, items) of the open nodes: their shingles, and a shorter name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([node], pa.binary()), pa.array([shingles(text.as_py()).view(np.int64)], pa.list_(pa.int64()))], names=["node", "items"])
+
+    made = texts.join(rows.select("node").distinct(), "node", "left_semi").mapInArrow(run, "node binary, items array<long>")
+    return made.select("node", F.xxhash64("node").alias("id"), "items")
+
+
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(node, size, own): the size of each open node's set and how many of its shingles no other open node has."""
+    single = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1")
+    own = single.groupBy("id").agg(F.count("*").alias("own"))
+    return sets.select("node", F.size("items").alias("size"), "id").join(own, "id", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+#: Own shingles are in no intersection and in every union, so this holds for all links.
+_BOUND = f"100 * least(sx - ox, sy - oy) >= {LINK_PERCENT} * greatest(sx + oy, sy + ox)"
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    known = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return pairs.join(known, ["a", "b"], "left_anti")
+
+
+def _linkable(rows: DataFrame) -> DataFrame:
+    return rows.filter(f"100 * (size - own) >= {LINK_PERCENT} * size")
+
+
+def _hubs(rows: DataFrame) -> DataFrame:
+    """(key, hub): each open bucket's member with the least share of own shingles."""
+    share = F.struct((F.col("own") / F.col("size")).alias("share"), F.col("node").alias("hub"))
+    return _linkable(rows).groupBy("key").agg(F.min(share).alias("h")).select("key", "h.hub")
+
+
+def _hub_pairs(rows: DataFrame, sets: DataFrame, tested: DataFrame) -> DataFrame:
+    """Each open bucket's hub with the members of other components."""
+    hubs = _hubs(rows)
+    ends = _linkable(rows).join(hubs, "key")
+    hub = ends.filter("node = hub").select("key", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy"), F.col("own").alias("oy"))
+    met = ends.select("key", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"), F.col("own").alias("ox")).join(hub, "key")
+    return _untested(met.filter((F.col("cx") != F.col("cy")) & F.expr(_BOUND)), tested)
+
+
+def _differences(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(hub, node, d, items): the shingles that are in one of the node's and its hub's sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hubs, nodes = batch.column(0), batch.column(1)
+            made = [np.setxor1d(np.asarray(x.values), np.asarray(h.values), assume_unique=True) for x, h in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([hubs, nodes, pa.array([len(m) for m in made], pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["hub", "node", "d", "items"])
+
+    joined = placed.select("hub", "node").join(sets.select("node", F.col("items").alias("own_items")), "node").join(sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items")), "hub")
+    return joined.select("hub", "node", "own_items", "hub_items").mapInArrow(run, "hub binary, node binary, d long, items array<long>")
+
+
+def _remaining_pairs(rows: DataFrame, sets: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs of nodes with a common hub, in different components, that may still be linked.
+
+    With dx and dy the sizes of two nodes' differences from their hub, their own difference is dx + dy - 2 o, where o
+    counts what the differences share, and a link allows at most (nx + ny) / 9 of it. Both ends of a pair that needs
+    no o >= 1 are linked with the hub, and so lie in one component. For the others, in an order of a hub's differences
+    from rare to common, either end has a shared one among its first d - o + 1. How many must be shared depends on
+    both ends, so ends look each other up by classes of d. Only nodes outside their hub's largest component look.
+    """
+    placed = _linkable(rows).join(_hubs(rows), "key").select("hub", "node", "comp", "size", "own").distinct()
+    sizes = placed.groupBy("hub", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("hub").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps")).filter("comps > 1").select("hub", F.col("m.comp").alias("main"))
+    apart = stored(placed.join(main, "hub").withColumn("seeks", F.col("comp") != F.col("main")), "neardup-apart")
+    found = stored(_differences(apart, sets), "neardup-differences")
+    level = F.floor(F.log(1.25, F.col("d") + 1)).cast("int")
+    ends = apart.join(found.select("hub", "node", "d", level.alias("level")), ["hub", "node"])
+    levels = ends.groupBy("hub", "level").agg(F.min("d").alias("d"), F.max("size").alias("size")).groupBy("hub").agg(F.collect_list(F.struct("level", "d", "size")).alias("levels"))
+    # Shared differences that a partner of a class needs at least, and from it how far the prefix goes; in eighteenths.
+    need = F.transform("levels", lambda c: F.struct(c["level"].alias("partner"), (F.col("d") + 1 - F.greatest(F.lit(1), F.ceil((9 * (F.col("d") + c["d"]) - F.col("size") - c["size"]) / 18))).alias("prefix")))
+    ends = stored(ends.join(levels, "hub").withColumn("needs", need).drop("levels"), "neardup-ends")
+    items = found.select("hub", "node", "d", F.explode("items").alias("item"))
+    ranks = items.groupBy("hub", "item").agg(F.count("*").alias("n")).filter("n > 1")
+    one = Window.partitionBy("hub", "node")
+    # Differences that one node has alone come first and are never shared.
+    placed_items = items.join(ranks, ["hub", "item"]).withColumn("at", F.row_number().over(one.orderBy("n", "item")) + F.col("d") - F.count("*").over(one)).select("hub", "node", "item", "at")
+    full = placed_items.join(ends, ["hub", "node"]).withColumn("p", F.explode(F.filter("needs", lambda c: c["prefix"] >= F.col("at"))))
+    full = full.select("hub", "item", "node", "comp", "size", "own", "seeks", "level", "p.partner")
+    left = full.filter("seeks").select("hub", "item", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"), F.col("own").alias("ox"), "level", "partner")
+    right = full.select("hub", "item", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy"), F.col("own").alias("oy"), F.col("partner").alias("level"), F.col("level").alias("partner"))
+    met = left.join(right, ["hub", "item", "level", "partner"]).filter((F.col("cx") != F.col("cy")) & F.expr(_BOUND))
+    return _untested(met, tested)
 
 
 #: The same rows in DuckDB's SQL, by comparing all texts that share a shingle.
