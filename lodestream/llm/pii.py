@@ -305,12 +305,12 @@ def trained(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_
     return fitted(sorted(made.limit(2 * sample_docs).collect()))
 
 
-def find_documents(df: DataFrame, weights: np.ndarray, text: str = "text", keep: list[str] | None = None, with_redacted: bool = False) -> DataFrame:
+def find_documents(df: DataFrame, weights: np.ndarray, text: str = "text", keep: list[str] | None = None, with_redacted: bool = False, prefix: str = "") -> DataFrame:
     """Adds n_email, n_ip, n_card, n_phone and base_sha256 of the fixed patterns' spans, and spans, all spans.
 
     A span is kind:start:end in code points, by start and then kind, comma-joined. With with_redacted also redacted, the
     text with its spans replaced. Null and empty texts have no spans; a null text stays null. Other columns pass
-    unchanged; columns of the added names are replaced. No shuffle.
+    unchanged; columns of the added names are replaced; prefix goes before the added names. No shuffle.
     """
 
     def make() -> Callable[[list[str | None]], list[list]]:
@@ -332,4 +332,5 @@ def find_documents(df: DataFrame, weights: np.ndarray, text: str = "text", keep:
         return work
 
     fields = [*[(f"n_{k}", T.LongType()) for k in KINDS], ("base_sha256", T.StringType()), ("spans", T.StringType())]
-    return map_texts(df, text, [*fields, *([("redacted", T.StringType())] if with_redacted else [])], make, keep)
+    fields += [("redacted", T.StringType())] if with_redacted else []
+    return map_texts(df, text, [(prefix + n, t) for n, t in fields], make, keep)

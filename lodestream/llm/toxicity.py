@@ -317,11 +317,11 @@ def _near_hits(df: DataFrame, model: Model) -> DataFrame:
     return map_texts(df, "text", [("near", T.ArrayType(T.IntegerType()))], make, keep=["toxic"])
 
 
-def score_documents(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score_documents(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Adds score (0 to 1), predicted (score >= 0.5), n_hits and quotation (0 to 1, the hits' mean) for each whole text.
 
     Null and empty texts have no hits and get the score of such texts. Other columns pass unchanged; columns of the
-    added names are replaced. No shuffle.
+    added names are replaced; prefix goes before the added names. No shuffle.
     """
 
     def make() -> Callable[[list[str | None]], list[list]]:
@@ -334,4 +334,5 @@ def score_documents(df: DataFrame, model: Model, text: str = "text", keep: list[
 
         return work
 
-    return map_texts(df, text, [("score", T.DoubleType()), ("predicted", T.IntegerType()), ("n_hits", T.LongType()), ("quotation", T.DoubleType())], make, keep)
+    fields = [("score", T.DoubleType()), ("predicted", T.IntegerType()), ("n_hits", T.LongType()), ("quotation", T.DoubleType())]
+    return map_texts(df, text, [(prefix + n, t) for n, t in fields], make, keep)
