@@ -16,14 +16,16 @@ from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 from tokenizers import Tokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
-from lodestream.llm.common import map_texts
+from lodestream.llm.common import map_texts, ship
 
 #: Entries of a task's memo of pre-tokens and of its memo of token pairs; at that size they start anew.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
 #: Below this code point the split pattern has an equal for the standard library; above it Unicode versions differ.
 PLAIN_BELOW = "\u0530"
 #: The split pattern of the vocabulary and its equal for texts below PLAIN_BELOW. White space parts words in any case.
@@ -197,6 +199,10 @@ class Bpe:
         words = self.pre_tokenize(self.normalize(text))
         return b"".join([self.memo[bytes(map(self.byte_of.__getitem__, w)).decode("utf-8")] for w, _ in words])
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.compatible.clear()
+
     def decode(self, packed: bytes) -> bytes:
         """UTF-8 of the tokens' forms with a space between them, as a vocabulary without a decoder has it."""
         ids = np.frombuffer(packed, dtype="<u4")
@@ -244,6 +250,7 @@ def encode_documents(df: DataFrame, path: str, text: str = "text", keep: list[st
                 decoded.append(hashlib.sha256(bpe.decode(packed)).hexdigest())
             return [counts, *([packs] if with_ids else []), shas, decoded]
 
+        work.close = bpe.forget
         return work
 
     fields = [("n_tokens", T.LongType()), *([("ids", T.BinaryType())] if with_ids else []), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
@@ -252,16 +259,12 @@ def encode_documents(df: DataFrame, path: str, text: str = "text", keep: list[st
 
 def decode_documents(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the decoded text of a binary ids column; null ids give null."""
-    from pyspark.sql.functions import pandas_udf
-
-    from lodestream.llm.common import ship
-
     ship(df.sparkSession)
     with open(path, "rb") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
 
     @pandas_udf(T.StringType())
-    def decoded(packed: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
+    def decoded(packed: pd.Series) -> pd.Series:
         bpe = loaded(spec.value)
         return packed.map(lambda p: None if p is None else bpe.decode(bytes(p)).decode("utf-8", "replace"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -20,6 +21,9 @@ SPACE = r"\x20\x09-\x0D"
 #: The same characters as a literal, for translate() and trim().
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
+#: Rows of an Arrow batch, at most.
+BATCH_ROWS = 1024
+
 
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers, wherever the driver found it."""
@@ -107,6 +111,12 @@ def word_array(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of some MB: texts are long, and a batch is in the JVM's and the worker's memory at once."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def appended(df: DataFrame, fields: list[tuple[str, T.DataType]]) -> T.StructType:
     """df's schema with fields added at the end; a field that df already has is replaced."""
     names = {n.lower() for n, _ in fields}
@@ -139,6 +149,13 @@ def map_texts(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType]]
                 carried = [part.column(i) for i in range(len(columns))]
                 carried = [c if c.type == arrow.field(i).type else c.cast(arrow.field(i).type) for i, c in enumerate(carried)]
                 yield pa.RecordBatch.from_arrays([*carried, *made], schema=arrow)
+        # Workers wait for further tasks; what this one has gathered shouldn't wait with them.
+        if close := getattr(work, "close", None):
+            close()
+        del work
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     return source.mapInArrow(run, schema)

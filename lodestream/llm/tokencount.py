@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from lodestream.llm.common import map_texts
 
 BYTE_SCORE = -30_000
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 #: Scores and counts share one number: the score in units, less the count, so that ties go to fewer tokens.
 UNIT = 1 << 24
 

@@ -25,6 +25,8 @@ from lodestream.llm.common import forget, map_texts, ship, stored, word_array
 
 # Abusive English words, and the words that report or address.
 SEED_WORDS = ["bastard", "clown", "disgusting", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
+# Ordinary words within the edits of an entry.
+ORDINARY = frozenset("apathetic blown boron brash closer crash crown dastard digesting discussing flown idiom laser loner loper loses lower mirthless poser thrash".split())
 REPORTING = frozenset("said says say called calls quoted quote quotes wrote writes word words term terms saying dit mot terme appelle sagte nannte wort begriff dijo palabra llama".split())
 ADDRESS = frozenset("you your you're youre u ur du dich dein ihr tu toi ton vous eres usted".split())
 QUOTES = "\"'«»„“”‘’‹›`"
@@ -37,7 +39,7 @@ LEXICON_ENTRIES, LEAST_ROWS, LEAST_SHARE, LEAST_Z = 64, 4, 0.4, 5.0
 EDITS = ((9, 2), (5, 1))
 #: Tokens on either side of a hit that its context score looks at.
 WINDOW = 6
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 200_000
 FEATURES = ("word_strength", "stem_strength", "stem_rate", "fuzzy_strength")
 #: Without labels: the intercept and the weights of FEATURES.
 DEFAULT_WEIGHTS = (-4.5, 9.0, 1.0, 1.0, 8.0)
@@ -161,7 +163,7 @@ class Scorer:
 
     def _look_up(self, token: str) -> tuple[int, int] | None:
         bare = token.strip(".,;:!?()[]{}<>|*#$%&~-_/\\+=" + QUOTES)
-        if not bare:
+        if not bare or bare in ORDINARY:
             return None
         found = self.automaton.match(bare)
         if found is None and not bare.isalnum():
