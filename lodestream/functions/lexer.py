@@ -19,11 +19,18 @@ _NUMBER = re.compile(rb"-?[0-9][0-9+\-.eE]*")
 _NUMBER5 = re.compile(rb"[+-]?(?:Infinity|NaN|0[xX][0-9a-fA-F]*|[0-9.][0-9+\-.eE]*)")
 _RFC_NUMBER = re.compile(rb"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
 _FIVE_NUMBER = re.compile(rb"[+-]?(?:Infinity|NaN|0[xX][0-9a-fA-F]+|(?:(?:0|[1-9][0-9]*)(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)")
+_INTEGER = re.compile(rb"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?")
 _NAME = re.compile(rb"[A-Za-z_$][A-Za-z0-9_$]*")
 _LITERALS = {b"t": (b"true", "bool"), b"f": (b"false", "bool"), b"n": (b"null", "null")}
 _PLAIN = re.compile(rb"[^\x00-\x1f\\\x80-\xff]*")
+# A whole member or element of RFC 8259 text whose value is a scalar, up to what follows the comma: most of a document.
+_SCALAR = rb'("(?:[^"\\]|\\.)*+"|-?[0-9][0-9+\-.eE]*+|true|false|null)[ \t\n\r]*+'
+_MEMBER = re.compile(rb'"([ !#-\[\]-~]*+)"[ \t\n\r]*+:[ \t\n\r]*+' + _SCALAR + rb"(?:,[ \t\n\r]*+|(}))", re.DOTALL)
+_ELEMENT = re.compile(_SCALAR + rb"(?:,[ \t\n\r]*+|(\]))", re.DOTALL)
+_KINDS = {0x22: "string", 0x2D: "number", 0x74: "bool", 0x66: "bool", 0x6E: "null", **dict.fromkeys(range(0x30, 0x3A), "number")}
 _SIMPLE = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", '"': '"', "\\": "\\", "/": "/"}
 _FIVE = {"v": "\v", "0": "\0", "'": "'"}
+_HIGH = re.compile(rb"[\x80-\xff]+")
 _COMMENT_END = re.compile(rb"[\n\r]")
 
 
@@ -34,11 +41,12 @@ class Node:
 
     def __init__(self, kind: str, start: int, end: int = -1):
         self.kind, self.start, self.end = kind, start, end
-        self.items: list[Node] = []
-        self.members: list[tuple[str, int, Node]] = []
+        inner = kind == "array" or kind == "object"
+        self.items: list[Node] = [] if inner else ()
+        self.members: list[tuple[str, int, Node]] = [] if inner else ()
         self.named: dict[str, Node] | None = None
         #: Comments inside a container, as (start, end, how many values stand before).
-        self.comments: list[tuple[int, int, int]] = []
+        self.comments: list[tuple[int, int, int]] = [] if inner else ()
 
     def by_name(self) -> dict[str, Node]:
         """Last value of each name, in the order of first occurrence."""
@@ -140,10 +148,24 @@ class Reader:
         """Reads an array's elements one by one; node is complete when the iterator ends."""
         self.at += 1
         self.trivia(node)
-        if self.src[self.at : self.at + 1] == b"]":
+        src, quick = self.src, _ELEMENT.match if not self.lax else None
+        if src[self.at : self.at + 1] == b"]":
             self.at += 1
         else:
             while True:
+                while quick and (m := quick(src, self.at)):
+                    start, end = m.span(1)
+                    if m[2] is None and src[m.end() : m.end() + 1] == b"]":
+                        break
+                    item = Node(_KINDS[src[start]], start, end)
+                    node.items.append(item)
+                    self.at = m.end()
+                    if m[2]:
+                        # The node is complete before its last element is handed out, so early ends see it.
+                        node.end = self.at
+                        yield item
+                        return
+                    yield item
                 item = self.value(depth + 1)
                 node.items.append(item)
                 yield item
@@ -155,10 +177,20 @@ class Reader:
         node = Node("object", self.at)
         self.at += 1
         self.trivia(node)
-        if self.src[self.at : self.at + 1] == b"}":
+        src, members, quick = self.src, node.members, _MEMBER.match if not self.lax else None
+        if src[self.at : self.at + 1] == b"}":
             self.at += 1
         else:
             while True:
+                while quick and (m := quick(src, self.at)):
+                    at, (start, end) = self.at, m.span(2)
+                    if m[3] is None and src[m.end() : m.end() + 1] == b"}":
+                        break
+                    members.append((m[1].decode(), at, Node(_KINDS[src[start]], start, end)))
+                    self.at = m.end()
+                    if m[3]:
+                        node.end = self.at
+                        return node
                 start = self.at
                 name = self._name()
                 self.trivia(node)
@@ -219,6 +251,9 @@ def _hex(src: bytes, at: int, n: int, offset: int) -> int:
 
 def decoded(src: bytes, start: int, end: int, dialect: str = "rfc8259") -> str:
     """The text of the string literal at start..end; raises where it isn't well formed."""
+    m = _PLAIN.fullmatch(src, start + 1, end - 1)
+    if m:
+        return m.group().decode()
     out, at, stop, five = [], start + 1, end - 1, dialect == "json5"
     while at < stop:
         m = _PLAIN.match(src, at, stop)
@@ -260,7 +295,7 @@ def decoded(src: bytes, start: int, end: int, dialect: str = "rfc8259") -> str:
         elif c < 0x20:
             raise JsonError("Syntax", "control-in-string", at)
         else:
-            m = re.compile(rb"[\x80-\xff]+").match(src, at, stop)
+            m = _HIGH.match(src, at, stop)
             out.append(utf8(src, at, m.end()))
             at = m.end()
     return "".join(out)
@@ -286,12 +321,14 @@ def check(src: bytes, node: Node, dialect: str) -> None:
     while todo:
         n = todo.pop()
         if n.kind == "string":
-            decoded(src, n.start, n.end, dialect)
+            if not _PLAIN.fullmatch(src, n.start + 1, n.end - 1):
+                decoded(src, n.start, n.end, dialect)
         elif n.kind == "number":
-            try:
-                number_at(src, n.start, n.end, dialect)
-            except JsonError as e:
-                raise JsonError(e.cls, e.code, n.start) from None
+            if not _INTEGER.fullmatch(src, n.start, n.end):
+                try:
+                    number_at(src, n.start, n.end, dialect)
+                except JsonError as e:
+                    raise JsonError(e.cls, e.code, n.start) from None
         elif n.kind == "array":
             todo.extend(reversed(n.items))
         elif n.kind == "object":

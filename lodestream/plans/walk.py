@@ -57,19 +57,31 @@ def canonical(demand: m.Demand) -> m.Demand:
     return demand
 
 
+def canonical_demands(request: m.Request) -> list[m.Demand]:
+    """The request's demands in canonical form, refused or not once for all texts."""
+    made = request.__dict__.get("_canonical")
+    if made is None:
+        for d in request.demands:
+            refuse_containers(d)
+        made = [canonical(d) for d in request.demands]
+        object.__setattr__(request, "_canonical", made)
+    return made
+
+
 class Walker:
     """Answers over one source's nodes, with the checks that a strictness asks for."""
 
     def __init__(self, src: bytes, request: m.Request, trace: Callable[[str, int], None] | None = None):
         self.src, self.dialect, self.strictness = src, request.dialect, request.strictness
         self.facts = request.facts
-        self.trace = trace or (lambda event, at: None)
+        self.trace = trace
 
     def demanded(self, node: Node) -> tuple[int, int]:
         """The span of a node that an answer holds; its values are checked unless reading is lazy."""
-        if self.strictness == "structural":
+        if self.strictness == "structural" and node.kind != "null" and node.kind != "bool":
             check(self.src, node, self.dialect)
-        self.trace("mark", node.start)
+        if self.trace is not None:
+            self.trace("mark", node.start)
         return node.start, node.end
 
     def go(self, node: Node, steps: tuple[m.Step, ...]) -> Node | m.Missing | m.TypeMismatch:
@@ -254,7 +266,7 @@ def _early_window(request: m.Request) -> int | None:
 
 
 def scan_text(src: bytes, request: m.Request, trace: Callable[[str, int], None] | None = None) -> m.Result:
-    demands = [canonical(d) for d in request.demands]
+    demands = canonical_demands(request)
     reader = Reader(src, request.dialect, request.max_nesting)
     walker = Walker(src, request, trace)
     most = _early_window(request)
@@ -267,7 +279,8 @@ def scan_text(src: bytes, request: m.Request, trace: Callable[[str, int], None]
             while len(root.items) < most and next(elements, None) is not None:
                 pass
             if root.end < 0 and len(root.items) >= most:
-                walker.trace("stop", reader.at)
+                if trace is not None:
+                    trace("stop", reader.at)
                 return m.Result([walker.answer(root, d) for d in demands])
             reader.finish()
             return m.Result([walker.answer(root, d) for d in demands])
@@ -308,7 +321,7 @@ def _per_record(demand: m.Demand) -> tuple[str, m.Demand, m.Demand | None]:
 
 def scan_stream(src: bytes, request: m.Request, trace: Callable[[str, int], None] | None = None) -> m.Result:
     """Records as one virtual array. A bad last record is an issue and ends the stream; an earlier one is an error."""
-    demands = [canonical(d) for d in request.demands]
+    demands = canonical_demands(request)
     spans = frames(src, request.framing, request.dialect, request.max_nesting)
     walker = Walker(src, request, trace)
     plans = [_per_record(d) for d in demands]
@@ -372,8 +385,6 @@ def scan_stream(src: bytes, request: m.Request, trace: Callable[[str, int], None
 def scan(src: bytes | str, request: m.Request, trace: Callable[[str, int], None] | None = None) -> m.Result:
     """One answer for each demand of the request."""
     src = src.encode() if isinstance(src, str) else src
-    for d in request.demands:
-        refuse_containers(d)
     return scan_text(src, request, trace) if request.framing == "text" else scan_stream(src, request, trace)
 
 
@@ -386,9 +397,7 @@ def scan_each(src: bytes | str, request: m.Request) -> Iterator[tuple[int, m.Res
     if request.framing == "text":
         yield 0, scan(src, request)
         return
-    for d in request.demands:
-        refuse_containers(d)
-    demands = [canonical(d) for d in request.demands]
+    demands = canonical_demands(request)
     spans = frames(src, request.framing, request.dialect, request.max_nesting)
     walker = Walker(src, request)
     for i, (s, e) in enumerate(spans):
