@@ -55,17 +55,24 @@ def scan_controlled(src: bytes | str, request: m.Request, control: Control, trac
 
 @contextmanager
 def time_limit(spark: SparkSession, seconds: float) -> Iterator[str]:
-    """Spark jobs that start inside are cancelled when the time is over; gives the job tag."""
+    """Spark jobs that start inside are cancelled when the time is over; gives the job group."""
     tag, sc = f"lodestream-{uuid.uuid4().hex}", spark.sparkContext
-    sc.addJobTag(tag)
-    timer = threading.Timer(seconds, lambda: sc.cancelJobsWithTag(tag))
-    timer.daemon = True
-    timer.start()
+    sc.setJobGroup(tag, "time limit", interruptOnCancel=True)
+    over = threading.Event()
+
+    def watch() -> None:
+        # Again and again: a job may start only after the first call.
+        wait = seconds
+        while not over.wait(wait):
+            sc.cancelJobGroup(tag)
+            wait = 0.5
+
+    threading.Thread(target=watch, daemon=True).start()
     try:
         yield tag
     finally:
-        timer.cancel()
-        sc.removeJobTag(tag)
+        over.set()
+        sc.setLocalProperty("spark.jobGroup.id", None)
 
 
 def run_or_serial(eligible: bool, parts: Callable[[], Any], serial: Callable[[], Any]) -> Any:
