@@ -1,0 +1,95 @@
+"""Cutting one large array that arrives in blocks: each block is summarised on its own, then summaries are put together.
+
+A block doesn't know whether it starts in a string, or how deep. So it is summarised for each state it may start in, with
+depths relative to its start; a pass over the summaries fixes states and depths, and with them the commas of the array.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+
+from lodestream.plans.model import JsonError
+
+_MARK = re.compile(rb'["\\\[\]{},]')
+#: Outside strings, inside one, and inside one after a backslash.
+OUTSIDE, INSIDE, ESCAPED = 0, 1, 2
+
+
+@dataclass(frozen=True)
+class Summary:
+    """For each starting state: (state at the end, change of depth, marks).
+
+    marks: (place in the block, relative depth, character) of the commas and closing brackets that may belong to an array
+    that encloses the block's start or opens in it at the least depth so far or just below.
+    """
+
+    length: int
+    by_state: tuple[tuple[int, int, tuple[tuple[int, int, str], ...]], ...]
+
+
+def _summary(block: bytes, state: int) -> tuple[int, int, tuple[tuple[int, int, str], ...]]:
+    depth = least = 0
+    marks: list[tuple[int, int, str]] = []
+    at = 0
+    if state == ESCAPED:
+        if not block:
+            return ESCAPED, 0, ()
+        at, state = 1, INSIDE
+    skip = -1
+    for m in _MARK.finditer(block, at):
+        p, c = m.start(), block[m.start()]
+        if p == skip:
+            continue
+        if state == INSIDE:
+            if c == 0x5C:
+                skip = p + 1
+            elif c == 0x22:
+                state = OUTSIDE
+        elif c == 0x22:
+            state = INSIDE
+        elif c in b"[{":
+            depth += 1
+            if depth == least + 1:
+                marks.append((p, depth, chr(c)))
+        elif c in b"]}":
+            if depth <= least + 1:
+                marks.append((p, depth, chr(c)))
+            depth -= 1
+            least = min(least, depth)
+        elif c == 0x2C and depth <= least + 1:
+            marks.append((p, depth, ","))
+    if state == INSIDE and skip == len(block):
+        state = ESCAPED
+    return state, depth, tuple(marks)
+
+
+def summarise(block: bytes) -> Summary:
+    """What the block says whatever stands before it."""
+    return Summary(len(block), tuple(_summary(block, s) for s in (OUTSIDE, INSIDE, ESCAPED)))
+
+
+def root_array_ranges(summaries: list[Summary], target: int) -> list[tuple[int, int]]:
+    """(start, end) ranges of whole elements of the root array, about target bytes each, from the blocks' summaries."""
+    state, depth, offset = OUTSIDE, 0, 0
+    start = end = None
+    commas: list[int] = []
+    for s in summaries:
+        after, change, marks = s.by_state[state]
+        for p, rel, c in marks:
+            own = depth + rel
+            if own == 1 and c == "[" and start is None:
+                start = offset + p + 1
+            elif own == 1 and c == "," and start is not None:
+                commas.append(offset + p)
+            elif own == 1 and c == "]" and end is None:
+                end = offset + p
+        state, depth, offset = after, depth + change, offset + s.length
+    if start is None or end is None or depth != 0:
+        raise JsonError("Syntax", "expected-value", offset, "the blocks hold no complete root array")
+    out, at = [], start
+    for comma in commas:
+        if comma - at >= target:
+            out.append((at, comma))
+            at = comma + 1
+    return [*out, (at, end)]

@@ -1,0 +1,26 @@
+import json
+import random
+
+import pytest
+
+from lodestream.plans.blocks import root_array_ranges, summarise
+from lodestream.plans.model import JsonError
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_blocks_cut_like_the_whole(seed):
+    rng = random.Random(seed)
+    leaf = lambda: rng.choice([1, "a,]", 'q"\\', "\\", [], {}, [1, [2, {"k": ["]", ","]}]], {"x": {"y": "}{"}}, None])
+    items = [leaf() for _ in range(rng.randint(1, 30))]
+    text = json.dumps(items, indent=rng.choice([None, 1])).encode()
+    cuts = sorted(rng.choices(range(len(text) + 1), k=rng.randint(0, 12)))
+    blocks = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+    ranges = root_array_ranges([summarise(b) for b in blocks], rng.choice([1, 10, 1000]))
+    assert [x for s, e in ranges for x in json.loads(b"[" + text[s:e] + b"]")] == items
+
+
+def test_incomplete_arrays_are_refused():
+    with pytest.raises(JsonError):
+        root_array_ranges([summarise(b"[1,2"), summarise(b",3")], 1)
+    with pytest.raises(JsonError):
+        root_array_ranges([summarise(b'{"a":[1]}')], 1)
