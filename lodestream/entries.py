@@ -307,6 +307,57 @@ def json_join(spark, sf_dir):
     return joined.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN k END AS i64, CASE event_id % 4 WHEN 0 THEN k::DOUBLE WHEN 1 THEN k + 0.5 END AS f64, CASE event_id % 4 WHEN 2 THEN true END AS bool, CASE event_id % 4 WHEN 3 THEN 'é' || k END AS str FROM (SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events)")
+def json_accessors(spark, sf_dir):
+    """Typed reads of one member whose kind differs from text to text; none converts."""
+    k, w = F.get_json_object("props", "$.k"), F.expr("event_id % 4")
+    v = F.when(w == 0, k).when(w == 1, F.concat(k, F.lit(".50"))).when(w == 2, F.lit("true")).otherwise(F.concat(F.lit('"\\u00e9'), k, F.lit('"')))
+    docs = events(spark, sf_dir).select("event_id", F.concat(F.lit('{"v":'), v, F.lit("}")).alias("doc"))
+    cell = F.col("value")
+    return exact.value(docs, "doc", m.Path(m.steps("v"))).select("event_id", c.as_i64(cell).alias("i64"), c.as_f64(cell).alias("f64"), c.as_bool(cell).alias("bool"), c.as_str(cell).alias("str"))
+
+
+@query("SELECT event_id FROM events WHERE (props->>'$.k')::BIGINT > 50")
+def json_number_order(spark, sf_dir):
+    """Numbers compare by value, whatever their spelling: 51.0e0 is above 5e1, 50.000 is not."""
+    k = F.get_json_object("props", "$.k")
+    v = F.when(F.expr("event_id % 2 = 0"), F.concat(k, F.lit(".000"))).otherwise(F.concat(k, F.lit(".0e0")))
+    docs = events(spark, sf_dir).select("event_id", F.concat(F.lit('{"v":'), v, F.lit("}")).alias("doc"))
+    return exact.rows(docs, "doc", m.Filter((), m.Compare("gt", "v", _n("5e1")))).select("event_id")
+
+
+@query("""SELECT event_id, '{"a":"\\u00e9","b":' || (props->>'$.k') || '}' AS encoded FROM events""")
+def json_encode_sorted(spark, sf_dir):
+    docs = events(spark, sf_dir).select("event_id", F.concat(F.lit('{"b": '), F.get_json_object("props", "$.k"), F.lit(', "a": "é"}')).alias("doc"))
+    return exact.encoded(docs, "doc", options=Options(sort_keys=True, ascii=True), keep=["event_id"])
+
+
+@query("""SELECT event_id, '{"key":' || (props->>'$.k') || ', "xs": []}' AS edited FROM events""")
+def json_edit_rename_clear(spark, sf_dir):
+    docs = events(spark, sf_dir).select("event_id", F.concat(F.lit('{"k": 0, "xs": [1, '), F.get_json_object("props", "$.k"), F.lit("]}")).alias("doc"), F.get_json_object("props", "$.k").alias("k"))
+    renamed = exact.edited(docs, "doc", [e.ReplaceMember(m.steps("k"), "key", _n("0")), e.Clear(m.steps("xs"))], keep=["event_id", "k"])
+    return renamed.select("event_id", F.concat(F.lit('{"key":'), "k", F.substring("edited", 9, 100)).alias("edited"))
+
+
+@query("SELECT event_id % 2 AS half, count(*) AS n, sum(CASE WHEN event_id % 2 = 1 THEN 1 ELSE 0 END)::BIGINT AS refused FROM events GROUP BY ALL")
+def json_strictness(spark, sf_dir):
+    """A bad number that isn't asked for stops a strict reading only."""
+    bad = F.when(F.expr("event_id % 2 = 1"), F.lit("01")).otherwise(F.lit("1"))
+    docs = events(spark, sf_dir).select(F.expr("event_id % 2").alias("half"), F.concat(F.lit('{"k":1,"pad":'), bad, F.lit("}")).alias("doc"))
+    strict = exact.answers(docs, "doc", m.Request((m.Path(m.steps("k")),), strictness="strict"), mode="permissive", keep=["half", "doc"])
+    both = exact.answers(strict.select("half", "doc", F.size("issues").alias("refused")), "doc", m.Request((m.Path(m.steps("k")),)), keep=["half", "refused"])
+    return both.groupBy("half").agg(F.sum(F.col("answers")[0]["document"]["text"].cast("long")).alias("n"), F.sum("refused").alias("refused"))
+
+
+@query("SELECT event_id, k, k + 1 AS next FROM (SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events)")
+def json_scalar_collection(spark, sf_dir):
+    """Elements that are no objects have absent cells, so each event has one row with k and one without."""
+    docs = events(spark, sf_dir).select("event_id", F.concat(F.lit('[{"k":'), F.get_json_object("props", "$.k"), F.lit("},7]")).alias("doc"))
+    rows = exact.rows(docs, "doc", m.Collection(("k",)), ordinal="pos")
+    one = rows.groupBy("event_id").agg(F.max(F.col("k").cast("long")).alias("k"), F.max("pos").alias("last"))
+    return one.select("event_id", "k", (F.col("k") + F.col("last")).alias("next"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
