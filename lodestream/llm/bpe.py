@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Callable
 
@@ -102,10 +103,11 @@ class Bpe:
         self.shorter = [-1] * size
         automaton = ahocorasick.Automaton()
         for s, i in ids.items():
-            automaton.add_word(s, (len(s), i))
+            automaton.add_word(s, i)
             self.shorter[i] = next((ids[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in ids), -1)
         automaton.make_automaton()
         self.automaton = automaton
+        self.lengths = [len(s) for s in self.symbols]
         self.compatible: dict[int, bool] = {}
         self.memo = WordMemo(self._encode_word)
 
@@ -149,14 +151,26 @@ class Bpe:
 
     def ids_of(self, word: str) -> list[int]:
         """Ids of one pre-token, written in the vocabulary's symbols."""
-        n = len(word)
-        longest, width = [-1] * n, [0] * n
-        for end, (k, i) in self.automaton.iter(word):
-            start = end - k + 1
-            if k > width[start]:
-                longest[start], width[start] = i, k
-        if width[0] == n:
-            return [longest[0]]
+        n, lengths, compatible = len(word), self.lengths, self.compatible
+        longest = [-1] * n
+        # Matches come by their ends, so the last one of a start is its longest.
+        for end, i in self.automaton.iter(word):
+            longest[end + 1 - lengths[i]] = i
+        out: list[int] = []
+        at, last = 0, -1
+        while at < n:
+            token = longest[at]
+            if last >= 0:
+                fits = compatible.get(last << 20 | token)
+                if not (self._fits(last, token) if fits is None else fits):
+                    return self._backtracked(n, longest)
+            out.append(token)
+            at += lengths[token]
+            last = token
+        return out
+
+    def _backtracked(self, n: int, longest: list[int]) -> list[int]:
+        """The same where a longest token clashes with the one before it."""
         open_at = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
         at, token = 0, longest[0]
@@ -177,11 +191,14 @@ class Bpe:
         return out
 
     def _encode_word(self, word: str) -> bytes:
-        alphabet = self.alphabet
-        s = "".join([alphabet[b] for b in word.encode()])
+        if word.isascii() and word.isprintable():
+            s = word
+        else:
+            alphabet = self.alphabet
+            s = "".join([alphabet[b] for b in word.encode()])
         if self.suffix:
             s = s[:-1] + chr(ord(s[-1]) + 0x10000)
-        return np.array(self.ids_of(s), dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids := self.ids_of(s))}I", *ids)
 
     def _lower(self, text: str) -> str:
         # Character by character: str.lower() alone would look at what stands around a capital sigma.
@@ -201,7 +218,6 @@ class Bpe:
 
     def forget(self) -> None:
         self.memo.clear()
-        self.compatible.clear()
 
     def decode(self, packed: bytes) -> bytes:
         """UTF-8 of the tokens' forms with a space between them, as a vocabulary without a decoder has it."""
