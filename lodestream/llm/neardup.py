@@ -102,8 +102,8 @@ def digest(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
-def sketched(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, node, bands): node is the digest of the set, null for an empty one."""
+def sketched(df: DataFrame, doc_id: str, text: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carried, n_shingles, node, bands): node is the digest of the set, null for an empty one."""
 
     def make():
         def work(texts: list[str | None]) -> list[list]:
@@ -117,7 +117,7 @@ def sketched(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
         return work
 
-    return map_texts(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", [("n_shingles", T.LongType()), ("node", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))], make, keep=["doc_id"])
+    return map_texts(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carried), "text", [("n_shingles", T.LongType()), ("node", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))], make, keep=["doc_id", *carried])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +200,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     Rows with equal doc_id and text are one document and get equal rows. Null doc_ids count as no doc_id: such a row
     takes its component's least doc_id, or null, and is kept only if there is none. An empty table gives an empty table.
     """
-    ship(df.sparkSession)
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sketches = stored(sketched(docs, "doc_id", "text"), "neardup-sketches")
+    return _verdicts(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+
+
+def _verdicts(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """near_duplicates() of docs (doc_id, text, carried), whose columns `carried` come in front of its own."""
+    ship(docs.sparkSession)
+    sketches = stored(sketched(docs, "doc_id", "text", carried), "neardup-sketches")
     classes = sketches.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least_doc"), F.first("bands").alias("bands"))
     classes = stored(classes, "neardup-classes")
     members = classes.select("node", F.explode("bands").alias("key"))
@@ -226,9 +230,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     by_class = stored(by_class, "neardup-components")
     least = by_class.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
     named = by_class.join(least, "comp").select("node", "component_id")
-    out = sketches.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    out = sketches.select(*carried, "doc_id", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select(*carried, "doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -236,10 +240,10 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     Rows go by doc_id and text, so a null doc_id is no reason to drop a text that is linked with nothing.
     """
-    found = near_duplicates(df, doc_id, text)
-    # Narrow: one row a dropped document. Rows with one doc_id and one set lie in one component and have one verdict.
-    dropped = stored(found.filter("not kept").select(F.col("doc_id").alias("__id")).distinct(), "neardup-dropped")
-    kept = df.join(dropped, F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti")
+    found = _verdicts(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("__hash")), ("__hash",))
+    # Narrow: one row a dropped document. A verdict is a document's own: its doc_id may be null, or repeat with other texts.
+    dropped = stored(found.filter("not kept").select(F.col("doc_id").alias("__id"), "__hash").distinct(), "neardup-dropped")
+    kept = df.join(dropped, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left_anti")
     repeated = df.groupBy(F.col(doc_id).alias("__id")).agg(F.count("*").alias("n")).filter("n > 1").select("__id")
     if repeated.isEmpty():
         return kept

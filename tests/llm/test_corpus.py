@@ -81,6 +81,15 @@ def test_near_duplicates_of_odd_rows(spark, docs, no_docs):
     assert len(ids) == len(set(ids)) and set(ids) == {r.component_id for r in got if r.doc_id is not None}
 
 
+def test_verdicts_are_for_one_id_and_text(spark):
+    """A row that is dropped takes no other text of its doc_id, null or repeated, with it."""
+    text = lambda k, last="z": " ".join([*(f"{k}{i}" for i in range(40)), last])
+    rows = [(3, text("a")), (None, text("a", "y")), (None, text("b")), (None, text("c")), (None, None), (5, text("d")), (5, text("a", "x")), (8, text("d", "y")), (5, text("d")), (9, text("e"))]
+    kept = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(3, text("a")), (None, text("b")), (None, text("c")), (None, None), (5, text("d")), (9, text("e"))]
+    assert sorted(map(tuple, kept), key=repr) == sorted(want, key=repr)
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(0)
     for n in (1, 3, 40, 600):
