@@ -152,6 +152,19 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.filter("page_id > 1000")).collect() == []
 
 
+def test_warc_long_urls(spark, tmp_path):
+    rows = [(i, "data:" + "u" * (40_000 if i == 4 else 3), f"page {i} " * 30) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    assert sorted(r.page_id for r in warc.round_trip(df).collect()) == list(range(12))
+    warc.write(df, str(tmp_path / "whole"))
+    assert {r.url for r in warc.read(spark, str(tmp_path / "whole")).collect()} == {r[1] for r in rows}
+    for name, data in (("cut", TRAP * 3 + TRAP[:-5]), ("broken", TRAP + "x" + TRAP)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_text(data, newline="")
+        with pytest.raises(Exception, match=f"no record at byte {len(TRAP) * data.count(TRAP) if name == 'cut' else len(TRAP)} of {len(data)}"):
+            warc.read(spark, str(tmp_path / name)).collect()
+
+
 def test_chains():
     rng = random.Random(0)
     for _ in range(300):
