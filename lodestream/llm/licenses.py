@@ -1,14 +1,18 @@
-"""Licence scans: parts of a text against licence templates by the Dice coefficient over word bigrams.
+"""Licence scans: parts and windows of a text against licence templates by the Dice coefficient over word bigrams.
 
 A text's parts are the whole text, its paragraphs, lines and sentences, all normalised to lower-case words. An index from
 bigram to templates finds the parts that share anything with a template; size bounds leave only templates whose number of
 bigrams can reach the threshold with the part's; the rest are compared exactly, over multisets of bigrams.
+
+A licence can also stand within a part or run over several, so windows of words are compared too, wherever they begin and
+end. The size bounds say how many of a template's bigrams a window holds at least and how long it is at most; only starts
+with so many within reach are searched, and those exactly.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable
 
@@ -115,6 +119,73 @@ class Scanner:
                 self.index[g].append(i)
         self.index = dict(self.index)
 
+    def windows(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
+        """The same tuples as scan()'s, of windows of words: each template's best ones that share no words.
+
+        A window within another template's, all of whose shared bigrams are that one's too, is left out: it is a piece of it.
+        """
+        if not text:
+            return []
+        lower = text.lower()
+        words = _WORD.findall(lower)
+        index = self.index
+        hits: dict[int, list[int]] = defaultdict(list)
+        for i, g in enumerate(zip(words, words[1:], strict=False)):
+            for t in index.get(g, ()):
+                hits[t].append(i)
+        found = {t: w for t, at in hits.items() if (w := self._best_windows(words, t, at))}
+        if not found:
+            return []
+
+        def is_piece(t: int, shared: int, first: int, last: int) -> bool:
+            for u, others in found.items():
+                # Windows of one template share no words, so only one can hold this one.
+                k = bisect_right(others, first, key=lambda x: x[1]) - 1
+                if self.names[u] != self.names[t] and k >= 0 and others[k][2] >= last and others[k][0] > shared:
+                    own = set(zip(words[first : last + 1], words[first + 1 : last + 2], strict=True)) & self.bags[t].keys()
+                    if own <= self.bags[u].keys():
+                        return True
+            return False
+
+        whole = [(t, *w) for t, each in found.items() for w in each if not is_piece(t, *w)]
+        at = [m.span() for m in _WORD.finditer(lower)]
+        return sorted((t, shared, last - first + 1 + self.sizes[t], at[first][0], at[last + 1][1]) for t, shared, first, last in whole)
+
+    def _best_windows(self, words: list[str], t: int, at: list[int]) -> list[tuple[int, int, int]]:
+        """(shared, first and last bigram) of a template's best windows that share no words; at: its bigrams' places."""
+        size, bag = self.sizes[t], self.bags[t]
+        # A window of n bigrams shares at most min(n, size), and needs 2 * shared / (n + size) to reach the threshold.
+        least = -(-THRESHOLD_PERCENT * size // (200 - THRESHOLD_PERCENT))
+        most = (200 - THRESHOLD_PERCENT) * size // THRESHOLD_PERCENT
+        best = []
+        for k in range(len(at) - least + 1):
+            first = at[k]
+            if at[k + least - 1] - first >= most:
+                continue
+            left, shared, top = dict(bag), 0, None
+            for j in range(k, len(at)):
+                last = at[j]
+                if last - first >= most:
+                    break
+                g = words[last], words[last + 1]
+                if left[g]:
+                    left[g] -= 1
+                    shared += 1
+                    n = last - first + 1 + size
+                    if 200 * shared >= THRESHOLD_PERCENT * n and (top is None or shared * top[0] > top[1] * n):
+                        top = n, shared, last
+            if top is not None:
+                best.append((-top[1] / top[0], -top[1], first, top[2]))
+        # Spans of taken windows never meet, so the nearest two decide.
+        firsts: list[int] = []
+        taken: dict[int, tuple[int, int]] = {}
+        for _, shared, first, last in sorted(best):
+            i = bisect_left(firsts, first)
+            if (i == 0 or taken[firsts[i - 1]][1] + 1 < first) and (i == len(firsts) or last + 1 < firsts[i]):
+                firsts.insert(i, first)
+                taken[first] = (-shared, last)
+        return [(taken[f][0], f, taken[f][1]) for f in firsts]
+
     def scan(self, text: str | None) -> tuple[list[tuple[int, int, int, int, int]], int]:
         """((template, shared, sizes of both, start, end) of each part and template at or above the threshold, words)."""
         if not text:
@@ -149,9 +220,9 @@ class Scanner:
 def scan_documents(df: DataFrame, text: str = "text", keep: list[str] | None = None, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """Adds license, dice, licenses and part for each whole text.
 
-    license is the identifier of the best match (greatest Dice coefficient, then template order), null if no part reaches
-    the threshold; dice its coefficient, else 0; licenses all matched identifiers, sorted and comma-joined; part the best
-    match's start:end in the lower-cased text. Null and empty texts match nothing. Other columns pass unchanged; columns of
+    license is the identifier of the best match (greatest Dice coefficient, then most shared bigrams, then template order,
+    then parts before windows), null if no part and no window reaches the threshold; dice its coefficient, else 0; licenses
+    all matched identifiers, sorted and comma-joined; part the best match's start:end in the lower-cased text. Null and empty texts match nothing. Other columns pass unchanged; columns of
     the added names are replaced. No shuffle.
     """
 
@@ -161,8 +232,8 @@ def scan_documents(df: DataFrame, text: str = "text", keep: list[str] | None = N
         def work(texts: list[str | None]) -> list[list]:
             out: list[list] = [[], [], [], []]
             for t in texts:
-                found, _ = scanner.scan(t)
-                best = min(found, key=lambda x: (-2 * x[1] / x[2], x[0], x[3], x[4]), default=None)
+                found = [*scanner.scan(t)[0], *scanner.windows(t)]
+                best = min(found, key=lambda x: (-2 * x[1] / x[2], -x[1], x[0]), default=None)
                 row = (scanner.names[best[0]], 2 * best[1] / best[2], ",".join(sorted({scanner.names[x[0]] for x in found})), f"{best[3]}:{best[4]}") if best else (None, 0.0, "", None)
                 for column, v in zip(out, row, strict=True):
                     column.append(v)

@@ -189,6 +189,46 @@ def test_licenses_against_brute_force(docs, no_docs):
     assert licenses.scan_documents(no_docs).collect() == []
 
 
+def bigrams(words):
+    return Counter(zip(words, words[1:], strict=False))
+
+
+def test_license_windows_against_brute_force():
+    rng = random.Random(11)
+    templates = (("A", "a b c d a b"), ("B", "a b c d a b e f g"), ("C", "x y"), ("D", "d c b a"))
+    scanner = licenses.Scanner(templates)
+    for _ in range(400):
+        words = [rng.choice("abcdabcdefgxyz") for _ in range(rng.randint(0, 25))]
+        if rng.random() < 0.6:
+            at = rng.randint(0, len(words))
+            words[at:at] = rng.choice(templates)[1].split()
+        best = {}
+        for i in range(len(words)):
+            for j in range(i + 2, len(words) + 1):
+                own = bigrams(words[i:j])
+                for t, (_, template) in enumerate(templates):
+                    other = bigrams(template.split())
+                    both, n = (own & other).total(), own.total() + other.total()
+                    if 200 * both >= 80 * n:
+                        best[t] = max(best.get(t, 0), 2 * both / n)
+        found = [(t, *w) for t in range(4) for w in scanner._best_windows(words, t, [i for i, g in enumerate(zip(words, words[1:])) if g in scanner.bags[t]])]
+        assert {t: max(2 * s / (b - a + 1 + scanner.sizes[t]) for u, s, a, b in found if u == t) for t in {x[0] for x in found}} == best, words
+
+
+def test_whole_licenses_within_longer_texts(spark):
+    before, after = "Copyright 2020 somebody and others. " * 30, "def unrelated(code): return some other words, nothing else. " * 60
+    mit = licenses.TEMPLATES[0][1].replace('\n', ' ').replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    wrapped = lambda t: "\n".join(" ".join(t.split()[i : i + 7]) for i in range(0, len(t.split()), 7))
+    names = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-3.0"]
+    full = {n: max((t for m, t in licenses.TEMPLATES if m == n), key=len) for n in names}
+    rows = [(n, f"{before}\n{wrapped(t)}\n{after}") for n, t in full.items()] + [("MIT", f"{before}\n\n{mit}\n\n{after}"), ("MIT", f"{after} {mit}"), ("MIT", f"{mit} {after}"), (None, before + after)]
+    got = licenses.scan_documents(spark.createDataFrame(rows, "want string, text string")).collect()
+    for r in got:
+        assert r.license == r.want and r.dice == (1.0 if r.want else 0.0), r.want
+        assert r.want is None or r.text.lower()[slice(*map(int, r.part.split(":")))].split()[0] in ("permission", "redistribution", "licensed", "this")
+    assert all(r.licenses == r.want for r in got if r.want in ("MIT", "BSD-3-Clause"))
+
+
 def test_decontamination(spark, docs, no_docs):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
