@@ -1,9 +1,10 @@
-"""Benchmark decontamination by spaced seeds, with built-in functions only.
+"""Benchmark decontamination by word seeds, with built-in functions only.
 
-Fixed masks ignore some word positions of a window, so a passage with substituted words still shares seeds with its
-benchmark item. Seeds of all texts meet the items' seeds in a broadcast join; around each hit the aligned words are
-compared, and an overlap counts if four in five agree. Items go out in blocks of a measured size, so the broadcast is
-bounded however large the benchmark is, and texts are only ever shuffled as (id, item, counts).
+However the words that may differ lie in a window, they leave some run of words that agree, and its least length follows
+from the window's length. Runs of that length are the seeds, so every overlap holds one. Seeds of all texts meet the items'
+seeds in a broadcast join; along each hit's alignment all windows of the item are compared, and an overlap counts if four in
+five words agree. Items go out in blocks of a measured size, so the broadcast is bounded however large the benchmark is, and
+texts are only ever shuffled as (id, item, counts).
 """
 
 from __future__ import annotations
@@ -13,15 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import stored
+from lodestream.llm.common import let, stored
 
-# The masks' word offsets. Each has five words and leaves two or more residues mod 5 free, so that passages
-# with every fifth word replaced still share seeds.
-MASKS = ((0, 1, 3, 5, 6), (0, 2, 3, 7, 8))
-#: Words of an item that are compared around a hit, at most, and the share of them that must agree.
+#: Words of an item that are compared at once, at most, and the share of them that must agree.
 WINDOW, LEAST_PERCENT = 20, 80
-#: Items shorter than the widest mask are looked for as whole sequences.
-SHORT = max(m[-1] for m in MASKS) + 1
 #: Bytes of seeds that one block of items broadcasts, at most.
 BLOCK_BYTES = 32 << 20
 SEED_BYTES = 64
@@ -33,44 +29,51 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seed_hashes(words: Column, masks: list[tuple[int, ...]]) -> Column:
-    """Seed hashes of each mask at each word, mask after mask; positions past the end count as null words."""
+def seed_words(n: Column) -> Column:
+    """Words of a seed for items of n words: the longest run that the words that may differ can't avoid leaving."""
+    window = F.least(n, F.lit(WINDOW))
+    differing = F.floor(window * (100 - LEAST_PERCENT) / 100)
+    return F.ceil((window - differing) / (differing + 1)).cast("int")
 
-    def of(mask: tuple[int, ...]) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.xxhash64(F.lit(str(mask)), *[F.get(words, i + o) for o in mask]))
 
-    return F.when(F.size(words) > 0, F.concat(*[of(m) for m in masks]))
+def seed_hashes(words: Column, lengths: list[int]) -> Column:
+    """Seed hashes of each length at each word, length after length; positions past the end count as null words."""
 
+    def of(length: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.xxhash64(F.lit(length), *[F.get(words, i + o) for o in range(length)]))
 
-def item_seeds(items: DataFrame, item_id: str, text: str) -> tuple[DataFrame, list[tuple[int, ...]]]:
-    """(item_id, item_at, item, seed) and all masks in use."""
-    words = stored(items.select(F.col(item_id).alias("item_id"), word_hashes(F.col(text)).alias("item")), "decontam-items")
-    lengths = [r[0] for r in words.select(F.size("item").alias("n")).filter(f"n > 0 and n < {SHORT}").distinct().orderBy("n").collect()]
-    masks = [*MASKS, *[tuple(range(n)) for n in lengths]]
-    spread = words.select("item_id", "item", F.posexplode(seed_hashes(F.col("item"), masks)).alias("p", "seed")).withColumn("n", F.size("item"))
-    reach = F.element_at(F.array(*[F.lit(m[-1] + 1) for m in masks]), (F.floor(F.col("p") / F.col("n")) + 1).cast("int"))
-    whole = F.floor(F.col("p") / F.col("n")) >= len(MASKS)
+    return F.when(F.size(words) > 0, F.concat(*[of(n) for n in lengths]))
+
+
+def item_seeds(items: DataFrame, item_id: str, text: str) -> tuple[DataFrame, list[int]]:
+    """(item_id, item_at, item, seed) and all seed lengths in use."""
+    words = stored(items.select(F.col(item_id).alias("item_id"), word_hashes(F.col(text)).alias("item")).filter(F.size("item") > 0), "decontam-items")
+    n = F.size("item")
+    # There are no more than a few lengths, however many items.
+    lengths = [r[0] for r in words.select(seed_words(n).alias("k")).distinct().orderBy("k").collect()] or [1]
+    spread = words.select("item_id", "item", F.posexplode(seed_hashes(F.col("item"), lengths)).alias("p", "seed")).withColumn("n", n)
+    length = F.element_at(F.array(*[F.lit(k) for k in lengths]), (F.floor(F.col("p") / F.col("n")) + 1).cast("int"))
     at = F.col("p") % F.col("n")
-    # A mask must lie within the item; whole-sequence masks serve the items of their own length only.
-    fits = F.when(whole, (F.col("n") == reach) & (at == 0)).otherwise((F.col("n") >= SHORT) & (at + reach <= F.col("n")))
-    return spread.filter(fits).select("item_id", "item", at.cast("int").alias("item_at"), "seed"), masks
+    # A seed must lie within the item and have the item's own length.
+    fits = (length == seed_words(F.col("n"))) & (at + length <= F.col("n"))
+    return spread.filter(fits).select("item_id", "item", at.cast("int").alias("item_at"), "seed"), lengths
 
 
 def overlaps(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(keys, item_id, matched, compared, first_word): one row for each text and item that overlap.
 
-    Around a seed hit, min(WINDOW, the item's length) words of the item are compared with the text's words at the same
-    distance; matched of compared must agree by LEAST_PERCENT or more. matched is the best of the pair's hits, and
-    first_word the least word position where such an overlap begins (it may be negative for an item cut at the start).
+    Any min(WINDOW, the item's length) successive words of the item are compared with the text's words at the same
+    distance; matched of compared must agree by LEAST_PERCENT or more. matched is the best of the pair's overlaps, and
+    first_word the least word position where one begins (it may be negative for an item cut at the start).
     Null and empty texts and items have no words and overlap nothing; empty tables give an empty table. Rows that repeat
     a key are one text's rows and give one row an item.
     """
-    seeds, masks = item_seeds(items, item_id, item_text)
+    seeds, lengths = item_seeds(items, item_id, item_text)
     seeds = stored(seeds, "decontam-seeds")
     size = seeds.agg(F.sum(SEED_BYTES + 8 * F.size("item"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     words = docs.select(*keys, word_hashes(F.col(text)).alias("words"))
-    spread = words.select(*keys, "words", F.posexplode(seed_hashes(F.col("words"), masks)).alias("p", "seed"))
+    spread = words.select(*keys, "words", F.posexplode(seed_hashes(F.col("words"), lengths)).alias("p", "seed"))
     found = [_hits(spread, seeds.filter(F.pmod(F.xxhash64("item_id", "item_at"), F.lit(blocks)) == b) if blocks > 1 else seeds, keys) for b in range(blocks)]
     hits = reduce(DataFrame.unionByName, found)
     return hits.groupBy(*keys, "item_id").agg(F.max("matched").alias("matched"), F.max("compared").alias("compared"), F.min("first_word").alias("first_word"))
@@ -79,14 +82,17 @@ def overlaps(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "te
 def _hits(spread: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
     # The block's size was measured: at most BLOCK_BYTES on average.
     met = spread.join(F.broadcast(seeds), "seed")
-    n = F.size("item")
+    at = F.col("p") % F.size("words")
+    # A run of words that agree has a hit at each of its seeds; its first one stands for all.
+    met = met.filter((F.col("item_at") == 0) | ~F.get("words", at - 1).eqNullSafe(F.get("item", F.col("item_at") - 1)))
+    shift, n = at - F.col("item_at"), F.size("item")
     compared = F.least(n, F.lit(WINDOW))
-    # The window lies around the hit, within the item.
-    start = F.greatest(F.lit(0), F.least(F.col("item_at") - F.lit((WINDOW - SHORT) // 2), n - compared))
-    shift = F.col("p") % F.size("words") - F.col("item_at")
-    matched = F.size(F.filter(F.sequence(start, start + compared - 1), lambda j: F.get("words", j + shift) == F.get("item", j)))
-    made = met.select(*keys, "item_id", matched.cast("long").alias("matched"), compared.cast("long").alias("compared"), (start + shift).cast("long").alias("first_word"))
-    return made.filter(100 * F.col("matched") >= LEAST_PERCENT * F.col("compared"))
+    agree = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.get("words", j + shift).eqNullSafe(F.get("item", j)))
+    counts = let(agree, lambda a: F.transform(F.sequence(F.lit(0), n - compared), lambda s: F.size(F.filter(F.slice(a, s + 1, compared), lambda x: x))))
+    first = lambda c: F.array_min(F.transform(c, lambda m, s: F.when(100 * m >= LEAST_PERCENT * compared, s)))
+    best = let(counts, lambda c: F.struct(F.array_max(c).cast("long").alias("matched"), (first(c) + shift).cast("long").alias("first_word")))
+    made = met.select(*keys, "item_id", best.alias("best"), compared.cast("long").alias("compared"))
+    return made.filter("best.first_word is not null").select(*keys, "item_id", "best.matched", "compared", "best.first_word")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

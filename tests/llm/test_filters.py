@@ -255,6 +255,37 @@ def test_decontamination(spark, docs, no_docs):
     assert decontam.decontaminated(docs, empty).count() == docs.count()
 
 
+def test_decontamination_against_all_alignments(spark):
+    """Random substitutions in items of all lengths and in passages; the wanted rows come from comparing every alignment."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    items = [(n * 10 + k, [word() for _ in range(n)]) for n in range(1, 46) for k in range(2)]
+    rows = []
+    for i, ws in items:
+        for share in (0.0, 0.15, 0.2, 0.2, 0.25):
+            own = list(ws)
+            for at in rng.sample(range(len(own)), round(share * len(own))):
+                own[at] = "other"
+            cut = rng.randint(0, len(own) // 3) if rng.random() < 0.3 else 0
+            rows.append((len(rows), [word() for _ in range(rng.randint(0, 4))] + own[cut:] + [word() for _ in range(rng.randint(0, 4))]))
+    want = {}
+    for d, ws in rows:
+        for i, item in items:
+            size = min(20, len(item))
+            for shift in range(-len(item), len(ws) + 1):
+                agree = [0 <= j + shift < len(ws) and ws[j + shift] == w for j, w in enumerate(item)]
+                if sum(agree) * 100 < 80 * size:
+                    continue
+                for s in range(len(item) - size + 1):
+                    m = sum(agree[s : s + size])
+                    if 100 * m >= 80 * size:
+                        old = want.get((d, i), (0, 0, 10**9))
+                        want[d, i] = (max(m, old[0]), size, min(s + shift, old[2]))
+    frame = lambda data, name: spark.createDataFrame([(k, " ".join(ws)) for k, ws in data], f"{name} long, text string")
+    got = decontam.overlaps(frame(rows, "doc_id"), frame(items, "item_id"), ["doc_id"]).collect()
+    assert {(r.doc_id, r.item_id): (r.matched, r.compared, r.first_word) for r in got} == want
+
+
 @pytest.mark.parametrize("limit", [2000, 10_000])
 def test_decontamination_in_blocks(spark, monkeypatch, limit):
     rng = random.Random(8)
