@@ -35,7 +35,8 @@ QUOTES = "\"'«»„“”‘’‹›`"
 SAMPLE_ROWS = 8000
 #: Learned entries, at most, and what an entry needs: toxic rows, their share of its rows, and a z value.
 LEXICON_ENTRIES, LEAST_ROWS, LEAST_SHARE, LEAST_Z = 64, 4, 0.4, 5.0
-#: Edits allowed in a whole-word entry by its length; stems allow none, as any ending may follow them.
+#: Edits allowed in a whole-word entry by its length; stems allow none, as any ending may follow them. So that misspellings
+#: stay hits, words stay entries beside a stem, up to LEXICON_ENTRIES learned ones and all fixed ones.
 EDITS = ((9, 2), (5, 1))
 #: Tokens on either side of a hit that its context score looks at.
 WINDOW = 6
@@ -61,7 +62,7 @@ class LexiconAutomaton:
         self.entries = entries
         self.edits = [0 if text in exact else edits_of(text, stem) for text, stem in entries]
         children: list[dict[str, int]] = [{}]
-        ends: list[tuple[int, int, bool] | None] = [None]
+        ends: list[list[tuple[int, int, bool]]] = [[]]
         most = [0]
         for k, (text, stem) in enumerate(entries):
             node, allowed = 0, self.edits[k]
@@ -70,11 +71,11 @@ class LexiconAutomaton:
                 if c not in children[node]:
                     children[node][c] = len(children)
                     children.append({})
-                    ends.append(None)
+                    ends.append([])
                     most.append(0)
                 node = children[node][c]
                 most[node] = max(most[node], allowed)
-            ends[node] = (k, allowed, stem)
+            ends[node].append((k, allowed, stem))
         self.children, self.ends, self.most = children, ends, most
         self.alphabet = sorted({c for text, _ in entries for c in text})
         self.start = self._closed({(0, 0)})
@@ -100,9 +101,11 @@ class LexiconAutomaton:
         """The best entry if the token ends here, and the best stem that is met whatever follows."""
         word = stem = None
         for node, e in state:
-            if (end := self.ends[node]) and e <= end[1]:
-                found = (e, end[0])
-                if end[2]:
+            for k, allowed, is_stem in self.ends[node]:
+                if e > allowed:
+                    continue
+                found = (e, k)
+                if is_stem:
                     stem = min(stem or found, found)
                 else:
                     word = min(word or found, found)
@@ -260,7 +263,10 @@ def _prefix_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learned_entries(sample: DataFrame) -> list[tuple[str, bool]]:
-    """Words and stems that go with the label in sample (text, toxic), best first; no entry extends another."""
+    """Words and stems that go with the label in sample (text, toxic), best first.
+
+    No entry extends another, but whole words that give way to a stem follow at the end: they allow edits, the stem doesn't.
+    """
     total = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     if not total.n or not total.t or total.t == total.n:
         return []
@@ -269,11 +275,15 @@ def learned_entries(sample: DataFrame) -> list[tuple[str, bool]]:
     z = (F.col("k") - share * F.col("n")) / F.sqrt(F.col("n") * share * (1 - share) + 1)
     rows = counts.withColumn("z", z).filter((F.col("k") >= LEAST_ROWS) & (F.col("k") >= LEAST_SHARE * F.col("n")) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), F.desc(F.col("form").endswith("$")), F.desc(F.length("form")), "form").limit(50 * LEXICON_ENTRIES).collect()
     out: list[tuple[str, bool]] = []
+    beside: list[tuple[str, bool]] = []
     for r in rows:
         text, stem = r.form.rstrip("$"), not r.form.endswith("$")
-        if len(out) < LEXICON_ENTRIES and not any(text.startswith(t) or t.startswith(text) for t, _ in out):
+        near = [(t, s) for t, s in out if text.startswith(t) or t.startswith(text)]
+        if len(out) < LEXICON_ENTRIES and not near:
             out.append((text, stem))
-    return out
+        elif near and not stem and all(s for _, s in near) and (edits_of(text, False) or not any(text.startswith(t) for t, _ in near)):
+            beside.append((text, False))
+    return out + beside[:LEXICON_ENTRIES]
 
 
 def trained(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -290,7 +300,8 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     sample = stored(found.select("__id", F.coalesce("text", F.lit("")).alias("text"), "toxic", signature.alias("signature")), "toxicity-sample")
     distinct = sample.groupBy("signature").agg(F.min(F.struct("__id", "text", "toxic")).alias("r")).select("r.text", "r.toxic")
     learned = learned_entries(distinct)
-    seeds = [(w, False) for w in SEED_WORDS if not any(w.startswith(t) or t.startswith(w) for t, _ in learned)]
+    # Also beside a learned stem, which allows no edits.
+    seeds = [(w, False) for w in SEED_WORDS if (w, False) not in learned]
     model = Model(entries=[*learned, *seeds])
     # An entry whose near spellings are common in clean texts (its neighbours are words of the language) keeps to itself.
     near = _near_hits(sample.select("toxic", "text"), model).select("toxic", F.explode("near").alias("entry")).groupBy("entry").agg(F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("clean"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic")).collect()
