@@ -1,16 +1,16 @@
-"""Benchmark decontamination by word seeds, with built-in functions only.
+"""Benchmark decontamination by spaced-seed hashing, with built-in functions only.
 
-However the words that may differ lie in a window, they leave some run of words that agree, and its least length follows
-from the window's length. Runs of that length are the seeds, so every overlap holds one. Seeds of all texts meet the items'
-seeds in a broadcast join; along each hit's alignment all windows of the item are compared, and an overlap counts if four in
-five words agree. Items go out in blocks of a measured size, so the broadcast is bounded however large the benchmark is, and
-texts are only ever shuffled as (id, item, counts).
+A mask takes some words of a run and ignores the others, so a hash of the taken words is the same whatever stands at the
+ignored places. For each size of window there is a family of fixed masks such that however the words that may differ lie
+in it, one mask of the family misses them all. Hashes of all texts meet the items' hashes; around each hit, all windows of
+the item that hold it are compared word by word. So every overlap is found, and only overlaps are.
+
+Hashes of items go out in a broadcast while their measured size allows; beyond it both sides are shuffled by hash. Either
+way the texts are read in one pass, and an item's part in a broadcast is in proportion to its words.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +18,20 @@ from lodestream.llm.common import let, stored
 
 #: Words of an item that are compared at once, at most, and the share of them that must agree.
 WINDOW, LEAST_PERCENT = 20, 80
-#: Bytes of seeds that one block of items broadcasts, at most.
-BLOCK_BYTES = 32 << 20
-SEED_BYTES = 64
+#: Bytes of hashes and words of items that are broadcast, at most.
+BROADCAST_BYTES = 64 << 20
+SEED_BYTES, WORD_BYTES = 48, 8
+#: For items of so many words or more, the places of a run that each mask takes. In a window of that size 0, 1,
+#: 2 or 3 words may differ; a family that holds there holds for longer windows with as many, and the last one for 20 with 4.
+MASKS = {
+    1: ((0,),),
+    2: ((0, 1),),
+    3: ((0, 1, 2),),
+    4: ((0, 1, 2, 3),),
+    5: ((0, 1, 2), (0, 1, 4)),
+    10: ((0, 2, 5, 7), (0, 4, 5, 8)),
+    15: ((0, 1, 2, 3, 5), (0, 4, 8, 9, 10)),
+}
 
 
 def word_hashes(text: Column) -> Column:
@@ -29,34 +40,39 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seed_words(n: Column) -> Column:
-    """Words of a seed for items of n words: the longest run that the words that may differ can't avoid leaving."""
-    window = F.least(n, F.lit(WINDOW))
-    differing = F.floor(window * (100 - LEAST_PERCENT) / 100)
-    return F.ceil((window - differing) / (differing + 1)).cast("int")
+def class_of(n: Column) -> Column:
+    """The class of items of n words: the greatest key of MASKS up to n."""
+    return F.greatest(*[F.when(n >= k, F.lit(k)) for k in MASKS])
+
 
+def seeds_at(words: Column, at: Column, masks: list[tuple[int, ...]]) -> Column:
+    """The hash of each mask's words from place `at` on, null where the mask goes beyond the last word."""
 
-def seed_hashes(words: Column, lengths: list[int]) -> Column:
-    """Seed hashes of each length at each word, length after length; positions past the end count as null words."""
+    def one(mask: tuple[int, ...]) -> Column:
+        taken = [F.get(words, at + o) for o in mask]
+        return F.when(at + mask[-1] < F.size(words), F.xxhash64(F.lit(",".join(map(str, mask))), *taken))
 
-    def of(length: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.xxhash64(F.lit(length), *[F.get(words, i + o) for o in range(length)]))
+    return F.array(*[one(x) for x in masks])
 
-    return F.when(F.size(words) > 0, F.concat(*[of(n) for n in lengths]))
 
+def item_words(items: DataFrame, item_id: str, text: str) -> DataFrame:
+    """(item_no, item_id, item): the word hashes of items that have words; written once, so that numbers stay."""
+    words = items.select(F.col(item_id).alias("item_id"), word_hashes(F.col(text)).alias("item")).filter(F.size("item") > 0)
+    return stored(words.select(F.monotonically_increasing_id().alias("item_no"), "item_id", "item"), "decontam-items")
 
-def item_seeds(items: DataFrame, item_id: str, text: str) -> tuple[DataFrame, list[int]]:
-    """(item_id, item_at, item, seed) and all seed lengths in use."""
-    words = stored(items.select(F.col(item_id).alias("item_id"), word_hashes(F.col(text)).alias("item")).filter(F.size("item") > 0), "decontam-items")
+
+def item_seeds(words: DataFrame, classes: list[int]) -> DataFrame:
+    """(seed, item_no, item_at, span): each mask of an item's class at each place where it fits."""
     n = F.size("item")
-    # There are no more than a few lengths, however many items.
-    lengths = [r[0] for r in words.select(seed_words(n).alias("k")).distinct().orderBy("k").collect()] or [1]
-    spread = words.select("item_id", "item", F.posexplode(seed_hashes(F.col("item"), lengths)).alias("p", "seed")).withColumn("n", n)
-    length = F.element_at(F.array(*[F.lit(k) for k in lengths]), (F.floor(F.col("p") / F.col("n")) + 1).cast("int"))
-    at = F.col("p") % F.col("n")
-    # A seed must lie within the item and have the item's own length.
-    fits = (length == seed_words(F.col("n"))) & (at + length <= F.col("n"))
-    return spread.filter(fits).select("item_id", "item", at.cast("int").alias("item_at"), "seed"), lengths
+    parts = None
+    for k in classes:
+        masks = list(MASKS[k])
+        spans = F.array(*[F.lit(x[-1] + 1) for x in masks])
+        own = words.filter(class_of(n) == k).select("item_no", "item", F.posexplode("item").alias("item_at", "__w"))
+        made = own.select("item_no", "item_at", F.explode(F.arrays_zip(seeds_at(F.col("item"), F.col("item_at"), masks).alias("seed"), spans.alias("span"))).alias("s"))
+        made = made.select("s.seed", "item_no", "item_at", "s.span").filter("seed is not null")
+        parts = made if parts is None else parts.unionByName(made)
+    return parts
 
 
 def overlaps(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -68,31 +84,41 @@ def overlaps(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "te
     Null and empty texts and items have no words and overlap nothing; empty tables give an empty table. Rows that repeat
     a key are one text's rows and give one row an item.
     """
-    seeds, lengths = item_seeds(items, item_id, item_text)
-    seeds = stored(seeds, "decontam-seeds")
-    size = seeds.agg(F.sum(SEED_BYTES + 8 * F.size("item"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    words = docs.select(*keys, word_hashes(F.col(text)).alias("words"))
-    spread = words.select(*keys, "words", F.posexplode(seed_hashes(F.col("words"), lengths)).alias("p", "seed"))
-    found = [_hits(spread, seeds.filter(F.pmod(F.xxhash64("item_id", "item_at"), F.lit(blocks)) == b) if blocks > 1 else seeds, keys) for b in range(blocks)]
-    hits = reduce(DataFrame.unionByName, found)
-    return hits.groupBy(*keys, "item_id").agg(F.max("matched").alias("matched"), F.max("compared").alias("compared"), F.min("first_word").alias("first_word"))
-
-
-def _hits(spread: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
-    # The block's size was measured: at most BLOCK_BYTES on average.
-    met = spread.join(F.broadcast(seeds), "seed")
-    at = F.col("p") % F.size("words")
-    # A run of words that agree has a hit at each of its seeds; its first one stands for all.
-    met = met.filter((F.col("item_at") == 0) | ~F.get("words", at - 1).eqNullSafe(F.get("item", F.col("item_at") - 1)))
-    shift, n = at - F.col("item_at"), F.size("item")
-    compared = F.least(n, F.lit(WINDOW))
-    agree = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.get("words", j + shift).eqNullSafe(F.get("item", j)))
-    counts = let(agree, lambda a: F.transform(F.sequence(F.lit(0), n - compared), lambda s: F.size(F.filter(F.slice(a, s + 1, compared), lambda x: x))))
-    first = lambda c: F.array_min(F.transform(c, lambda m, s: F.when(100 * m >= LEAST_PERCENT * compared, s)))
-    best = let(counts, lambda c: F.struct(F.array_max(c).cast("long").alias("matched"), (first(c) + shift).cast("long").alias("first_word")))
-    made = met.select(*keys, "item_id", best.alias("best"), compared.cast("long").alias("compared"))
-    return made.filter("best.first_word is not null").select(*keys, "item_id", "best.matched", "compared", "best.first_word")
+    known = item_words(items, item_id, item_text)
+    # As many rows as MASKS has classes, at most.
+    sizes = known.groupBy(class_of(F.size("item")).alias("k")).agg(F.sum(F.size("item")).alias("words")).collect()
+    classes = sorted(r.k for r in sizes)
+    masks = list(dict.fromkeys(x for k in classes for x in MASKS[k])) or [(0,)]
+    seeds = item_seeds(known, classes or [1])
+    size = sum(r.words * (SEED_BYTES * len(MASKS[r.k]) + WORD_BYTES) for r in sizes)
+    words = docs.select(*keys, word_hashes(F.col(text)).alias("words")).filter(F.size("words") > 0)
+    spread = words.select(*keys, "words", F.posexplode("words").alias("at", "__w"))
+    spread = spread.select(*keys, "words", "at", F.explode(seeds_at(F.col("words"), F.col("at"), masks)).alias("seed")).filter("seed is not null")
+    named = known.select("item_no", "item_id", "item")
+    if size <= BROADCAST_BYTES:
+        met = spread.join(F.broadcast(seeds), "seed").join(F.broadcast(named), "item_no")
+    else:
+        # Hashes travel without their texts' words, which only texts with hits bring along afterwards.
+        hits = spread.select(*keys, "at", "seed").join(seeds, "seed").drop("seed")
+        same = [F.col(k).eqNullSafe(F.col(f"__hit_{i}")) for i, k in enumerate(keys)]
+        hits = hits.select(*[F.col(k).alias(f"__hit_{i}") for i, k in enumerate(keys)], "at", "item_no", "item_at", "span")
+        met = words.join(hits, same).select(*keys, "words", "at", "item_no", "item_at", "span").join(named, "item_no")
+    return _agreeing(met, keys).groupBy(*keys, "item_id").agg(F.max("matched").alias("matched"), F.max("compared").alias("compared"), F.min("first_word").alias("first_word"))
+
+
+def _agreeing(met: DataFrame, keys: list[str]) -> DataFrame:
+    """The best of the item's windows around each hit, where one agrees well enough."""
+    n = F.size("item")
+    made = met.select(*keys, "item_id", "words", "item", "at", "item_at", "span", F.least(n, F.lit(WINDOW)).alias("size"))
+    # Windows of `size` words that hold the hit and lie within the item begin at item places lo..hi.
+    lo, hi = F.greatest(F.lit(0), F.col("item_at") + F.col("span") - F.col("size")), F.least(F.col("item_at"), n - F.col("size"))
+    made = made.select(*keys, "item_id", "words", "item", "size", (F.col("at") - F.col("item_at")).alias("shift"), lo.alias("lo"), hi.alias("hi"))
+    agree = F.transform(F.sequence(F.col("lo"), F.col("hi") + F.col("size") - 1), lambda j: F.when(F.get("words", j + F.col("shift")).eqNullSafe(F.get("item", j)), F.lit(1)).otherwise(F.lit(0)))
+    counts = let(agree, lambda a: F.transform(F.sequence(F.lit(0), F.col("hi") - F.col("lo")), lambda s: F.aggregate(F.slice(a, s + 1, F.col("size")), F.lit(0), lambda x, y: x + y)))
+    first = lambda c: F.array_min(F.transform(c, lambda m, s: F.when(100 * m >= LEAST_PERCENT * F.col("size"), s)))
+    best = let(counts, lambda c: F.struct(F.array_max(c).cast("long").alias("matched"), (first(c) + F.col("lo") + F.col("shift")).cast("long").alias("first_word")))
+    found = made.select(*keys, "item_id", best.alias("best"), F.col("size").cast("long").alias("compared"))
+    return found.filter("best.first_word is not null").select(*keys, "item_id", "best.matched", "compared", "best.first_word")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -102,17 +128,17 @@ def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
     return docs.join(found, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left_anti")
 
 
-#: The same rows in DuckDB's SQL.
+#: The same rows in DuckDB's SQL, by runs of words that an overlap can't lack: with d differing words in a window of c, some
+#: run of ceil((c - d) / (d + 1)) words agrees. Every alignment that has such a run is compared in all windows.
 SQL = r"""
-WITH mask AS (SELECT * FROM (VALUES (0, [0, 1, 3, 5, 6]), (1, [0, 2, 3, 7, 8])) v(m, os)),
-dw AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
-iw AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark),
-ds AS (SELECT doc_id, ws, m, i, array_to_string(list_transform(os, lambda o: ws[i + o + 1]), ' ') AS k FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM dw), mask WHERE i + os[-1] < len(ws)),
-isd AS (SELECT item_id, ws, m, i, array_to_string(list_transform(os, lambda o: ws[i + o + 1]), ' ') AS k FROM (SELECT item_id, ws, unnest(range(len(ws))) AS i FROM iw), mask WHERE i + os[-1] < len(ws)
-  UNION ALL SELECT item_id, ws, 1 + len(ws), 0, array_to_string(ws, ' ') FROM iw WHERE len(ws) BETWEEN 1 AND 8),
-dl AS (SELECT * FROM ds UNION ALL SELECT doc_id, ws, 1 + l, i, array_to_string(ws[i + 1:i + l], ' ') FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM dw), (SELECT DISTINCT len(ws) AS l FROM iw WHERE len(ws) BETWEEN 1 AND 8) WHERE i + l <= len(ws)),
-h AS (SELECT doc_id, item_id, d.ws AS dws, s.ws AS iws, d.i AS di, s.i AS ii, least(len(s.ws), 20) AS c FROM dl d JOIN isd s ON d.m = s.m AND d.k = s.k),
-g AS (SELECT *, greatest(0, least(ii - 5, len(iws) - c)) AS a FROM h),
-v AS (SELECT doc_id, item_id, c AS compared, a + di - ii AS first_word, len(list_filter(range(a, a + c), lambda j: j + di - ii >= 0 AND dws[j + di - ii + 1] = iws[j + 1])) AS matched FROM g)
-SELECT doc_id, item_id, max(matched)::BIGINT AS matched, max(compared)::BIGINT AS compared, min(first_word)::BIGINT AS first_word FROM v WHERE 100 * matched >= 80 * compared GROUP BY ALL
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
+iw AS (SELECT item_id, ws, len(ws) AS n, least(len(ws), 20) AS c, least(len(ws), 20) // 5 AS d
+  FROM (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark) WHERE len(ws) > 0),
+ir AS (SELECT *, (c - d + d) // (d + 1) AS r FROM iw),
+isd AS (SELECT item_id, ws, n, c, r, i, array_to_string(ws[i + 1:i + r], ' ') AS k FROM (SELECT *, unnest(range(n - r + 1)) AS i FROM ir)),
+ds AS (SELECT doc_id, ws, r, i, array_to_string(ws[i + 1:i + r], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM dw), (SELECT DISTINCT r FROM ir) WHERE i + r <= len(ws)),
+h AS (SELECT DISTINCT doc_id, item_id, x.ws AS dws, s.ws AS iws, n, c, x.i - s.i AS shift FROM ds x JOIN isd s ON x.r = s.r AND x.k = s.k),
+g AS (SELECT *, list_transform(range(n), lambda j: CASE WHEN j + shift >= 0 AND dws[j + shift + 1] = iws[j + 1] THEN 1 ELSE 0 END) AS ok FROM h),
+v AS (SELECT doc_id, item_id, c, s, s + shift AS first_word, list_sum(ok[s + 1:s + c]) AS matched FROM (SELECT *, unnest(range(n - c + 1)) AS s FROM g))
+SELECT doc_id, item_id, max(matched)::BIGINT AS matched, max(c)::BIGINT AS compared, min(first_word)::BIGINT AS first_word FROM v WHERE 100 * matched >= 80 * c GROUP BY ALL
 """

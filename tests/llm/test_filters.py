@@ -1,6 +1,7 @@
 """Quality rules, toxicity, personal data, licences and decontamination."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -35,6 +36,9 @@ def test_quality_counts(docs, no_docs):
             failed = want[0] < 50 or 100 * want[4] > 50 * want[0]
             assert r.base_failed == failed and (not r.kept or not failed)
     assert quality.quality_rules(no_docs, keep=["doc_id"]).collect() == []
+    again = quality.quality_rules(docs, keep=["doc_id", "n_words", "kept", "score"])
+    assert again.columns.count("n_words") == again.columns.count("kept") == 1 and "score" in again.columns
+    assert sorted(map(str, again.select(*got[0].__fields__).collect())) == sorted(map(str, got))
 
 
 def test_quality_equals_sql_and_keeps_clean_rows(spark):
@@ -299,11 +303,31 @@ def test_decontamination_against_all_alignments(spark):
     assert {(r.doc_id, r.item_id): (r.matched, r.compared, r.first_word) for r in got} == want
 
 
-@pytest.mark.parametrize("limit", [2000, 10_000])
-def test_decontamination_in_blocks(spark, monkeypatch, limit):
+def test_masks_miss_no_admissible_pattern():
+    for n in range(1, decontam.WINDOW + 1):
+        family = decontam.MASKS[max(k for k in decontam.MASKS if k <= n)]
+        placed = [{at + o for o in mask} for mask in family for at in range(n - mask[-1])]
+        for differing in itertools.combinations(range(n), n * (100 - decontam.LEAST_PERCENT) // 100):
+            assert any(not hit & set(differing) for hit in placed), (n, differing)
+
+
+def test_long_items_broadcast_in_proportion(spark):
+    """One item of 20,000 words: as many hashes as its words allow, each a few bytes."""
+    words = [str(i * 7919) for i in range(20_000)]
+    known = decontam.item_words(spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"), "item_id", "text")
+    seeds = decontam.item_seeds(known, [15])
+    assert [f.name for f in seeds.schema] == ["seed", "item_no", "item_at", "span"]
+    assert seeds.count() == sum(20_000 - mask[-1] for mask in decontam.MASKS[15])
+    docs = spark.createDataFrame([(1, " ".join(words[500:520])), (2, " ".join(words[500:510]))], "doc_id long, text string")
+    got = decontam.overlaps(docs, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"), ["doc_id"]).collect()
+    assert [(r.doc_id, r.matched, r.first_word) for r in got] == [(1, 20, -4)]
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_decontamination_by_shuffle(spark, monkeypatch, limit):
     rng = random.Random(8)
     items = [(k, " ".join(str(rng.randrange(10**6)) for _ in range(25))) for k in range(12)]
     df = spark.createDataFrame([(k, f"a b c {t} d") for k, t in items], "doc_id long, text string")
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", limit * 20)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)
     got = decontam.overlaps(df, spark.createDataFrame(items, "item_id long, text string"), ["doc_id"]).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(12)]
