@@ -2,8 +2,10 @@
 
 Every text is measured once with built-in functions. The measures of the texts that pass the fixed base rules go into
 quantile sketches, one a (language, source): histograms over buckets of five significant bits, so a quantile is right to
-one part in 32, and sketches merge by adding counts. Outer fences from the quartiles give the thresholds; small groups
-take the merged sketch of their language, or of all. Joined with its thresholds, each text gets its verdict.
+one part in 32, and sketches merge by adding counts. Outer fences from the quartiles give the thresholds. A share that
+is the same in most texts of a group has no spread of its own; there the weight of one occurrence in the group's short
+texts, from the sketch of their sizes, stands for it. Small groups take the merged sketch of their language, or of all.
+Joined with its thresholds, each text gets its verdict.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from lodestream.llm.common import SPACE, SPACE_CHARS, let, stored, word_array
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 
-#: (measure, in units, margin beyond the fences, has a lower fence). A measure that hardly varies keeps at least its margin.
-MEASURES = (("symbols", 60, False), ("dup_lines", 500, False), ("repeats", 400, False), ("word_length", 150, True))
-#: Fences lie so many quartile distances beyond the quartiles.
-REACH = 3
+#: (measure, its texts' size, units that one occurrence adds in a text of size 1, has a lower fence). The least repetition
+#: is two windows of three words; word length has no occurrences.
+MEASURES = (("symbols", "chars", 1000, False), ("dup_lines", "lines", 1000, False), ("repeats", "words", 6000, False), ("word_length", None, 0, True))
+#: Fences lie so many spreads beyond the quartiles; a spread is the quartiles' distance or one occurrence, the larger.
+REACH = 5
 #: A group with fewer texts takes the merged sketch of its language, and that failing of all.
 LEAST_GROUP = 30
 
@@ -66,37 +69,48 @@ def measures() -> dict[str, Column]:
     }
 
 
+def sizes() -> dict[str, Column]:
+    return {"chars": F.col("word_chars"), "lines": F.col("n_lines"), "words": F.col("n_words")}
+
+
+def width(v: Column) -> Column:
+    """How many values share v's bucket."""
+    return F.pow(F.lit(2), F.greatest(F.length(F.bin(v)) - 6, F.lit(0))).cast("long")
+
+
 def bucket(v: Column) -> Column:
     """v with five significant bits after the first kept."""
-    drop = F.greatest(F.length(F.bin(v)) - 6, F.lit(0))
-    return v - F.pmod(v, F.pow(F.lit(2), drop).cast("long"))
+    return v - F.pmod(v, width(v))
 
 
 def sketches(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, measure, bucket, n): one sketch a group and measure, merged by adding n."""
-    one = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), bucket(v).alias("bucket")) for k, v in measures().items()])).alias("m")
+    one = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), bucket(v).alias("bucket")) for k, v in (measures() | sizes()).items()])).alias("m")
     return rows.select(*keys, one).groupBy(*keys, "m.measure", "m.bucket").agg(F.count("*").alias("n"))
 
 
 def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, group_rows, <measure>_low, <measure>_high) from the sketches' quartiles."""
+    """(keys, group_rows, <measure>_low, <measure>_high) from the sketches' quartiles and the sizes' first tenth."""
     from pyspark.sql import Window
 
     group = Window.partitionBy(*keys, "measure")
     upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     cum = sketch.select(*keys, "measure", "bucket", upto.alias("upto"), F.sum("n").over(group).alias("total"))
-    quartiles = cum.groupBy(*keys, "measure").agg(F.max("total").alias("total"), F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bucket"))).alias("q1"), F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bucket"))).alias("q3"))
-    spread = REACH * (F.col("q3") - F.col("q1"))
+    at = lambda tenths: F.min(F.when(20 * F.col("upto") >= tenths * F.col("total"), F.col("bucket")))
+    quantiles = cum.groupBy(*keys, "measure").agg(F.max("total").alias("total"), at(2).alias("short"), at(5).alias("q1"), at(15).alias("q3"))
+    own = lambda name, c: F.max(F.when(F.col("measure") == name, F.col(c)))
     cols = [F.max("total").alias("group_rows")]
-    for name, margin, has_low in MEASURES:
-        own = F.col("measure") == name
-        cols.append(F.max(F.when(own, F.col("q3") + F.greatest(spread, F.lit(margin)))).alias(f"{name}_high"))
+    for name, size, units, has_low in MEASURES:
+        one = F.ceil(F.lit(units) / F.greatest(own(size, "short"), F.lit(1))) if size else F.lit(0)
+        # Quartiles are known to one bucket.
+        spread = REACH * F.greatest(own(name, "q3") - own(name, "q1") + width(own(name, "q3")), one)
+        cols.append((own(name, "q3") + spread).cast("long").alias(f"{name}_high"))
         if has_low:
-            cols.append(F.max(F.when(own, F.col("q1") - F.greatest(spread, F.lit(margin)))).alias(f"{name}_low"))
-    return quartiles.groupBy(*keys).agg(*cols)
+            cols.append((own(name, "q1") - spread).cast("long").alias(f"{name}_low"))
+    return quantiles.groupBy(*keys).agg(*cols)
 
 
-LIMITS = [x for name, _, has_low in MEASURES for x in ([f"{name}_high", f"{name}_low"] if has_low else [f"{name}_high"])]
+LIMITS = [x for name, _, _, has_low in MEASURES for x in ([f"{name}_high", f"{name}_low"] if has_low else [f"{name}_high"])]
 
 
 def thresholds(rows: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -133,10 +147,14 @@ def quality_rules(df: DataFrame, keep: list[str], text: str = "text", lang: str
     """One row for each row of df: keep, the base counts, base_failed and kept.
 
     Null and empty texts have no words, fail the base rules and are not kept. Repeated rows are measured alike and all
-    returned. An empty table gives an empty table. Columns of df that aren't in keep are never read.
+    returned. An empty table gives an empty table. Columns of df that aren't in keep are never read; a kept column with the
+    name of one that is added gives way to it.
     """
-    rows = stored(measured(df.select(*dict.fromkeys([*keep, lang, source]), F.col(text).alias("__text")), "__text").drop("__text"), "quality-measures")
-    return judged(rows, lang, source).select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    df = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, lang, source])], F.col(f"`{text}`").alias("__text"))
+    keep = [c for c in keep if c.lower() not in made]
+    rows = stored(measured(df, "__text").drop("__text"), "quality-measures")
+    return judged(rows, lang, source).select(*keep, *made)
 
 
 #: The same rows in DuckDB's SQL.
@@ -154,14 +172,18 @@ m AS (SELECT d.rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(reg
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 1000 * n_symbols // greatest(word_chars, 1) AS symbols,
   1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines, 1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 100 * word_chars // greatest(n_words, 1) AS word_length FROM m),
 v AS (SELECT lang, source, 'symbols' AS measure, symbols AS x FROM b WHERE NOT base_failed UNION ALL SELECT lang, source, 'dup_lines', dup_lines FROM b WHERE NOT base_failed
-  UNION ALL SELECT lang, source, 'repeats', repeats FROM b WHERE NOT base_failed UNION ALL SELECT lang, source, 'word_length', word_length FROM b WHERE NOT base_failed),
+  UNION ALL SELECT lang, source, 'repeats', repeats FROM b WHERE NOT base_failed UNION ALL SELECT lang, source, 'word_length', word_length FROM b WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'chars', word_chars FROM b WHERE NOT base_failed UNION ALL SELECT lang, source, 'lines', n_lines FROM b WHERE NOT base_failed UNION ALL SELECT lang, source, 'words', n_words FROM b WHERE NOT base_failed),
 k AS (SELECT lang, source, measure, x - x % (1 << greatest(length(bin(x)) - 6, 0)) AS bucket FROM v),
 lv AS (SELECT 0 AS lv, lang, source, measure, bucket, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 1, lang, NULL, measure, bucket, count(*) FROM k GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, measure, bucket, count(*) FROM k GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lv, lang, source, measure) AS total FROM lv),
-q AS (SELECT lv, lang, source, measure, max(total) AS total, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3 FROM c GROUP BY ALL),
-f AS (SELECT lv, lang, source, max(total) AS group_rows, max(q3 + greatest(3 * (q3 - q1), 60)) FILTER (measure = 'symbols') AS symbols_high,
-  max(q3 + greatest(3 * (q3 - q1), 500)) FILTER (measure = 'dup_lines') AS dup_lines_high, max(q3 + greatest(3 * (q3 - q1), 400)) FILTER (measure = 'repeats') AS repeats_high,
-  max(q3 + greatest(3 * (q3 - q1), 150)) FILTER (measure = 'word_length') AS word_length_high, max(q1 - greatest(3 * (q3 - q1), 150)) FILTER (measure = 'word_length') AS word_length_low FROM q GROUP BY ALL),
+q AS (SELECT lv, lang, source, measure, max(total) AS total, min(bucket) FILTER (10 * upto >= total) AS short, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3 FROM c GROUP BY ALL),
+e AS (SELECT lv, lang, source, max(total) AS group_rows, max(short) FILTER (measure = 'chars') AS chars, max(short) FILTER (measure = 'lines') AS lines, max(short) FILTER (measure = 'words') AS words,
+  max(q3) FILTER (measure = 'symbols') AS s3, max(sp) FILTER (measure = 'symbols') AS sd, max(q3) FILTER (measure = 'dup_lines') AS d3, max(sp) FILTER (measure = 'dup_lines') AS dd,
+  max(q3) FILTER (measure = 'repeats') AS r3, max(sp) FILTER (measure = 'repeats') AS rd, max(q3) FILTER (measure = 'word_length') AS w3, max(q1) FILTER (measure = 'word_length') AS w1, max(sp) FILTER (measure = 'word_length') AS wd
+  FROM (SELECT *, q3 - q1 + (1 << greatest(length(bin(q3)) - 6, 0)) AS sp FROM q) GROUP BY ALL),
+f AS (SELECT lv, lang, source, group_rows, s3 + 5 * greatest(sd, ceil(1000 / greatest(chars, 1))) AS symbols_high, d3 + 5 * greatest(dd, ceil(1000 / greatest(lines, 1))) AS dup_lines_high,
+  r3 + 5 * greatest(rd, ceil(6000 / greatest(words, 1))) AS repeats_high, w3 + 5 * wd AS word_length_high, w1 - 5 * wd AS word_length_low FROM e),
 g AS (SELECT o.lang, o.source, CASE WHEN o.group_rows >= 30 THEN 0 WHEN a.group_rows >= 30 THEN 1 ELSE 2 END AS lv FROM f o JOIN f a ON o.lv = 0 AND a.lv = 1 AND o.lang IS NOT DISTINCT FROM a.lang),
 h AS (SELECT g.lang, g.source, f.* EXCLUDE (lv, lang, source) FROM g JOIN f ON f.lv = g.lv AND (g.lv = 2 OR f.lang IS NOT DISTINCT FROM g.lang) AND (g.lv > 0 OR f.source IS NOT DISTINCT FROM g.source))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
