@@ -2,9 +2,10 @@
 
 Tokens with a digit or an @ are the field's nodes. Neighbours share chain potentials; equal tokens, and tokens with equal
 digits, share skip potentials however far apart they are, each with its next occurrence, so edges stay in proportion to
-tokens. Loopy belief propagation passes messages over both kinds of edges, so a form that is clear in one place is found
-in the others. Weights are fitted by pseudo-likelihood on a bounded sample, labelled by the fixed patterns; forms that
-match a pattern but fail its check stay unlabelled there. What the field finds is added to the fixed patterns' spans.
+tokens. Loopy belief propagation passes messages over both kinds of edges, so a form that is clear in one place, by its
+shape or by the words before it, is found in the others where it stands bare. Weights are fitted by pseudo-likelihood on a
+bounded sample, labelled by the fixed patterns; forms that could be personal data but match no pattern stay unlabelled
+there. What the field finds is added to the fixed patterns' spans.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from lodestream.llm.common import map_texts, ship
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
-#: Documents that the weights are fitted on, at most: those whose doc_id has the smallest hashes; tokens of each, at most.
+#: Documents that the weights are fitted on, at most: those whose id and text have the smallest hashes; and tokens of each,
+#: at most: those whose places have the smallest hashes.
 SAMPLE_DOCS, SAMPLE_TOKENS = 3000, 300
-ROUNDS, DAMPING, LEAST_MARGINAL = 12, 0.3, 0.6
+ROUNDS, DAMPING, LEAST_MARGINAL = 30, 0.3, 0.6
 
 # The fixed patterns, written so that no text makes them go back over it: a run of digits is never entered in its middle.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -93,60 +95,86 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return out
 
 
-# Features of a token, each a pattern or a count, with the prior weights of LABELS.
+# Features of a token, each a pattern or a count, with the prior weights of LABELS. What could be a phone number or not has
+# about even weights, so that neighbours, cues and other mentions decide.
 _SHAPES = (
     (re.compile(r".+@[^@]+\.[^@.]+"), (0, 7, 0, 0, 0)),
     (re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), (0, 0, 7, 0, 0)),
-    (re.compile(r"[0-9]{14,19}"), (0, 0, 0, 7, 0)),
-    (re.compile(r"[0-9]{4}(?:-[0-9]{4,7}){2,3}"), (0, 0, 0, 7, 0)),
     (re.compile(r"[0-9]{4}"), (2, 0, 0, 1, 0)),
     (re.compile(r"\+[0-9]{1,3}"), (0, 0, 0, 0, 3)),
-    (re.compile(r"\([0-9]{2,4}\)"), (0, 0, 0, 0, 3)),
-    (re.compile(r"[0-9]{3}-[0-9]{4}"), (0, 0, 0, 0, 4)),
-    (re.compile(r"\+?[0-9]{1,3}(?:[-.()][0-9]{2,4}){2,4}"), (0, 0, 0, 0, 4)),
+    (re.compile(r"\([0-9]{2,4}\)"), (0, 0, 0, 0, 2)),
+    (re.compile(r"[0-9]{3}-[0-9]{4}"), (0, 0, 0, 0, 1.5)),
+    (re.compile(r"\+?[0-9]{1,3}(?:[-.()][0-9]{2,4}){2,4}"), (0, 0, 0, 0, 1.5)),
+    (re.compile(r"[0-9]{7,13}"), (0, 0, 0, 0, 1.5)),
 )
-_COUNTS = ((0, 0, (2, 0, 0, 0, 0)), (1, 5, (2, 0, 0, 0, 0)), (6, 13, (1, 0, 0, 0, 0)), (14, 19, (0, 0, 0, 1, 0)), (20, 1 << 30, (4, 0, 0, 0, 0)))
+# Numbers of a card's length, by whether the check digit is right.
+_CARDS = ((3, 0, 0, 2, 0), (0, 0, 0, 7, 0))
+_COUNTS = ((0, 0, (2, 0, 0, 0, 0)), (1, 5, (2, 0, 0, 0, 0)), (6, 13, (1, 0, 0, 0, 0)), (14, 19, (0, 0, 0, 1, 0)), (20, 1 << 62, (4, 0, 0, 0, 0)))
 _LETTERS = (3, 1, 0, 0, 0)
-# Words before a token that speak for a kind, in the languages of the corpus.
+# Words shortly before a token that speak for a kind, in the languages of the corpus.
 _CUES = (frozenset("mail email e-mail correo courriel".split()), frozenset("ip host server serveur servidor".split()), frozenset("card visa mastercard karte carte tarjeta".split()), frozenset("tel phone call telefon telefono teléfono téléphone".split()))
+_CUE_WEIGHT, _CUE_WORDS, _CUE_CHARS = 5, 4, 40
 _BIAS = (1, 0, 0, 0, 0)
-N_FEATURES = len(_SHAPES) + len(_COUNTS) + 1 + len(_CUES) + 1
+N_FEATURES = len(_SHAPES) + len(_CARDS) + len(_COUNTS) + 1 + len(_CUES) + 1
+# Shapes from the fourth to the last of these leave a token without a label; so do cues.
+_OTHER_FROM = len(_SHAPES) + len(_CARDS)
+_CUE_IDS = range(_OTHER_FROM + len(_COUNTS) + 1, _OTHER_FROM + len(_COUNTS) + 1 + len(_CUES))
+_CARD_FORM = re.compile(r"[0-9]{14,19}|[0-9]{4}(?:-[0-9]{2,7}){2,4}")
 
 
 def prior() -> np.ndarray:
     """Weights (features, labels), then the chain's (labels, labels), then the skip edges' single weight."""
-    cue_rows = [[1.5 * (k == i + 1) for k in range(len(LABELS))] for i in range(len(_CUES))]
-    unary = np.array([*[w for _, w in _SHAPES], *[w for *_, w in _COUNTS], _LETTERS, *cue_rows, _BIAS], dtype=float)
+    cue_rows = [[_CUE_WEIGHT * (k == i + 1) for k in range(len(LABELS))] for i in range(len(_CUES))]
+    unary = np.array([*[w for _, w in _SHAPES], *_CARDS, *[w for *_, w in _COUNTS], _LETTERS, *cue_rows, _BIAS], dtype=float)
     chain = np.zeros((len(LABELS), len(LABELS)))
     chain[3, 3], chain[4, 4] = 1.5, 2.5
-    return np.concatenate([unary.ravel(), chain.ravel(), [2.0]])
+    return np.concatenate([unary.ravel(), chain.ravel(), [4.0]])
+
+
+def cues(text: str, at: int) -> list[int]:
+    """The kinds that the words before a place speak for; words with a digit are no cues and end the search."""
+    found = []
+    for word in reversed(text[max(0, at - _CUE_CHARS) : at].lower().split()[-_CUE_WORDS:]):
+        if _MARK.search(word):
+            break
+        found += [i for i, words in enumerate(_CUES) if word.strip(".,:;#=()") in words]
+    return found
 
 
 def feature_ids(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
     out = []
+    cards = len(_SHAPES)
+    counts = cards + len(_CARDS)
+    letters = counts + len(_COUNTS)
     for s, e in spans:
-        token = text[s:e] if e - s <= 128 else text[s : s + 64] + text[e - 64 : e]
-        n = len(_DIGITS.findall(token)) if e - s <= 128 else e - s
+        token = text[s:e]
+        digits = "".join(_DIGITS.findall(token))
+        n = len(digits)
         ids = [i for i, (p, _) in enumerate(_SHAPES) if p.fullmatch(token)]
-        ids += [len(_SHAPES) + i for i, (lo, hi, _) in enumerate(_COUNTS) if lo <= n <= hi]
+        if 14 <= n <= 19 and _CARD_FORM.fullmatch(token):
+            ids.append(cards + luhn(digits))
+        ids += [counts + i for i, (lo, hi, _) in enumerate(_COUNTS) if lo <= n <= hi]
         if any(c.isalpha() for c in token) and "@" not in token:
-            ids.append(len(_SHAPES) + len(_COUNTS))
-        before = text[max(0, s - 24) : s].lower().split()
-        if before:
-            word = before[-1].strip(".,:;#=()")
-            ids += [len(_SHAPES) + len(_COUNTS) + 1 + i for i, words in enumerate(_CUES) if word in words]
+            ids.append(letters)
+        ids += sorted({letters + 1 + i for i in cues(text, s)})
         out.append([*ids, N_FEATURES - 1])
     return out
 
 
 def edges(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges between tokens with only white space between them, and skip edges to the next token of equal form or digits."""
+    """Chain edges between tokens with only white space between them, and skip edges to the next similar token.
+
+    Tokens are similar if their forms are equal but for case, or their digits; of phone numbers the last seven count.
+    """
     chain = [(i, i + 1) for i in range(len(spans) - 1) if spans[i + 1][0] - spans[i][1] <= 8 and not text[spans[i][1] : spans[i + 1][0]].strip()]
     skip, last = set(), {}
     for i, (s, e) in enumerate(spans):
         form = text[s:e].lower()
-        digits = "".join(_DIGITS.findall(form)) if e - s <= 128 else ""
-        for key in {("form", form), ("digits", digits) if len(digits) >= 7 else ("form", form)}:
+        digits = "".join(_DIGITS.findall(form)) if not any(c.isalpha() for c in form) else ""
+        keys = {("form", form)}
+        if len(digits) >= 7:
+            keys.add(("digits", digits[-7:] if len(digits) < 14 else digits))
+        for key in keys:
             if key in last and last[key] != i:
                 skip.add((last[key], i))
             last[key] = i
@@ -217,7 +245,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], weights: np.ndarray
         while at < len(base) and base[at][2] <= s and base[at][0] < s:
             at += 1
         touched = any(b[0] < e and s < b[2] for b in base[max(0, at - 4) : at + 8])
-        if not touched and e - s <= 320 and _plausible(k, text[s:e]):
+        if not touched and _plausible(k, text[s:e]):
             out.append((s, k, e))
     return out
 
@@ -237,72 +265,77 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def _sample_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row a sampled document: its tokens' features, edges and labels (-1: matches a pattern but fails its check)."""
+    """One row a sampled token with a label: its features, its label, its neighbours' labels, and its similar tokens'.
+
+    Labels are those of the fixed patterns; -1 stands for none: what could be personal data but matches no pattern.
+    """
     for pdf in batches:
         rows = []
         for text in pdf["text"]:
-            spans = tokens(text)[:SAMPLE_TOKENS]
-            if not spans:
-                continue
+            spans = tokens(text)
+            ids = feature_ids(text, spans)
             base = base_spans(text)
             unsure = [(m.start(), m.end()) for p in (_CARD, _PHONE) for m in p.finditer(text) if m.end() - m.start() >= 10]
-            labels = []
-            for s, e in spans:
-                own = next((k for b, k, f in base if b < e and s < f), None)
-                labels.append(own + 1 if own is not None else -1 if any(b < e and s < f for b, f in unsure) else 0)
+            labels, at, doubt = [], 0, 0
+            for (s, e), x in zip(spans, ids, strict=True):
+                while at < len(base) and base[at][2] <= s:
+                    at += 1
+                while doubt < len(unsure) and unsure[doubt][1] <= s:
+                    doubt += 1
+                own = next((k for b, k, f in base[at : at + 4] if b < e and s < f), None)
+                open_ = any(b < e and s < f for b, f in unsure[doubt : doubt + 4]) or any(3 <= i < _OTHER_FROM for i in x) or any(i in _CUE_IDS for i in x)
+                labels.append(own + 1 if own is not None else -1 if open_ else 0)
             chain, skip = edges(text, spans)
-            rows.append((feature_ids(text, spans), [list(x) for x in chain], [list(x) for x in skip], labels))
-        yield pd.DataFrame(rows, columns=["ids", "chain", "skip", "labels"])
+            before, after, same = {b: labels[a] for a, b in chain}, {a: labels[b] for a, b in chain}, [[0] * len(LABELS) for _ in spans]
+            for a, b in skip:
+                for x, y in ((a, b), (b, a)):
+                    if labels[y] >= 0:
+                        same[x][labels[y]] += 1
+            chosen = sorted((i for i, label in enumerate(labels) if label >= 0), key=lambda i: hashlib.blake2b(i.to_bytes(8, "little"), digest_size=8).digest())[:SAMPLE_TOKENS]
+            rows += [(ids[i], labels[i], before.get(i, -1), after.get(i, -1), same[i]) for i in chosen]
+        yield pd.DataFrame(rows, columns=["ids", "label", "before", "after", "same"])
 
 
 def fitted(rows: list, rounds: int = 60, rate: float = 0.5, ridge: float = 0.02) -> np.ndarray:
-    """Weights by pseudo-likelihood: each labelled token given its neighbours' labels; a ridge pulls to the prior."""
-    k = len(LABELS)
-    xs, ys, prevs, nexts, skips = [], [], [], [], []
-    for r in rows:
-        y = list(r.labels)
-        before, after, same = [None] * len(y), [None] * len(y), [[] for _ in y]
-        for a, b in r.chain:
-            before[b], after[a] = y[a], y[b]
-        for a, b in r.skip:
-            same[a].append(y[b])
-            same[b].append(y[a])
-        for i, label in enumerate(y):
-            if label >= 0:
-                x = np.zeros(N_FEATURES)
-                x[list(r.ids[i])] = 1
-                xs.append(x)
-                ys.append(label)
-                prevs.append(-1 if before[i] is None else before[i])
-                nexts.append(-1 if after[i] is None else after[i])
-                skips.append(np.bincount([v for v in same[i] if v >= 0], minlength=k))
+    """Weights by pseudo-likelihood: each labelled token given its neighbours' labels; a ridge pulls to the prior.
+
+    Cues and the skip weight keep their prior: a label by a fixed pattern never depends on them.
+    """
     w0 = prior()
-    if not ys:
+    if not rows:
         return w0
-    x, y, p, q, s = np.array(xs), np.array(ys), np.array(prevs), np.array(nexts), np.array(skips, dtype=float)
+    k = len(LABELS)
+    x = np.zeros((len(rows), N_FEATURES))
+    for i, r in enumerate(rows):
+        x[i, list(r.ids)] = 1
+    y, p, q = (np.array([r[c] for r in rows]) for c in ("label", "before", "after"))
+    s = np.array([r.same for r in rows], dtype=float)
     one = np.eye(k)
     hp, hq = np.where(p[:, None] >= 0, one[p], 0.0), np.where(q[:, None] >= 0, one[q], 0.0)
     w, n = w0.copy(), len(y)
+    free = np.ones_like(w0)
+    free[[i * k + j for i in _CUE_IDS for j in range(k)]] = 0
+    free[-1] = 0
     for _ in range(rounds):
         u, c, v = _split(w)
         z = x @ u + hp @ c + hq @ c.T + v * s
         z = np.exp(z - z.max(axis=1, keepdims=True))
         d = one[y] - z / z.sum(axis=1, keepdims=True)
-        g = np.concatenate([(x.T @ d).ravel(), (hp.T @ d + d.T @ hq).ravel(), [(d * s).sum()]]) / n - ridge * (w - w0)
-        w += rate * g
-    w[-1] = max(w[-1], 0.5)
+        g = np.concatenate([(x.T @ d).ravel(), (hp.T @ d + d.T @ hq).ravel(), [0.0]]) / n - ridge * (w - w0)
+        w += rate * g * free
     return w
 
 
 def trained(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     """Weights fitted on at most sample_docs documents that hold a digit or an @; without any, the prior."""
     ship(docs.sparkSession)
-    own = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    # At most sample_docs ids, so small enough to send to all.
-    chosen = own.select("__id").distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample_docs)
-    found = own.join(F.broadcast(chosen), "__id").select("text")
-    made = found.mapInPandas(_sample_tokens, "ids array<array<int>>, chain array<array<int>>, skip array<array<int>>, labels array<int>")
-    return fitted(sorted(made.limit(2 * sample_docs).collect()))
+    own = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("__key"), F.col(text).alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    # At most sample_docs keys, so small enough to send to all.
+    chosen = own.select("__key").distinct().orderBy("__key").limit(sample_docs)
+    found = own.join(F.broadcast(chosen), "__key").dropDuplicates(["__key"]).select("text")
+    made = found.mapInPandas(_sample_tokens, "ids array<int>, label int, before int, after int, same array<int>")
+    # At most sample_docs times SAMPLE_TOKENS rows of some numbers.
+    return fitted(sorted(made.collect()))
 
 
 def find_documents(df: DataFrame, weights: np.ndarray, text: str = "text", keep: list[str] | None = None, with_redacted: bool = False, prefix: str = "") -> DataFrame:

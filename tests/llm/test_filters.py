@@ -181,6 +181,71 @@ def test_messages_are_exact_on_chains():
     np.testing.assert_allclose(got, total / total.sum(axis=1, keepdims=True), atol=2e-3)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_messages_on_loops_against_enumeration(seed):
+    """With loops of chain and skip edges, beliefs come near the true marginals and choose the same labels where these are clear."""
+    rng = np.random.default_rng(seed)
+    w = pii.prior()
+    ids = [[int(i) for i in rng.choice(pii.N_FEATURES, 2, replace=False)] for _ in range(5)]
+    chain, skip = [(0, 1), (1, 2), (3, 4)], [(0, 2), (1, 3), (2, 4)]
+    got = pii.marginals(ids, chain, skip, w)
+    unary, pair, same = pii._split(w)
+    k = len(pii.LABELS)
+    total = np.zeros((5, k))
+    for y in np.ndindex(*[k] * 5):
+        p = np.exp(sum(unary[x].sum(axis=0)[v] for x, v in zip(ids, y, strict=True)) + sum(pair[y[a], y[b]] for a, b in chain) + sum(same * (y[a] == y[b]) for a, b in skip))
+        for i, v in enumerate(y):
+            total[i, v] += p
+    total /= total.sum(axis=1, keepdims=True)
+    assert np.abs(got - total).max() < 0.15
+    clear = total.max(axis=1) > 0.7
+    assert (got.argmax(axis=1) == total.argmax(axis=1))[clear].all()
+
+
+def planted_mentions(seed, n=200):
+    """(text, number): a number after a cue once and bare twice, among bare numbers that nothing speaks for."""
+    rng = random.Random(seed)
+    prose = lambda k: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8))) for _ in range(k))
+    number = lambda: rng.choice([f"{rng.randrange(10**6, 10**7)}", f"555-{rng.randrange(10**4):04}", f"{rng.randrange(200, 999)}-{rng.randrange(1000):03}-{rng.randrange(10**4):04}", f"0{rng.randrange(10**9, 10**10)}"])
+    out = []
+    for _ in range(n):
+        a, b, c = number(), number(), number()
+        cue = rng.choice(["phone", "call", "tel:", "Telefon", "call me at", "phone number"])
+        out.append((f"{prose(8)} {cue} {a} {prose(20)} {a} {prose(10)} {b} {prose(5)} {b} {prose(9)} {c} in {prose(4)} {a}.", a))
+    return out
+
+
+def test_skip_edges_find_bare_mentions(monkeypatch):
+    """Recall and precision of what is clear once and bare elsewhere, with the skip edges and without."""
+    weights = pii.prior()
+
+    def found():
+        hits = wrong = 0
+        for text, number in planted_mentions(3):
+            for s, k, e in pii.added_spans(text, pii.base_spans(text), weights):
+                good = text[s:e] == number and pii.KINDS[k] == "phone"
+                hits, wrong = hits + good, wrong + (not good)
+        return hits / 600, wrong
+
+    recall, wrong = found()
+    assert recall > 0.95 and wrong <= 6
+    edges = pii.edges
+    monkeypatch.setattr(pii, "edges", lambda text, spans: (edges(text, spans)[0], []))
+    recall, wrong = found()
+    assert recall < 0.4
+
+
+def test_pii_sample_is_the_same_each_time(spark):
+    """Repeated ids and texts, and long texts, leave the fitted weights as they are from run to run."""
+    rng = random.Random(2)
+    rows = [(i % 40, f"{'word ' * rng.randint(0, 400)} a{i % 50}@mail.example.com 10.0.{i % 7}.{i % 50} " + " ".join(f"x{j}" for j in range(rng.choice([3, 900])))) for i in range(120)]
+    one = pii.trained(spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(3), sample_docs=30)
+    two = pii.trained(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(7), sample_docs=30)
+    np.testing.assert_array_equal(one, two)
+    mail = "m" * 400 + "é@" + "h" * 300 + ".example.com"
+    assert [(pii.KINDS[k], e - s) for s, k, e in pii.added_spans(f"to {mail} now", [], one)] == [("email", len(mail))]
+
+
 def test_licenses_against_brute_force(docs, no_docs):
     rng = random.Random(6)
     scanner = licenses.Scanner()
