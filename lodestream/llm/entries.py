@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": quality.SQL, "op6_decontamination": decontam.SQL, "op8_near_duplicates": neardup.SQL, "op9_warc": warc.SQL}
+    return {"op1_quality": quality.SQL, "op6_decontamination": decontam.SQL, "op7_sharding": sharding.SQL, "op8_near_duplicates": neardup.SQL, "op9_warc": warc.SQL}

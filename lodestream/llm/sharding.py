@@ -1,15 +1,15 @@
 """Sharding by histogram sort, with built-in functions only.
 
 Rows are ordered by (hash of the text, doc_id, place in the narrow table), so equal texts lie together. Splitters come from
-exact counts: each round counts the weight between candidate boundaries over all partitions, keeps the cell that holds a
-target, and refines it until it is lighter than the tolerance, going on to the next key column where one value alone is
-too heavy. So a group of equal texts stays whole unless a shard would miss its size by it. With all splitters known, rows
-are exchanged once, in slices of bounded row counts, and numbered there.
+exact counts: each round counts the bytes between candidate boundaries over all partitions, keeps the cells that hold a
+target, and refines them until each is one element, going on to the next key column within a group that may be cut. An
+element is a group of equal texts, or a row of a group so heavy that a shard would miss its size by it; it goes to the
+shard in whose share of all bytes its middle lies. With all splitters known, rows are exchanged once, in slices of even
+row counts whatever the keys are, and numbered there.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -18,22 +18,21 @@ from pyspark.sql import types as T
 
 from lodestream.llm.common import stored
 
-LEAST = -(1 << 63)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 KEYS = ("h", "d", "u")
-#: Shards' bytes differ from the mean by this share at most, or by one row.
-TOLERANCE = 0.001
-#: A group of equal texts up to this share of a shard's bytes is never cut; heavier ones are, or sizes would drift.
-GROUP_TOLERANCE = 0.02
-#: Rows that one task sorts, about.
+#: A group of equal texts up to one part in so many of a shard's bytes is never cut; heavier ones are, or sizes would drift.
+GROUP_PART = 50
+#: Rows that one task sorts and numbers, about.
 SLICE_ROWS = 500_000
-FIRST_BITS, LATER_BITS = 12, 8
-#: Intervals refined in one query, at most.
+#: An interval is counted in at most 2 ** BITS cells.
+BITS = 12
+#: Intervals refined in one query, at most; there are no more than shards.
 TOGETHER = 100
 
 
 @dataclass
 class Interval:
-    """Keys with the given leading values whose next column lies in lo..hi; below: the weight of all keys before."""
+    """Keys with the given leading values whose next column lies in lo..hi; below: the bytes of all keys before."""
 
     prefix: tuple[int, ...]
     lo: int
@@ -41,9 +40,10 @@ class Interval:
     below: int
     targets: list[int] = field(default_factory=list)
 
-    def shift(self, bits: int) -> int:
+    @property
+    def shift(self) -> int:
         s = 0
-        while (self.hi >> s) - (self.lo >> s) >= 1 << bits:
+        while (self.hi >> s) - (self.lo >> s) >= 1 << BITS:
             s += 1
         return s
 
@@ -53,101 +53,108 @@ def narrow(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     kind = df.schema[doc_id].dataType
     number = F.col(doc_id).cast("long") if isinstance(kind, T.IntegralType) else F.xxhash64(doc_id)
-    made = df.select(F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.xxhash64(t).alias("h"), F.coalesce(number, F.lit(LEAST)).alias("d"), F.monotonically_increasing_id().alias("u"))
+    # 60 bits, so never negative.
+    h = F.conv(F.substring(F.md5(t), 1, 15), 16, 10).cast("long")
+    made = df.select(F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), h.alias("h"), F.coalesce(number, F.lit(LEAST)).alias("d"), F.monotonically_increasing_id().alias("u"))
     return stored(made, "sharding-rows")
 
 
-def _counted(rows: DataFrame, weight: F.Column, intervals: list[Interval], bits: int) -> dict[int, list]:
+def _counted(rows: DataFrame, intervals: list[Interval]) -> list[list]:
     """For each interval its cells in order: (weight, least and greatest value, least and greatest next value)."""
-    which, cell, value, after = F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long")
+    nothing = F.lit(None)
+    which, cell, value, after = nothing.cast("int"), nothing.cast("long"), nothing.cast("long"), nothing.cast("long")
     for i, x in enumerate(intervals):
         level = len(x.prefix)
-        v, s = F.col(KEYS[level]), x.shift(bits)
+        v = F.col(KEYS[level])
         own = (v >= F.lit(x.lo)) & (v <= F.lit(x.hi))
         for name, fixed in zip(KEYS, x.prefix, strict=False):
             own = own & (F.col(name) == F.lit(fixed))
         which = F.when(own, F.lit(i)).otherwise(which)
-        cell = F.when(own, F.shiftright(v, s)).otherwise(cell)
+        cell = F.when(own, F.shiftright(v, x.shift)).otherwise(cell)
         value = F.when(own, v).otherwise(value)
         after = F.when(own, F.col(KEYS[min(level + 1, 2)])).otherwise(after)
-    made = rows.select(which.alias("i"), cell.alias("c"), value.alias("v"), after.alias("a"), weight.alias("w")).filter("i is not null")
-    found = made.groupBy("i", "c").agg(F.sum("w").alias("w"), F.min("v").alias("mn"), F.max("v").alias("mx"), F.min("a").alias("amn"), F.max("a").alias("amx")).collect()
-    out: dict[int, list] = {i: [] for i in range(len(intervals))}
+    made = rows.select(which.alias("i"), cell.alias("c"), value.alias("v"), after.alias("a"), "size").filter("i is not null")
+    # At most 2 ** BITS rows an interval.
+    found = made.groupBy("i", "c").agg(F.sum("size").alias("w"), F.min("v").alias("mn"), F.max("v").alias("mx"), F.min("a").alias("amn"), F.max("a").alias("amx")).collect()
+    out: list[list] = [[] for _ in intervals]
     for r in sorted(found, key=lambda r: (r.i, r.c)):
         out[r.i].append(r)
     return out
 
 
-def splitters(rows: DataFrame, weight: F.Column, targets: list[int], tolerance: int, group: int = 0) -> list[tuple[int, int, int]]:
-    """For each target a key, such that the rows before it weigh the target, give or take tolerance, one row, or a group of
-    equal hashes that weighs group at most."""
-    done: dict[int, tuple[int, ...]] = {}
-    todo = [Interval((), LEAST, (1 << 63) - 1, 0, sorted(set(targets)))]
-    bits = FIRST_BITS
+def _next(prefix: tuple[int, ...], v: int) -> tuple[int, int, int]:
+    """The least key after all keys that begin with prefix and v."""
+    while v == MOST and prefix:
+        *prefix, v = prefix
+    key = (*prefix, v + 1) if v < MOST else (MOST, MOST, MOST)
+    return (*key, *[LEAST] * (3 - len(key)))
+
+
+def splitters(rows: DataFrame, targets: list[int], group: int) -> list[tuple[int, int, int]]:
+    """For each target the least key whose element's middle lies at or beyond it, counted in bytes from the first row.
+
+    An element is a group of equal hashes that weighs `group` at most, else a row.
+    """
+    done: dict[int, tuple[int, int, int]] = {}
+    todo = [Interval((), 0, (1 << 60) - 1, 0, sorted(set(targets)))]
     while todo:
         now, todo = todo[:TOGETHER], todo[TOGETHER:]
-        for i, cells in _counted(rows, weight, now, bits).items():
-            x, below, at = now[i], now[i].below, 0
+        for x, cells in zip(now, _counted(rows, now), strict=True):
+            below, at, level = x.below, 0, len(x.prefix)
             refined: dict[int, Interval] = {}
             for t in x.targets:
-                while at < len(cells) - 1 and below + cells[at].w < t:
+                # The cell that holds the target: below <= t < below + its weight.
+                while at < len(cells) - 1 and below + cells[at].w <= t:
                     below += cells[at].w
                     at += 1
                 c = cells[at]
-                level, single = len(x.prefix), c.mn == c.mx
-                if c.w <= tolerance or (single and (level == 2 or level == 0 and c.w <= group)):
-                    end = c.mx + 1 < 1 << 63 and below + c.w - t < t - below
-                    done[t] = (*x.prefix, c.mx + 1 if end else c.mn)
+                single = c.mn == c.mx
+                if single and (level == 2 or level == 0 and c.w <= group):
+                    first = (*x.prefix, c.mn, *[LEAST] * (2 - level))
+                    done[t] = first if 2 * t <= 2 * below + c.w else _next(x.prefix, c.mn)
                 elif at in refined:
                     refined[at].targets.append(t)
                 else:
                     refined[at] = Interval((*x.prefix, c.mn), c.amn, c.amx, below, [t]) if single else Interval(x.prefix, c.mn, c.mx, below, [t])
             todo += refined.values()
-        bits = LATER_BITS
-    return [(*done[t], *[LEAST] * (3 - len(done[t]))) for t in targets]
+    return [done[t] for t in targets]
 
 
-def sharded(df: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def sharded(df: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """One row for each row of df: doc_id, size, text_crc32, shard, slot.
 
-    size is the UTF-8 bytes of the text plus 1; shards hold near equal sums of it. slot numbers a shard's rows from 0
-    in key order without gaps. Null texts count as empty. Null doc_ids come first among equal texts. Repeated rows are
-    told apart by their place and numbered one after another. An empty table gives an empty table.
+    size is the UTF-8 bytes of the text plus 1; shards hold near equal sums of it: they differ from the mean by half a
+    group of 1/GROUP_PART of it at most, or by half a row. slot numbers a shard's rows from 0 without gaps: slice after
+    slice, in key order within each; up to slice_rows rows a shard there is one slice. Null texts count as empty. Null
+    doc_ids come first among equal texts. Repeated rows are told apart by their place and numbered one after another. An
+    empty table gives an empty table.
     """
     rows = narrow(df, doc_id, text)
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    cuts: list[tuple[int, int, int]] = []
-    if n:
-        cuts = sorted(splitters(rows, F.col("size"), [max(1, total * k // shards) for k in range(1, shards)], int(tolerance * total / shards), int(GROUP_TOLERANCE * total / shards)))
-    slices = max(1, -(-n // slice_rows))
-    inner = splitters(rows, F.lit(1).cast("long"), [n * k // slices for k in range(1, slices)], max(1, slice_rows // 2)) if slices > 1 else []
-    bounds = sorted({*cuts, *inner})
-    shard_of = [bisect_right(cuts, b) for b in bounds]
-    sliced = _sliced(rows, bounds)
-    counts = {r.slice: r.n for r in sliced.groupBy("slice").agg(F.count("*").alias("n")).collect()}
-    spark = df.sparkSession
-    plan, filled = [], {}
-    for k, s in enumerate([0, *shard_of]):
-        plan.append((k, s, filled.get(s, 0)))
-        filled[s] = filled.get(s, 0) + counts.get(k, 0)
-    # One row a slice: the rows' number over slice_rows, plus the shards.
-    table = spark.createDataFrame(plan, "slice long, shard int, first long")
-    rank = F.row_number().over(Window.partitionBy("slice").orderBy(*KEYS)).cast("long") - 1
-    return sliced.withColumn("__rank", rank).join(F.broadcast(table), "slice").select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("__rank")).alias("slot"))
-
-
-def _sliced(rows: DataFrame, bounds: list[tuple[int, int, int]]) -> DataFrame:
-    """Adds slice: how many bounds are at or below the row's key; looked up by the hash's leading bits."""
-    spark, shift = rows.sparkSession, 64 - FIRST_BITS
-    cells = []
-    starts = [b[0] >> shift for b in bounds]
-    for c in sorted(set(starts)):
-        own = [bounds[i] for i in range(bisect_left(starts, c), bisect_right(starts, c))]
-        cells.append((c, bisect_left(starts, c), [{"h": h, "d": d, "u": u} for h, d, u in own]))
-    # Cells without a bound take the number of bounds before them.
-    firsts = [c for c, _, _ in cells]
-    cells += [(c, bisect_right(starts, c), []) for c in range(-(1 << FIRST_BITS - 1), 1 << FIRST_BITS - 1) if c not in set(firsts)]
-    table = spark.createDataFrame(cells, "cell long, before long, own array<struct<h: long, d: long, u: long>>")
-    key = F.struct("h", "d", "u")
-    joined = rows.withColumn("cell", F.shiftright("h", shift)).join(F.broadcast(table), "cell")
-    return joined.withColumn("slice", F.col("before") + F.size(F.filter("own", lambda b: b <= key))).drop("cell", "before", "own")
+    cuts = splitters(rows, [total * k // shards for k in range(1, shards)], total // shards // GROUP_PART) if n else []
+    key = F.struct(*KEYS)
+    shard = F.lit(0)
+    for cut in cuts:
+        shard = shard + (key >= F.struct(*[F.lit(v).alias(k) for k, v in zip(KEYS, cut, strict=True)])).cast("int")
+    slices = max(1, -(-n // (shards * slice_rows)))
+    placed = rows.select("doc_id", "size", "text_crc32", *KEYS, shard.alias("shard"), F.pmod(F.xxhash64(*KEYS), F.lit(slices)).cast("long").alias("slice"))
+    # One row for each slice of slice_rows rows, about.
+    counts = placed.groupBy("shard", "slice").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("slice")) - F.col("n")
+    firsts = counts.select("shard", "slice", before.alias("first"))
+    rank = F.row_number().over(Window.partitionBy("shard", "slice").orderBy(*KEYS)).cast("long") - 1
+    return placed.withColumn("__rank", rank).join(F.broadcast(firsts), ["shard", "slice"]).select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("__rank")).alias("slot"))
+
+
+#: The same rows in DuckDB's SQL, for tables of one slice a shard. crc holds the table of CRC-32's 256 steps.
+SQL = """
+WITH RECURSIVE bits AS (SELECT range AS b, range::BIGINT AS v, 0 AS k FROM range(256) UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY b) AS steps FROM bits WHERE k = 8),
+t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+r AS (SELECT doc_id, strlen(x)::BIGINT + 1 AS size, ('0x' || substr(md5(x), 1, 15))::BIGINT AS h, CASE WHEN x = '' THEN 0
+  ELSE xor(list_reduce([4294967295::BIGINT] || list_transform(range(strlen(x)::BIGINT), lambda i: ('0x' || substr(hex(encode(x)), 2 * i + 1, 2))::BIGINT), lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1])), 4294967295) END AS text_crc32 FROM t, crc),
+s AS (SELECT *, sum(size) OVER () AS total, sum(size) OVER (PARTITION BY h) AS w, sum(size) OVER (ORDER BY h) AS upto, sum(size) OVER (ORDER BY h, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto_row FROM r),
+m AS (SELECT *, CASE WHEN w <= total // 8 // 50 THEN 2 * (upto - w) + w ELSE 2 * (upto_row - size) + size END AS middle2 FROM s),
+p AS (SELECT *, len(list_filter(range(1, 8), lambda k: 2 * (total * k // 8) <= middle2))::INTEGER AS shard FROM m)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST) - 1 AS slot, NULL::INTEGER AS grown_shard FROM p
+"""

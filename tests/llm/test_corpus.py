@@ -1,8 +1,10 @@
 """Near duplicates, sharding, archives, and the pipeline."""
 
 import hashlib
+import itertools
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -102,25 +104,56 @@ def test_sketches_estimate_similarity():
         assert (neardup.sketch(a[::-1].copy()) == x).all()
 
 
+def brute_shards(rows, shards):
+    """(doc_id, text) -> shards, by walking all rows in key order: the middle of each group, or row of a heavy group, decides."""
+    hashed = sorted((int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16), -(1 << 63) if d is None else d, d, t) for d, t in rows)
+    size = lambda r: len((r[3] or "").encode()) + 1
+    total = sum(map(size, hashed))
+    targets = [total * k // shards for k in range(1, shards)]
+    out, below = [], 0
+    for _, group in itertools.groupby(hashed, key=lambda r: r[0]):
+        group = list(group)
+        w = sum(map(size, group))
+        parts = [group] if w <= total // shards // sharding.GROUP_PART else [[r] for r in group]
+        for part in parts:
+            w = sum(map(size, part))
+            out += [(r[2], size(r), sum(2 * t <= 2 * below + w for t in targets)) for r in part]
+            below += w
+    return Counter(out)
+
+
 @pytest.mark.parametrize("slice_rows", [7, 10_000])
-def test_sharding(spark, docs, no_docs, slice_rows):
-    rng = random.Random(3)
+@pytest.mark.parametrize("seed", range(3))
+def test_sharding(spark, docs, no_docs, slice_rows, seed, monkeypatch):
+    rng = random.Random(seed)
+    monkeypatch.setattr(sharding, "BITS", rng.choice([2, 5, 12]))
     rows = [(i, "same text " * 3 if i % 3 == 0 else "y" * rng.randint(0, 400)) for i in range(900)] + [(5, "dup"), (5, "dup"), (None, None), (7, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = sharding.sharded(df, 8, slice_rows=slice_rows).collect()
-    assert len(got) == len(rows)
+    assert Counter((r.doc_id, r.size, r.shard) for r in got) == brute_shards(rows, 8)
     by = {}
     for r in got:
         by.setdefault(r.shard, []).append(r)
     total = sum(r.size for r in got)
-    assert total == sum(len((t or "").encode()) + 1 for _, t in rows)
     for s in range(8):
         assert sorted(r.slot for r in by[s]) == list(range(len(by[s])))
-        assert abs(sum(r.size for r in by[s]) - total / 8) <= 0.03 * total / 8 + 402
+        assert abs(sum(r.size for r in by[s]) - total / 8) <= 402 + total / 8 / sharding.GROUP_PART
     texts = {r[0]: r[1] for r in rows if r[0] not in (5, 7, None)}
     assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in got if r.doc_id in texts)
     assert sharding.sharded(no_docs).collect() == []
-    assert len(sharding.sharded(docs, 3).collect()) == docs.count()
+    odd = sharding.sharded(docs, 3).collect()
+    assert Counter((r.doc_id, r.size, r.shard) for r in odd) == brute_shards([(r.doc_id, r.text) for r in docs.collect()], 3)
+
+
+@pytest.mark.parametrize("rows", [[(1, "a")], [(1, "x")] * 40, [(i, "x") for i in range(40)], [(None, None)] * 9, [((1 << 63) - 1, "x"), (-(1 << 63), "x"), (0, "x")] * 4])
+def test_sharding_of_few_texts(spark, rows):
+    got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert Counter((r.doc_id, r.size, r.shard) for r in got) == brute_shards(rows, 4)
+
+
+def test_sharding_stays_in_the_jvm(spark, docs):
+    plan = sharding.sharded(docs.select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in plan and "Python" not in plan and "Arrow" not in plan
 
 
 def test_equal_texts_stay_together(spark):
