@@ -1,5 +1,6 @@
 """Near duplicates, sharding, archives, and the pipeline."""
 
+import gzip
 import hashlib
 import itertools
 import random
@@ -191,28 +192,77 @@ def test_warc_long_urls(spark, tmp_path):
     assert sorted(r.page_id for r in warc.round_trip(df).collect()) == list(range(12))
     warc.write(df, str(tmp_path / "whole"))
     assert {r.url for r in warc.read(spark, str(tmp_path / "whole")).collect()} == {r[1] for r in rows}
-    for name, data in (("cut", TRAP * 3 + TRAP[:-5]), ("broken", TRAP + "x" + TRAP)):
+    for name, data in (("cut", TRAP * 3 + TRAP[:-5]), ("short", TRAP * 2 + TRAP[:-4]), ("broken", TRAP + "x" + TRAP), ("none", "hello\r\n\r\n")):
         (tmp_path / name).mkdir()
         (tmp_path / name / "a.warc").write_text(data, newline="")
-        with pytest.raises(Exception, match=f"no record at byte {len(TRAP) * data.count(TRAP) if name == 'cut' else len(TRAP)} of {len(data)}"):
+        with pytest.raises(Exception, match="doesn't end at the archive's last byte"):
             warc.read(spark, str(tmp_path / name)).collect()
-
-
-def test_chains():
+        with gzip.open(tmp_path / name / "b.warc.gz", "wb") as f:
+            f.write(data.encode())
+        (tmp_path / name / "a.warc").unlink()
+        if name != "short":
+            with pytest.raises(Exception, match="no record at byte"):
+                warc.read(spark, str(tmp_path / name)).collect()
+
+
+def test_warc_of_other_ids(spark):
+    rows = [("a/b c", "u", "x" * 120), ("é>", "u", "x" * 120), ("", "u", "y"), (None, "u", "x" * 120), ("null", "u", "z")]
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert got == {"a/b c": ("response", None), "é>": ("revisit", "a/b c"), "": ("response", None), None: ("revisit", "a/b c"), "null": ("response", None)}
+
+
+def archive(rng, n):
+    """(bytes, [(offset, block)]): records whose blocks hold magic, whole records, line ends, or nothing."""
+    out, at, records = [], 0, []
+    for i in range(n):
+        block = rng.choice([b"", b"\r\n", b"\r\n\r\n", b"x\r\n", TRAP.encode() * rng.randint(1, 6), b"\r\n\r\n" + TRAP.encode(), b"y" * rng.randint(0, 900), bytes(rng.randrange(256) for _ in range(30)), b"\r\n\r\nWARC/1.1\r\nContent-Length: 900\r\n\r\nz"])
+        record = f"WARC/1.{i % 2}\r\nWARC-Type: resource\r\nWARC-Target-URI: {'u' * rng.choice([1, 700])}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+        records.append((at, block))
+        out.append(record)
+        at += len(record)
+    return b"".join(out), records
+
+
+@pytest.mark.parametrize("size", [100, 2000, 1 << 27])
+def test_archives_in_ranges(spark, tmp_path, size):
+    """However small the ranges that tasks read, the records are those that were written; packed archives among them."""
+    rng = random.Random(size)
+    want = set()
+    for k in range(3):
+        data, records = archive(rng, 25)
+        name = f"a{k}.warc" + (".gz" if k == 2 else "")
+        (tmp_path / name).write_bytes(gzip.compress(data[: len(data) // 2]) + gzip.compress(data[len(data) // 2 :]) if k == 2 else data)
+        want |= {(name, at, block, hashlib.sha256(block).hexdigest()) for at, block in records}
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        spark.conf.set(keys[0], str(size))
+        spark.conf.set(keys[1], "0")
+        got = warc.read(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 75
+    assert {(r.path.rsplit("/", 1)[1], r.offset, bytes(r.block), r.block_sha256) for r in got} == want
+
+
+def test_chain_ends():
     rng = random.Random(0)
     for _ in range(300):
-        places = sorted(rng.sample(range(1, 400), rng.randint(0, 40)))
-        places = [0, *places] if rng.random() < 0.9 else places
-        after = [rng.choice([p for p in places if p > x] + [401]) if rng.random() < 0.9 else x + 1 for x in places]
-        want, at = set(), 0
+        places = sorted(rng.sample(range(400), rng.randint(0, 40)))
+        after = [rng.choice([p for p in places if p > x] + [400, 407]) if rng.random() < 0.9 else x + 1 for x in places]
         step = dict(zip(places, after, strict=True))
-        while at in step:
-            want.add(at)
-            at = step[at]
-        got = warc.chained(places, after)
-        assert {p for p, ok in zip(places, got, strict=True) if ok} == want
-    assert warc.parsed(TRAP.encode(), 0)[1:] == (len(TRAP) - 6, len(TRAP) - 4)
-    assert len(warc.candidates(("x" + TRAP + TRAP).encode())) == 1
+        want = {}
+        for x in places:
+            last, at = x, x
+            while at in step:
+                last, at = at, step[at]
+            if at > places[-1]:
+                want[x] = (last, at)
+        assert warc.chain_ends(list(zip(places, after, strict=True))) == want
+    assert warc.header(TRAP.encode())[1:] == (TRAP.index("hi"), 2)
+    for bad in ("xWARC/1.0\r\nContent-Length: 7\r\n\r\n", "WARC/1.0\r\nno header\r\nContent-Length: 7\r\n\r\n", "WARC/1.0\r\n\r\n", "WARC/1.0\r\nContent-Length: 7\r\n"):
+        assert warc.header(bad.encode()) is None
 
 
 @pytest.mark.parametrize("name", sorted(entries.oracle_sql()))
