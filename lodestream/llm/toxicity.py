@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,10 @@ QUOTES = "\"'«»„“”‘’‹›`"
 
 #: Labelled rows that lexicon and model are fitted on, at most: the rows whose doc_id has the smallest hashes.
 SAMPLE_ROWS = 8000
+#: Different texts of one labelled doc_id that are learned from, at most: those with the smallest hashes.
+TEXTS_OF_ID = 4
+#: Words over so many letters are no lexicon entries; learned stems have so many letters. Scoring looks at all words.
+LONGEST_WORD, STEM_LETTERS = 24, range(4, 11)
 #: Learned entries, at most, and what an entry needs: toxic rows, their share of its rows, and a z value.
 LEXICON_ENTRIES, LEAST_ROWS, LEAST_SHARE, LEAST_Z = 64, 4, 0.4, 5.0
 #: Edits allowed in a whole-word entry by its length; stems allow none, as any ending may follow them. So that misspellings
@@ -252,9 +256,9 @@ def _prefix_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, label in zip(pdf["text"], pdf["toxic"], strict=True):
             forms = set()
             for w in set(re.findall(r"[^\W\d_]+", (text or "").lower())):
-                if len(w) >= 3:
-                    forms.add(w[:24] + "$")
-                    forms.update(w[:k] for k in range(4, min(len(w), 10) + 1))
+                if 3 <= len(w) <= LONGEST_WORD:
+                    forms.add(w + "$")
+                    forms.update(w[:k] for k in STEM_LETTERS if k <= len(w))
             n.update(forms)
             if label:
                 toxic.update(forms)
@@ -297,7 +301,9 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     # The sample is at most sample_rows ids, so it is small enough to send to all.
     found = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id")
     signature = F.slice(F.array_sort(F.transform(F.array_distinct(word_array(F.lower("text"))), lambda w: F.xxhash64(w))), 1, 3)
-    sample = stored(found.select("__id", F.coalesce("text", F.lit("")).alias("text"), "toxic", signature.alias("signature")), "toxicity-sample")
+    found = found.select("__id", F.coalesce("text", F.lit("")).alias("text"), "toxic", signature.alias("signature")).dropDuplicates(["__id", "text"])
+    nth = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("text"), "text"))
+    sample = stored(found.withColumn("nth", nth).filter(F.col("nth") <= TEXTS_OF_ID).drop("nth"), "toxicity-sample")
     distinct = sample.groupBy("signature").agg(F.min(F.struct("__id", "text", "toxic")).alias("r")).select("r.text", "r.toxic")
     learned = learned_entries(distinct)
     # Also beside a learned stem, which allows no edits.
@@ -306,7 +312,7 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     # An entry whose near spellings are common in clean texts (its neighbours are words of the language) keeps to itself.
     near = _near_hits(sample.select("toxic", "text"), model).select("toxic", F.explode("near").alias("entry")).groupBy("entry").agg(F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("clean"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic")).collect()
     model.exact = frozenset(model.entries[r.entry][0] for r in near if r.clean > 0.25 * r.toxic + 1)
-    rows = _features(sample.select("__id", "toxic", "text"), model).select("toxic", "features").limit(4 * sample_rows).collect()
+    rows = _features(sample.select("__id", "toxic", "text"), model).select("toxic", "features").orderBy("features", "toxic").collect()
     forget(sample)
     y = np.array([float(r.toxic > 0) for r in rows])
     if len(y) and 0 < y.sum() < len(y):
