@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import struct
 import unicodedata
@@ -73,7 +74,11 @@ class Bpe:
         added = {t["content"]: t["id"] for t in conf["added_tokens"]}
         size = max([*vocab.values(), *added.values()]) + 1
         self.added = {k: v.to_bytes(4, "little") for k, v in added.items()}
+        if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in conf["added_tokens"]):
+            raise ValueError("added tokens that take spaces, whole words or normalised text aren't supported")
         self.added_pattern = re.compile("(" + "|".join(re.escape(k) for k in sorted(added, key=len, reverse=True)) + ")") if added else None
+        # What all added tokens begin with: a text without it holds none.
+        self.added_start = os.path.commonprefix(list(added))
         split = next(p for p in conf["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern = split["pattern"]["Regex"]
         self.words = re.compile(PLAIN_SPLIT).findall if pattern == SPLIT else None
@@ -96,8 +101,12 @@ class Bpe:
         ids = {s: i for i, s in enumerate(self.symbols) if s}
         self.pair: dict[int, int] = {}
         self.parts = [(i, i) for i in range(size)]
+        last = -1
         for a, b in model["merges"]:
             x, y, z = vocab[a], vocab[b], vocab[a + b]
+            if z <= last:
+                raise ValueError("the vocabulary's ids don't follow the order of its merges")
+            last = z
             self.pair[x << 20 | y] = z
             self.parts[z] = (x, y)
         self.shorter = [-1] * size
@@ -206,7 +215,7 @@ class Bpe:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if self.added_pattern is not None and "<|" in text:
+        if self.added_pattern is not None and self.added_start in text:
             return b"".join(self.added[p] if p in self.added else self._plain(p) for p in self.added_pattern.split(text) if p)
         return self._plain(text)
 
