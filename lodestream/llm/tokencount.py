@@ -18,8 +18,9 @@ from lodestream.llm.common import map_texts
 
 BYTE_SCORE = -30_000
 MEMO_ENTRIES = 200_000
-#: Scores and counts share one number: the score in units, less the count, so that ties go to fewer tokens.
-UNIT = 1 << 24
+#: Scores and counts share one number: the score in units, less the count, so that ties go to fewer tokens. No string has
+#: so many bytes, and so no pre-token so many tokens.
+UNIT = 1 << 32
 
 
 def pieces_of(path: str) -> dict[str, int]:
