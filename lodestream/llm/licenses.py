@@ -44,6 +44,24 @@ disclaimer. Redistributions in binary form must reproduce the above copyright no
 disclaimer in the documentation and/or other materials provided with the distribution."""
 _BSD_3 = _BSD_2 + """ Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
 products derived from this software without specific prior written permission."""
+_DISCLAIMER = """ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING,
+BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
+AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not
+be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in
+the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must
+not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to
+prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the
+following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the
+following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software,
+unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."""
 _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
 License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to
 in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
@@ -54,14 +72,26 @@ distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; withou
 FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
 _MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
 with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+_LESSER = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version. This
+library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY
+or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""
+_AFFERO = _GPL.replace("GNU General", "GNU Affero General")
 _UNLICENSE = "This is free and unencumbered software released into the public domain."
+_UNLICENSE_MORE = """ Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the
+author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication
+for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this software under copyright law."""
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", _MIT),
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
     ("ISC", _ISC),
     ("ISC", "Released under the ISC License."),
+    ("BSD-2-Clause", _BSD_2 + _DISCLAIMER),
     ("BSD-2-Clause", _BSD_2),
+    ("BSD-3-Clause", _BSD_3 + _DISCLAIMER),
     ("BSD-3-Clause", _BSD_3),
     ("BSD-3-Clause", "Released under the 3-Clause BSD License."),
     ("Apache-2.0", _APACHE),
@@ -72,7 +102,13 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("LGPL-2.1", _LESSER.format(v="2.1")),
+    ("LGPL-3.0", _LESSER.format(v=3)),
+    ("AGPL-3.0", _AFFERO.format(v=3)),
+    ("Zlib", _ZLIB),
+    ("BSL-1.0", _BOOST),
     ("MPL-2.0", _MPL),
+    ("Unlicense", _UNLICENSE + _UNLICENSE_MORE),
     ("Unlicense", _UNLICENSE),
     ("CC0-1.0", "Licensed under CC0 1.0 Universal."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),

@@ -275,6 +275,41 @@ def bigrams(words):
     return Counter(zip(words, words[1:], strict=False))
 
 
+LICENSE_FILES = {
+    "BSD-2-Clause": "Copyright (c) 2020, Some One\nAll rights reserved.\n\n" + licenses._BSD_2.replace(" Redistributions", "\n\n* Redistributions") + "\n\n" + licenses._DISCLAIMER.strip(),
+    "BSD-3-Clause": "Copyright 2020 Some One\n\n" + licenses._BSD_3.replace(" Redistributions", "\n\n1. Redistributions").replace(" Neither", "\n\n3. Neither") + "\n\n" + licenses._DISCLAIMER.strip(),
+    "MIT": "MIT License\n\nCopyright (c) 2020 Some One\n\n" + licenses._MIT.replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS"),
+    "Zlib": licenses._ZLIB.replace(" 1.", "\n\n1.").replace(" 2.", "\n2."),
+    "ISC": licenses._ISC.replace(" THE SOFTWARE", "\n\nTHE SOFTWARE"),
+    "Apache-2.0": licenses._APACHE,
+    "LGPL-2.1": licenses._LESSER.format(v="2.1"),
+    "AGPL-3.0": licenses._AFFERO.format(v=3),
+    "GPL-3.0": licenses._GPL.format(v=3),
+    "BSL-1.0": licenses._BOOST,
+}
+
+
+def test_licenses_of_documents(spark):
+    """The operator's rows for whole licence files, alone and within code and prose: identifier, coefficient and place."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    rows = []
+    for name, text in LICENSE_FILES.items():
+        rows += [(f"{name} alone", text), (f"{name} within", f"{prose(90)}\n\n/* {text} */\n{prose(300)}"), (f"{name} not", prose(200))]
+    got = {r.doc_id: r for r in licenses.scan_documents(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    texts = dict(rows)
+    for key, r in got.items():
+        name, how = key.rsplit(" ", 1)
+        if how == "not":
+            assert (r.license, r.dice, r.licenses, r.part) == (None, 0.0, "", None)
+            continue
+        assert r.license == name and r.dice >= 0.8 and name in r.licenses.split(","), (key, r.license, r.licenses)
+        start, end = map(int, r.part.split(":"))
+        bag = lambda text: Counter(zip(w := licenses.words_of(text), w[1:], strict=False))
+        own = bag(texts[key].lower()[start:end])
+        assert r.dice == pytest.approx(max(2 * (own & bag(t)).total() / (own.total() + bag(t).total()) for n, t in licenses.TEMPLATES if n == name))
+
+
 def test_license_windows_against_brute_force():
     rng = random.Random(11)
     templates = (("A", "a b c d a b"), ("B", "a b c d a b e f g"), ("C", "x y"), ("D", "d c b a"))
