@@ -7,7 +7,8 @@ string is well formed inside is checked on demand, so that a query can leave unr
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 from lodestream.functions.values import Number
 from lodestream.plans.model import MAX_NESTING, JsonError
@@ -27,6 +28,27 @@ _PLAIN = re.compile(rb"[^\x00-\x1f\\\x80-\xff]*")
 _SCALAR = rb'("(?:[^"\\]|\\.)*+"|-?[0-9][0-9+\-.eE]*+|true|false|null)[ \t\n\r]*+'
 _MEMBER = re.compile(rb'"([ !#-\[\]-~]*+)"[ \t\n\r]*+:[ \t\n\r]*+' + _SCALAR + rb"(?:,[ \t\n\r]*+|(}))", re.DOTALL)
 _ELEMENT = re.compile(_SCALAR + rb"(?:,[ \t\n\r]*+|(\]))", re.DOTALL)
+# A value of at most _SKIP_DEPTH levels of containers, by structure alone; what is deeper is entered level by level.
+_TOKEN = rb'(?:"(?:[^"\\]++|\\.)*+"|-?[0-9][0-9+\-.eE]*+|true|false|null)'
+_GAP = rb"[ \t\n\r]*+"
+_SKIP_DEPTH = 3
+
+
+# A scalar that needs no check, before what may follow it.
+_PLAIN_TOKEN = rb'(?:"[ !#-\[\]-~]*+"|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?=[ \t\n\r,}])|true|false|null)'
+
+
+def _nested(levels: int) -> bytes:
+    if not levels:
+        return _TOKEN
+    v = _nested(levels - 1)
+    pair = rb'"(?:[^"\\]++|\\.)*+"' + _GAP + rb":" + _GAP + v + _GAP
+    many = lambda one: _GAP + rb"(?:" + one + rb"(?:," + _GAP + one + rb")*+)?+"
+    return rb"(?:" + _TOKEN + rb"|\{" + many(pair) + rb"\}|\[" + many(v + _GAP) + rb"\])"
+
+
+_SKIP = re.compile(_nested(_SKIP_DEPTH), re.DOTALL)
+_PLAIN_NAME = re.compile(r"[ !#-\[\]-~]*")
 _KINDS = {0x22: "string", 0x2D: "number", 0x74: "bool", 0x66: "bool", 0x6E: "null", **dict.fromkeys(range(0x30, 0x3A), "number")}
 _SIMPLE = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", '"': '"', "\\": "\\", "/": "/"}
 _FIVE = {"v": "\v", "0": "\0", "'": "'"}
@@ -60,9 +82,82 @@ class Node:
         return self.items if self.kind == "array" else [n for _, _, n in self.members]
 
 
+class Plain(Node):
+    """A scalar whose spelling was seen to need no check: a literal, a number, or a string of plain characters."""
+
+    __slots__ = ()
+
+
+class Want:
+    """What is asked of a value: all of it, or some members of an object and the elements of an array.
+
+    keys: wanted members; names: whether all other members' names count, too. arrays: whether elements count; items: what
+    is asked of those in the window. A want of None asks for nothing but kind and span.
+    """
+
+    __slots__ = ("full", "keys", "names", "arrays", "items", "window", "_run", "_row")
+
+    def __init__(self, full: bool = False, keys: dict[str, Want | None] | None = None, names: bool = False, arrays: bool = False, items: Want | None = None, window: range | None = None):
+        self.full, self.keys, self.names, self.arrays, self.items, self.window = full, keys or {}, names, arrays, items, window
+        self._run = self._row = None
+
+    def row(self):
+        """A pattern of a whole object that captures plain scalars of the wanted members, the last of each name, up to what
+        follows the comma; None where more is asked than members."""
+        if self._row is None:
+            self._row = (None,)
+            leaves = all(w is None or w.full for w in self.keys.values())
+            if self.keys and leaves and not self.names and all(_PLAIN_NAME.fullmatch(k) for k in self.keys):
+                no = b"|".join(re.escape(k).encode() for k in self.keys)
+                other = rb'"(?!(?:' + no + rb')")[ !#-\[\]-~]*+"' + _GAP + rb":" + _GAP + _nested(1)
+                own = [rb'"' + re.escape(k).encode() + rb'"' + _GAP + rb":" + _GAP + rb"(" + _PLAIN_TOKEN + rb")" for k in self.keys]
+                member = rb"(?:" + b"|".join([*own, other]) + rb")" + _GAP + rb'(?:,' + _GAP + rb'(?=")|(?=\}))'
+                self._row = (_run_pattern(rb"(\{" + _GAP + rb"(?:" + member + rb")*+\})" + _GAP + rb"(?:," + _GAP + rb"|(\]))").match,)
+        return self._row[0]
+
+    def run(self):
+        """A pattern of members that aren't wanted, each with the comma after it; it may match nothing."""
+        if self._run is None:
+            # A plain name that isn't wanted; names with escapes or beyond ASCII are read one by one.
+            no = b"|".join(re.escape(k).encode() for k in self.keys if _PLAIN_NAME.fullmatch(k))
+            name = rb'"' + (rb'(?!(?:' + no + rb')")' if no else b"") + rb'[ !#-\[\]-~]*+"'
+            member = name + _GAP + rb":" + _GAP + _nested(_SKIP_DEPTH - 1) + _GAP + rb"," + _GAP + rb'(?=")'
+            self._run = _run_pattern(rb"(?:" + member + rb")*+")
+        return self._run
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Want) and all(getattr(self, k) == getattr(other, k) for k in self.__slots__[:-2])
+
+    __hash__ = None
+
+
+@lru_cache(maxsize=64)
+def _run_pattern(pattern: bytes):
+    return re.compile(pattern, re.DOTALL)
+
+
+FULL = Want(full=True)
+
+
+def merged(a: Want | None, b: Want | None) -> Want | None:
+    """What is asked by a or b."""
+    if a is None or b is None:
+        return a or b
+    if a.full or b.full:
+        return FULL
+    keys = {k: merged(a.keys.get(k), b.keys.get(k)) for k in {**a.keys, **b.keys}}
+    if not (a.arrays and b.arrays):
+        w = a if a.arrays else b
+        return Want(False, keys, a.names or b.names, w.arrays, w.items, w.window)
+    window = range(min(a.window.start, b.window.start), max(a.window.stop, b.window.stop)) if a.window is not None and b.window is not None else None
+    return Want(False, keys, a.names or b.names, True, merged(a.items, b.items), window)
+
+
 class Reader:
-    def __init__(self, src: bytes, dialect: str = "rfc8259", max_nesting: int = MAX_NESTING):
+    def __init__(self, src: bytes, dialect: str = "rfc8259", max_nesting: int = MAX_NESTING, watch: Callable[[str, int, int], None] | None = None):
         self.src, self.dialect, self.max_nesting = src, dialect, max_nesting
+        #: Told of each step through a container ("poll") and of each region that was only located ("skip").
+        self.watch = watch
         self.lax = dialect != "rfc8259"
         self.five = dialect == "json5"
         self.at = 0
@@ -93,6 +188,28 @@ class Reader:
                 holder.comments.append((start, end, len(holder.children())))
             self.at = _WS.match(src, end).end()
 
+    def take(self, want: Want | None, depth: int = 0) -> Node:
+        """The value here as far as it is wanted; what isn't is located by structure alone."""
+        c = self.src[self.at : self.at + 1]
+        if self.lax or (want is not None and want.full) or c not in (b"{", b"["):
+            return self.value(depth)
+        if depth >= self.max_nesting:
+            raise JsonError("Limit", "nesting", self.at)
+        inside = want is not None and (bool(want.keys) or want.names if c == b"{" else want.arrays)
+        if not inside and depth + _SKIP_DEPTH <= self.max_nesting and (m := _SKIP.match(self.src, self.at)):
+            node = Node("object" if c == b"{" else "array", self.at, m.end())
+            self.at = m.end()
+            if self.watch is not None:
+                self.watch("skip", node.start, node.end)
+            return node
+        want = want if inside else Want()
+        if c == b"{":
+            return self._object(depth, want)
+        node = Node("array", self.at)
+        for _ in self.elements(node, depth, want):
+            pass
+        return node
+
     def value(self, depth: int = 0) -> Node:
         src, at = self.src, self.at
         c = src[at : at + 1]
@@ -144,15 +261,38 @@ class Reader:
             pass
         return node
 
-    def elements(self, node: Node, depth: int) -> Iterator[Node]:
+    def elements(self, node: Node, depth: int, want: Want = FULL) -> Iterator[Node]:
         """Reads an array's elements one by one; node is complete when the iterator ends."""
+        watch, window, items = self.watch, want.window, want.items
         self.at += 1
         self.trivia(node)
         src, quick = self.src, _ELEMENT.match if not self.lax else None
         if src[self.at : self.at + 1] == b"]":
             self.at += 1
         else:
+            row = items.row() if not want.full and items is not None and quick else None
+            if row is not None:
+                names, last = list(items.keys), len(items.keys) + 2
             while True:
+                while row is not None and (window is None or len(node.items) in window) and (m := row(src, self.at)):
+                    start, end = m.span(1)
+                    if m[last] is None and src[m.end() : m.end() + 1] == b"]":
+                        break
+                    if watch is not None:
+                        watch("poll", start, end)
+                    item = Node("object", start, end)
+                    item.named = named = {}
+                    for i, name in enumerate(names, 2):
+                        a, b = m.span(i)
+                        if a >= 0:
+                            named[name] = Plain(_KINDS[src[a]], a, b)
+                    node.items.append(item)
+                    self.at = m.end()
+                    if m[last]:
+                        node.end = self.at
+                        yield item
+                        return
+                    yield item
                 while quick and (m := quick(src, self.at)):
                     start, end = m.span(1)
                     if m[2] is None and src[m.end() : m.end() + 1] == b"]":
@@ -166,15 +306,22 @@ class Reader:
                         yield item
                         return
                     yield item
-                item = self.value(depth + 1)
+                if watch is not None:
+                    watch("poll", self.at, self.at)
+                if want.full:
+                    item = self.value(depth + 1)
+                else:
+                    item = self.take(items if window is None or len(node.items) in window else None, depth + 1)
                 node.items.append(item)
                 yield item
                 if self._closes(node, b"]", len(node.items)):
                     break
         node.end = self.at
 
-    def _object(self, depth: int) -> Node:
+    def _object(self, depth: int, want: Want = FULL) -> Node:
         node = Node("object", self.at)
+        full, keys, names, watch = want.full, want.keys, want.names, self.watch
+        run = want.run().match if not (full or names or self.lax) else None
         self.at += 1
         self.trivia(node)
         src, members, quick = self.src, node.members, _MEMBER.match if not self.lax else None
@@ -182,11 +329,17 @@ class Reader:
             self.at += 1
         else:
             while True:
+                if run is not None and (end := run(src, self.at).end()) > self.at:
+                    if watch is not None:
+                        watch("skip", self.at, end)
+                    self.at = end
                 while quick and (m := quick(src, self.at)):
                     at, (start, end) = self.at, m.span(2)
                     if m[3] is None and src[m.end() : m.end() + 1] == b"}":
                         break
-                    members.append((m[1].decode(), at, Node(_KINDS[src[start]], start, end)))
+                    name = m[1].decode()
+                    if full or names or name in keys:
+                        members.append((name, at, Node(_KINDS[src[start]], start, end)))
                     self.at = m.end()
                     if m[3]:
                         node.end = self.at
@@ -198,7 +351,11 @@ class Reader:
                     raise JsonError("Syntax", "expected-colon", self.at)
                 self.at += 1
                 self.trivia(node)
-                node.members.append((name, start, self.value(depth + 1)))
+                if watch is not None:
+                    watch("poll", self.at, self.at)
+                child = self.value(depth + 1) if full else self.take(keys.get(name), depth + 1)
+                if full or names or name in keys:
+                    node.members.append((name, start, child))
                 if self._closes(node, b"}", len(node.members)):
                     break
         node.end = self.at
@@ -220,12 +377,12 @@ class Reader:
         self.at = m.end()
         return m.group().decode()
 
-    def document(self) -> Node:
-        """One value with only trivia around it; a leading byte order mark is skipped."""
+    def document(self, want: Want | None = FULL) -> Node:
+        """One value with only trivia around it, as far as it is wanted; a leading byte order mark is skipped."""
         if self.src[:3] == BOM:
             self.at = 3
         self.trivia()
-        root = self.value()
+        root = self.take(want)
         self.finish()
         return root
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lodestream.operators.control import Limits, scan_controlled, scan_traced
 from lodestream.operators.shipping import ship
 from lodestream.plans import model as m
 from lodestream.plans import walk
@@ -97,10 +98,15 @@ def _keeps(df: DataFrame, column: str, keep: list[str] | None) -> list[str]:
     return [c for c in df.columns if c != column] if keep is None else keep
 
 
-def answers(df: DataFrame, column: str, request: m.Request, keep: list[str] | None = None, mode: str = "failfast") -> DataFrame:
+def _scan(src: bytes, request: m.Request, limits: Limits | None) -> m.Result:
+    return walk.scan(src, request) if limits is None else scan_controlled(src, request, limits.control())
+
+
+def answers(df: DataFrame, column: str, request: m.Request, keep: list[str] | None = None, mode: str = "failfast", limits: Limits | None = None) -> DataFrame:
     """Adds answers (one struct a demand) and issues for each row's text; null texts have null answers.
 
-    mode failfast: a refused text fails the query; permissive: its answers are null and its refusal is an issue.
+    mode failfast: a refused text fails the query; permissive: its answers are null and its refusal is an issue. limits
+    bound the reading of each text; a text beyond them is refused, too.
     """
 
     def each(src: bytes | None) -> Iterator[tuple]:
@@ -108,7 +114,7 @@ def answers(df: DataFrame, column: str, request: m.Request, keep: list[str] | No
             yield None, []
             return
         try:
-            r = walk.scan(src, request)
+            r = _scan(src, request, limits)
             yield [answer_row(src, a) for a in r.answers], [_issue(i) for i in r.issues]
         except JsonError as error:
             if mode == "failfast":
@@ -131,7 +137,7 @@ def records(df: DataFrame, column: str, request: m.Request, keep: list[str] | No
     return _mapped(df, column, _keeps(df, column, keep), [T.StructField("ordinal", T.LongType()), *RESULT], each)
 
 
-def rows(df: DataFrame, column: str, demand: m.Demand, keep: list[str] | None = None, ordinal: str | None = None, mode: str = "failfast", on_mismatch: str = "empty", **options: Any) -> DataFrame:
+def rows(df: DataFrame, column: str, demand: m.Demand, keep: list[str] | None = None, ordinal: str | None = None, mode: str = "failfast", on_mismatch: str = "empty", limits: Limits | None = None, **options: Any) -> DataFrame:
     """The rows of a row demand over each text: one column a field, holding the authored text; null where absent.
 
     JSON null is the text null. ordinal names a column for the row's place in its text. A missing or mismatched target
@@ -146,7 +152,7 @@ def rows(df: DataFrame, column: str, demand: m.Demand, keep: list[str] | None =
         if src is None:
             return
         try:
-            answer = walk.scan(src, request).answers[0]
+            answer = _scan(src, request, limits).answers[0]
         except JsonError:
             if mode == "failfast":
                 raise
@@ -161,14 +167,14 @@ def rows(df: DataFrame, column: str, demand: m.Demand, keep: list[str] | None =
     return _mapped(df, column, _keeps(df, column, keep), fields, each)
 
 
-def value(df: DataFrame, column: str, demand: m.Demand, out: str = "value", keep: list[str] | None = None, mode: str = "failfast", **options: Any) -> DataFrame:
+def value(df: DataFrame, column: str, demand: m.Demand, out: str = "value", keep: list[str] | None = None, mode: str = "failfast", limits: Limits | None = None, **options: Any) -> DataFrame:
     """Adds the text of a path's value, or an oracle's answer as text (names as a JSON array); null if there is none."""
     request = m.Request((demand,), **options)
 
     def each(src: bytes | None) -> Iterator[tuple]:
         made = None
         try:
-            answer = walk.scan(src, request).answers[0] if src is not None else m.Missing()
+            answer = _scan(src, request, limits).answers[0] if src is not None else m.Missing()
         except JsonError:
             if mode == "failfast":
                 raise
@@ -209,16 +215,26 @@ def materialized(df: DataFrame, column: str, demand: m.Demand, out: str = "value
     return _mapped(df, column, _keeps(df, column, keep), [T.StructField(out, T.StringType())], each)
 
 
-def traced(df: DataFrame, column: str, request: m.Request, keep: list[str] | None = None) -> DataFrame:
-    """As answers(), with the events of reading: mark for each value an answer looked at, stop for an early end."""
-    event = T.StructType([T.StructField("event", T.StringType()), T.StructField("at", T.LongType())])
+EVENT = T.StructType([T.StructField("event", T.StringType()), T.StructField("demand", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+COUNTERS = T.StructType([T.StructField(n, T.LongType()) for n in ("demands", "answered", "skips", "skipped_bytes", "polls", "stops")])
+
+
+def traced(df: DataFrame, column: str, request: m.Request, keep: list[str] | None = None, mode: str = "failfast", limits: Limits | None = None) -> DataFrame:
+    """As answers(), with events and counters of the reading: one mark a demand, skipped regions, an early stop."""
 
     def each(src: bytes | None) -> Iterator[tuple]:
-        events: list[dict] = []
-        r = walk.scan(src, request, lambda e, at: events.append({"event": e, "at": at})) if src is not None else m.Result([])
-        yield [answer_row(src or b"", a) for a in r.answers], [_issue(i) for i in r.issues], events
+        if src is None:
+            yield None, [], [], None
+            return
+        try:
+            r, t = scan_traced(src, request, None if limits is None else limits.control())
+            yield [answer_row(src, a) for a in r.answers], [_issue(i) for i in r.issues], [dict(zip(EVENT.names, e, strict=True)) for e in t.events], t.counters
+        except JsonError as error:
+            if mode == "failfast":
+                raise
+            yield None, [_issue(error.issue())], [], None
 
-    return _mapped(df, column, _keeps(df, column, keep), [*RESULT, T.StructField("events", T.ArrayType(event))], each)
+    return _mapped(df, column, _keeps(df, column, keep), [*RESULT, T.StructField("events", T.ArrayType(EVENT)), T.StructField("counters", COUNTERS)], each)
 
 
 def encoded(df: DataFrame, column: str, out: str = "encoded", options: Any = None, dialect: str = "rfc8259", verbatim: bool = False, keep: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ kept. plans.gate says which demands qualify. Everything stays in the JVM.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,9 @@ def text(v: Column) -> Column:
 
 def leaf(row: Column, p: m.Compare) -> Column:
     v = member(row, p.field)
+    if isinstance(p.value, bool) and p.op not in ("eq", "ne"):
+        # In an order true counts as 1, false as 0.
+        return leaf(row, m.Compare(p.op, p.field, Number(str(int(p.value)))))
     if isinstance(p.value, Number):
         typed, own = F.try_variant_get(v, "$", NUMERIC), "number"
         literal = F.lit(p.value.spelling).cast(NUMERIC)
@@ -76,48 +81,83 @@ def holds(row: Column, p: m.Predicate) -> Column:
 
 def rows(df: DataFrame, column: str, demand: m.Demand, keep: list[str] | None = None, ordinal: str | None = None) -> DataFrame:
     """As exact.rows() for Project, Filter, Collection and Slice by way of keys, over texts that are trusted."""
-    keep = [c for c in df.columns if c != column] if keep is None else keep
     path: tuple[m.Step, ...] = ()
     while isinstance(demand, m.Path) and demand.nested is not None:
         path, demand = path + demand.steps, demand.nested
-    if isinstance(demand, (m.Project, m.Filter)):
+    flat = isinstance(demand, (m.Project, m.Filter))
+    if flat:
         path += demand.path
-    parsed = df.select(*keep, F.try_parse_json(column).alias("__v"))
-    array = elements(go(F.col("__v"), path))
-    one = parsed.select(*keep, F.posexplode(array).alias("__pos", "__e"))
-    window = None
-    if isinstance(demand, m.Slice):
-        window, n = demand.range, F.size(array)
-        lo = F.lit(window.start or 0) if (window.start or 0) >= 0 else F.greatest(n + F.lit(window.start), F.lit(0))
-        hi = n if window.end is None else F.lit(window.end) if window.end >= 0 else n + F.lit(window.end)
-        one = parsed.select(*keep, F.posexplode(array).alias("__pos", "__e"), lo.alias("__lo"), hi.alias("__hi")).filter("__pos >= __lo and __pos < __hi")
+    names = {*["value" if f == "$" else f for f in m.fields_of(demand)], ordinal}
+    keep = [c for c in ([c for c in df.columns if c != column] if keep is None else keep) if c.lower() not in {n.lower() for n in names if n}]
+    parsed = df.select(*[F.col(f"`{c}`") for c in keep], F.try_parse_json(column).alias("__v"))
+    target = go(F.col("__v"), path)
+    # A projection or filter takes an object as one element.
+    array = F.when(kind(target) == "object", F.array(target)).otherwise(elements(target)) if flat else elements(target)
     inner = demand.nested if isinstance(demand, (m.Slice, m.Collection)) else demand
     if isinstance(demand, m.Collection) and inner is None and demand.fields is not None:
         inner = m.Project((), demand.fields)
-    if isinstance(inner, m.Filter):
-        one = one.filter((kind(F.col("__e")) == "object") & holds(F.col("__e"), inner.predicate))
+    if isinstance(demand, m.Slice):
+        n = F.size(array)
+        edge = lambda at, default: default if at is None else F.least(F.lit(at), n) if at >= 0 else F.greatest(n + F.lit(at), F.lit(0))
+        lo, hi = edge(demand.range.start, F.lit(0)), edge(demand.range.end, n)
+        array = F.slice(array, lo + 1, F.greatest(hi - lo, F.lit(0)))
+    passes = (lambda e: (kind(e) == "object") & holds(e, inner.predicate)) if isinstance(inner, m.Filter) else None
+    if passes and ordinal:
+        # Ordinals count the rows that remain.
+        array = F.filter(array, passes)
+    one = parsed.select(*[F.col(f"`{c}`") for c in keep], F.posexplode(array).alias("__pos", "__e"))
+    if passes and not ordinal:
+        one = one.filter(passes(F.col("__e")))
     fields = m.fields_of(inner) if inner is not None else ("$",)
+    if not fields:
+        one = one.filter(F.lit(False))
     cells = [text(F.col("__e")).alias("value") if f == "$" else text(member(F.col("__e"), f)).alias(f) for f in fields]
-    return one.select(*keep, *([F.col("__pos").cast("long").alias(ordinal)] if ordinal else []), *cells)
+    return one.select(*[F.col(f"`{c}`") for c in keep], *([F.col("__pos").cast("long").alias(ordinal)] if ordinal else []), *cells)
+
+
+def _plain(path: tuple[m.Step, ...]) -> bool:
+    return all(isinstance(s, m.Key) and re.fullmatch(r"\w+", s.name, re.ASCII) for s in path)
+
+
+def answers_value(demand: m.Demand) -> bool:
+    """Whether value() has an expression for the demand."""
+    path: tuple[m.Step, ...] = ()
+    while isinstance(demand, m.Path):
+        path, demand = path + demand.steps, demand.nested or m.Whole()
+    if isinstance(demand, m.Oracle):
+        return demand.kind not in ("member_names", "descend_count") or _plain(path)
+    return isinstance(demand, m.Whole)
 
 
 def value(df: DataFrame, column: str, demand: m.Demand, out: str = "value", keep: list[str] | None = None) -> DataFrame:
-    """As exact.value() for paths of keys and for count, kind, has_key, member_names and member_count."""
-    keep = [c for c in df.columns if c != column] if keep is None else keep
+    """As exact.value() for paths and for all oracles; names and counts of descendants only behind plain keys."""
+    if not answers_value(demand):
+        raise ValueError(f"no native expression for {demand!r}")
+    keep = [c for c in ([c for c in df.columns if c != column] if keep is None else keep) if c.lower() != out.lower()]
     path: tuple[m.Step, ...] = ()
     while isinstance(demand, m.Path):
         path, demand = path + demand.steps, demand.nested or m.Whole()
-    parsed = df.select(*keep, F.try_parse_json(column).alias("__v"))
+    parsed = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("__t"), F.try_parse_json(column).alias("__v"))
     v = go(F.col("__v"), path)
     if isinstance(demand, m.Whole):
         made = text(v)
     else:
-        names = F.json_object_keys(F.to_json(v))
+        own = F.get_json_object("__t", "$" + "".join(f".{s.name}" for s in path)) if path and _plain(path) else F.col("__t")
+        # VARIANT sorts names; the text has them in their order.
+        names = F.json_object_keys(own)
+        # Without strings and gaps, each comma and each container that isn't empty stands for one value more.
+        bare = F.regexp_replace(own, r'"(?:[^"\\]++|\\.)*+"', "s")
+        bare = F.translate(bare, " \t\r\n", "")
+        least = F.char_length(bare) - F.char_length(F.translate(bare, ",[{", ""))
+        empty = F.char_length(bare) - F.char_length(F.regexp_replace(bare, r"\[\]|\{\}", "x"))
+        members = F.size(F.json_object_keys(F.to_json(v)))
         made = {
             "kind": lambda: kind(v),
-            "count": lambda: F.when(kind(v) == "array", F.size(elements(v))).when(kind(v) == "object", F.size(names)).cast("string"),
-            "member_count": lambda: F.when(kind(v) == "object", F.size(names)).cast("string"),
+            "count": lambda: F.when(kind(v) == "array", F.size(elements(v))).when(kind(v) == "object", members).cast("string"),
+            "member_count": lambda: F.when(kind(v) == "object", members).cast("string"),
             "has_key": lambda: F.when(kind(v) == "object", member(v, demand.key or "").isNotNull()).cast("string"),
+            "member_names": lambda: F.when(kind(v) == "object", F.to_json(names)),
+            "descend_count": lambda: F.when(kind(v).isin("array", "object"), 1 + least - empty).otherwise(F.when(v.isNotNull(), F.lit(1))).cast("string"),
             "string_byte_length": lambda: F.when(kind(v) == "string", F.octet_length(F.try_variant_get(v, "$", "string"))).cast("string"),
         }[demand.kind]()
-    return parsed.select(*keep, made.alias(out))
+    return parsed.select(*[F.col(f"`{c}`") for c in keep], made.alias(out))

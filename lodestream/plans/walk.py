@@ -7,10 +7,12 @@ is then mapped.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 from lodestream.functions import values
-from lodestream.functions.lexer import BOM, Node, Reader, check, decoded, number_at, value_of
+from lodestream.functions.lexer import BOM, FULL, Node, Plain, Reader, Want, check, decoded, merged, number_at, value_of
 from lodestream.plans import model as m
 from lodestream.plans.model import JsonError
 from lodestream.sources.framing import frames
@@ -68,21 +70,84 @@ def canonical_demands(request: m.Request) -> list[m.Demand]:
     return made
 
 
+@lru_cache(maxsize=1024)
+def _short(spelling: str) -> float | None:
+    """A number that a double holds as exactly as its spelling of at most 15 characters says."""
+    return float(spelling) if len(spelling) <= 15 and re.fullmatch(r"-?[0-9]+(\.[0-9]+)?", spelling) else None
+
+
+def _fields(p: m.Predicate) -> set[str]:
+    if isinstance(p, m.Compare):
+        return {p.field}
+    return _fields(p.inner) if isinstance(p, m.Not) else _fields(p.left) | _fields(p.right)
+
+
+def want_of(demand: m.Demand, checked: bool = True) -> Want | None:
+    """What a canonical demand asks of the value that it meets; checked: whether answers' values are looked into."""
+    whole = FULL if checked else None
+
+    def at(steps: tuple[m.Step, ...], w: Want | None) -> Want | None:
+        for step in reversed(steps):
+            if isinstance(step, m.Key):
+                w = Want(keys={step.name: w})
+            else:
+                w = Want(arrays=True, items=w, window=range(step.at, step.at + 1) if step.at >= 0 else None)
+        return w
+
+    def each(names: set[str]) -> Want:
+        keys = dict.fromkeys(names, whole)
+        return Want(keys=keys, arrays=True, items=Want(keys=keys))
+
+    match demand:
+        case m.Path(steps, nested):
+            return at(steps, want_of(nested or m.Whole(), checked))
+        case m.Project(path, fields):
+            return at(path, each(set(fields)))
+        case m.Filter(path, predicate, project):
+            return at(path, each(_fields(predicate) | set(project)) if project or not checked else FULL)
+        case m.Collection(fields, nested):
+            return Want(arrays=True, items=want_of(nested or (m.Whole() if fields is None else m.Project((), fields)), checked))
+        case m.Slice(window, nested):
+            return Want(arrays=True, items=want_of(nested or m.Whole(), checked), window=range(window.start or 0, max(window.start or 0, window.end)) if window.bounded else None)
+        case m.Oracle(kind, key):
+            if kind == "descend_count":
+                return FULL
+            if kind == "has_key":
+                return Want(keys={key or "": None})
+            return Want(names=True, arrays=True) if kind in ("count", "member_names", "member_count") else None
+    return whole
+
+
+def want_of_request(request: m.Request, demands: list[m.Demand]) -> Want | None:
+    """What all demands together ask of the text; all of it for strict readings, comments and other dialects."""
+    made = request.__dict__.get("_want")
+    if made is None:
+        if request.strictness == "strict" or request.facts or request.dialect != "rfc8259":
+            made = (FULL,)
+        else:
+            w = None
+            for d in demands:
+                w = merged(w, want_of(d, request.strictness != "lazy"))
+            made = (w,)
+        object.__setattr__(request, "_want", made)
+    return made[0]
+
+
 class Walker:
-    """Answers over one source's nodes, with the checks that a strictness asks for."""
+    """Answers over one source's nodes, with the checks that a strictness asks for. base: where the source begins in its stream."""
 
-    def __init__(self, src: bytes, request: m.Request, trace: Callable[[str, int], None] | None = None):
+    def __init__(self, src: bytes, request: m.Request, watch: Callable[[str, int, int], None] | None = None, base: int = 0):
         self.src, self.dialect, self.strictness = src, request.dialect, request.strictness
         self.facts = request.facts
-        self.trace = trace
+        self.watch, self.base = watch, base
 
     def demanded(self, node: Node) -> tuple[int, int]:
         """The span of a node that an answer holds; its values are checked unless reading is lazy."""
-        if self.strictness == "structural" and node.kind != "null" and node.kind != "bool":
+        if self.strictness == "structural" and type(node) is not Plain and node.kind != "null" and node.kind != "bool":
             check(self.src, node, self.dialect)
-        if self.trace is not None:
-            self.trace("mark", node.start)
-        return node.start, node.end
+        if self.watch is not None:
+            self.watch("hold", self.base + node.start, self.base + node.end)
+        return self.base + node.start, self.base + node.end
 
     def go(self, node: Node, steps: tuple[m.Step, ...]) -> Node | m.Missing | m.TypeMismatch:
         for step in steps:
@@ -208,6 +273,11 @@ class Walker:
         if p.op in ("eq", "ne"):
             return self._equals(node, want) == (p.op == "eq")
         # Order needs a number in the text; an operand true or false counts as 1 or 0.
+        if type(node) is Plain and node.kind == "number" and node.end - node.start <= 15 and isinstance(want, values.Number) and (short := _short(want.spelling)) is not None:
+            # Both have 15 digits at most, so doubles order them rightly; zeros have signs.
+            own = float(self.src[node.start : node.end])
+            if own or short:
+                return {"gt": own > short, "lt": own < short, "ge": own >= short, "le": own <= short}[p.op]
         own = self._scalar(node) if node.kind == "number" else None
         order = values.compare(own, want) if isinstance(own, values.Number) else None
         return order is not None and {"gt": order > 0, "lt": order < 0, "ge": order >= 0, "le": order <= 0}[p.op]
@@ -223,6 +293,8 @@ class Walker:
     def _equals(self, node: Node, want) -> bool:
         if node.kind != values.kind_of(want):
             return False
+        if type(node) is Plain and node.kind == "string":
+            return self.src[node.start + 1 : node.end - 1].decode() == want
         own = self._scalar(node)
         if isinstance(want, values.Number):
             return isinstance(own, values.Number) and own.compare(want) == 0
@@ -256,36 +328,82 @@ class Walker:
         return m.OracleAnswer(o.kind, len(named))
 
 
-def _early_window(request: m.Request) -> int | None:
-    """Elements to read if all demands are bounded slices of the root array; strict reading sees all."""
-    if request.strictness == "strict" or not request.demands:
+def _early(request: m.Request, demands: list[m.Demand]) -> tuple[tuple[str, ...], int] | None:
+    """(names, elements to read) if all demands are bounded slices of one array behind these names; strict reading sees all."""
+    if request.strictness == "strict" or not demands or request.facts:
         return None
-    if all(isinstance(d, m.Slice) and d.range.bounded for d in request.demands):
-        return max(d.range.end for d in request.demands)
-    return None
-
-
-def scan_text(src: bytes, request: m.Request, trace: Callable[[str, int], None] | None = None) -> m.Result:
+    places, most = set(), 0
+    for d in demands:
+        steps: tuple[m.Step, ...] = ()
+        while isinstance(d, m.Path) and d.nested is not None:
+            steps, d = steps + d.steps, d.nested
+        if not (isinstance(d, m.Slice) and d.range.bounded and all(isinstance(x, m.Key) for x in steps)):
+            return None
+        places.add(tuple(x.name for x in steps))
+        most = max(most, d.range.end)
+    return (places.pop(), most) if len(places) == 1 else None
+
+
+def _until(reader: Reader, names: tuple[str, ...], most: int, want: Want | None, depth: int = 0) -> Node | None:
+    """The array behind names as soon as it has `most` elements; None where it ends before, or there is none."""
+    src = reader.src
+    if not names:
+        if src[reader.at : reader.at + 1] != b"[":
+            return None
+        array = Node("array", reader.at)
+        elements = reader.elements(array, depth, want if want is not None else Want())
+        while len(array.items) < most:
+            if next(elements, None) is None:
+                return None
+        return array if array.end < 0 else None
+    if src[reader.at : reader.at + 1] != b"{" or depth >= reader.max_nesting:
+        return None
+    node = Node("object", reader.at)
+    reader.at += 1
+    reader.trivia(node)
+    if src[reader.at : reader.at + 1] == b"}":
+        return None
+    run = Want(keys={names[0]: None}).run().match if not reader.lax else None
+    inner = want.keys.get(names[0]) if want is not None and not want.full else want
+    while True:
+        if run is not None:
+            reader.at = run(src, reader.at).end()
+        name = reader._name()
+        reader.trivia(node)
+        if src[reader.at : reader.at + 1] != b":":
+            raise JsonError("Syntax", "expected-colon", reader.at)
+        reader.at += 1
+        reader.trivia(node)
+        if name == names[0]:
+            return _until(reader, names[1:], most, inner, depth + 1)
+        reader.take(None, depth + 1)
+        if reader._closes(node, b"}", 1):
+            return None
+
+
+def scan_text(src: bytes, request: m.Request, watch: Callable[[str, int, int], None] | None = None) -> m.Result:
     demands = canonical_demands(request)
-    reader = Reader(src, request.dialect, request.max_nesting)
-    walker = Walker(src, request, trace)
-    most = _early_window(request)
-    if most is not None:
+    want = want_of_request(request, demands)
+    walker = Walker(src, request, watch)
+    early = _early(request, demands)
+    if early is not None:
+        reader = Reader(src, request.dialect, request.max_nesting, watch)
         reader.at = 3 if src[:3] == BOM else 0
         reader.trivia()
-        if src[reader.at : reader.at + 1] == b"[":
-            root = Node("array", reader.at)
-            elements = reader.elements(root, 0)
-            while len(root.items) < most and next(elements, None) is not None:
-                pass
-            if root.end < 0 and len(root.items) >= most:
-                if trace is not None:
-                    trace("stop", reader.at)
-                return m.Result([walker.answer(root, d) for d in demands])
-            reader.finish()
-            return m.Result([walker.answer(root, d) for d in demands])
-        reader = Reader(src, request.dialect, request.max_nesting)
-    root = reader.document()
+        try:
+            array = _until(reader, *early, want)
+        except JsonError:
+            # The whole reading says what is wrong, in its order.
+            array = None
+        if array is not None:
+            if watch is not None:
+                watch("stop", reader.at, reader.at)
+            slices = [d.nested if isinstance(d, m.Path) else d for d in demands]
+            while any(isinstance(d, m.Path) for d in slices):
+                slices = [d.nested if isinstance(d, m.Path) else d for d in slices]
+            return m.Result([walker.answer(array, d) for d in slices])
+    reader = Reader(src, request.dialect, request.max_nesting, watch)
+    root = reader.document(want)
     if request.strictness == "strict":
         check(src, root, request.dialect)
     answers = [walker.answer(root, d) for d in demands]
@@ -297,6 +415,23 @@ def scan_text(src: bytes, request: m.Request, trace: Callable[[str, int], None]
     return m.Result(answers)
 
 
+def _record(src: bytes, span: tuple[int, int], request: m.Request, want: Want | None, watch: Callable[[str, int, int], None] | None) -> tuple[Node, Walker]:
+    """The root of one record of a stream, and its walker; refusals have the stream's offsets."""
+    s, e = span
+    own = src[s:e]
+    seen = None if watch is None else lambda event, start, end: watch(event, s + start, s + end)
+    try:
+        reader = Reader(own, request.dialect, request.max_nesting, seen)
+        reader.trivia()
+        root = reader.take(want)
+        reader.finish()
+        if request.strictness == "strict":
+            check(own, root, request.dialect)
+    except JsonError as error:
+        raise JsonError(error.cls, error.code, error.offset + s) from None
+    return root, Walker(own, request, watch, s)
+
+
 def _per_record(demand: m.Demand) -> tuple[str, m.Demand, m.Demand | None]:
     """How a demand on the virtual array of records meets one record: (mode, demand on the record, index or window)."""
     match demand:
@@ -319,12 +454,14 @@ def _per_record(demand: m.Demand) -> tuple[str, m.Demand, m.Demand | None]:
     return "never", demand, None
 
 
-def scan_stream(src: bytes, request: m.Request, trace: Callable[[str, int], None] | None = None) -> m.Result:
+def scan_stream(src: bytes, request: m.Request, watch: Callable[[str, int, int], None] | None = None) -> m.Result:
     """Records as one virtual array. A bad last record is an issue and ends the stream; an earlier one is an error."""
     demands = canonical_demands(request)
     spans = frames(src, request.framing, request.dialect, request.max_nesting)
-    walker = Walker(src, request, trace)
     plans = [_per_record(d) for d in demands]
+    checked = request.strictness != "lazy"
+    full = request.strictness == "strict" or request.dialect != "rfc8259"
+    wants = [FULL if full else want_of(d, checked) if mode in ("rows", "at", "at_row") else None for mode, d, _ in plans]
     n = len(spans)
     wanted = []
     for mode, _, at in plans:
@@ -335,24 +472,25 @@ def scan_stream(src: bytes, request: m.Request, trace: Callable[[str, int], None
     rows: list[list[Row]] = [[] for _ in demands]
     single: list[m.Answer] = [m.Missing() for _ in demands]
     issues, walked = [], 0
-    for i, (s, e) in enumerate(spans):
+    for i, span in enumerate(spans):
         try:
-            # Offsets stay those of the whole stream.
-            reader = Reader(src[:e], request.dialect, request.max_nesting)
-            reader.at = s
-            reader.trivia()
-            root = reader.value()
-            reader.finish()
-            if request.strictness == "strict":
-                check(src, root, request.dialect)
+            want = FULL if full else None
+            asked = [k for k, (mode, _, _) in enumerate(plans) if (mode == "rows" and i in wanted[k]) or (mode in ("at", "at_row") and i == wanted[k])]
+            for k in asked:
+                want = merged(want, wants[k])
+            root, walker = _record(src, span, request, want, watch)
             made: list[tuple[int, list[Row] | m.Answer]] = []
-            for k, (mode, demand, _) in enumerate(plans):
-                if mode == "rows" and i in wanted[k]:
-                    made.append((k, list(walker.element(root, demand))))
-                elif mode == "at" and i == wanted[k]:
-                    made.append((k, walker.answer(root, demand)))
-                elif mode == "at_row" and i == wanted[k]:
-                    made.append((k, m.Columns(m.fields_of(demand), list(walker.flat(root, demand))) if not demand.path else walker.answer(root, demand)))
+            try:
+                for k in asked:
+                    mode, demand, _ = plans[k]
+                    if mode == "rows":
+                        made.append((k, list(walker.element(root, demand))))
+                    elif mode == "at":
+                        made.append((k, walker.answer(root, demand)))
+                    else:
+                        made.append((k, m.Columns(m.fields_of(demand), list(walker.flat(root, demand))) if not demand.path else walker.answer(root, demand)))
+            except JsonError as error:
+                raise JsonError(error.cls, error.code, error.offset + span[0]) from None
         except JsonError as error:
             if i == n - 1:
                 issues.append(error.issue())
@@ -382,10 +520,14 @@ def scan_stream(src: bytes, request: m.Request, trace: Callable[[str, int], None
     return m.Result(out, issues)
 
 
-def scan(src: bytes | str, request: m.Request, trace: Callable[[str, int], None] | None = None) -> m.Result:
-    """One answer for each demand of the request."""
+def scan(src: bytes | str, request: m.Request, watch: Callable[[str, int, int], None] | None = None) -> m.Result:
+    """One answer for each demand of the request.
+
+    watch is told (event, start, end): "poll" at each step through a container that is read, "skip" for each region that
+    was only located, "hold" for each span that an answer holds, "stop" where reading ends early.
+    """
     src = src.encode() if isinstance(src, str) else src
-    return scan_text(src, request, trace) if request.framing == "text" else scan_stream(src, request, trace)
+    return scan_text(src, request, watch) if request.framing == "text" else scan_stream(src, request, watch)
 
 
 def scan_each(src: bytes | str, request: m.Request) -> Iterator[tuple[int, m.Result]]:
@@ -398,22 +540,20 @@ def scan_each(src: bytes | str, request: m.Request) -> Iterator[tuple[int, m.Res
         yield 0, scan(src, request)
         return
     demands = canonical_demands(request)
+    want = want_of_request(request, demands)
     spans = frames(src, request.framing, request.dialect, request.max_nesting)
-    walker = Walker(src, request)
-    for i, (s, e) in enumerate(spans):
-        reader = Reader(src[:e], request.dialect, request.max_nesting)
-        reader.at = s
+    for i, span in enumerate(spans):
         try:
-            reader.trivia()
-            root = reader.value()
-            reader.finish()
-            if request.strictness == "strict":
-                check(src, root, request.dialect)
-            yield i, m.Result([walker.answer(root, d) for d in demands])
+            root, walker = _record(src, span, request, want, None)
+            try:
+                made = m.Result([walker.answer(root, d) for d in demands])
+            except JsonError as error:
+                raise JsonError(error.cls, error.code, error.offset + span[0]) from None
         except JsonError as error:
             if i < len(spans) - 1:
                 raise
-            yield i, m.Result([], [error.issue()])
+            made = m.Result([], [error.issue()])
+        yield i, made
 
 
 def validate(src: bytes | str, dialect: str = "rfc8259") -> m.Issue | None:

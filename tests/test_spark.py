@@ -1,6 +1,7 @@
 """Operators over DataFrames: null and refused texts, partitions, native against exact, sources and streams."""
 
 import json
+import random
 
 import duckdb
 import pytest
@@ -9,7 +10,7 @@ from lodestream import entries
 from lodestream.functions.values import Number
 from lodestream.operators import exact, native
 from lodestream.plans import gate
-from lodestream.plans.model import Collection, Compare, Filter, JsonError, Oracle, Path, Project, Range, Request, Slice, Whole, steps
+from lodestream.plans.model import And, Collection, Compare, Filter, JsonError, Not, Or, Oracle, Path, Project, Range, Request, Slice, Whole, steps
 from lodestream.sources import readers
 
 P = steps
@@ -51,9 +52,63 @@ def test_native_is_exact(docs, demand):
     assert rows(native.rows(docs, "doc", demand, ordinal=None)) == rows(exact.rows(docs, "doc", demand))
 
 
-def test_native_oracles(docs):
-    for o in (Oracle("kind"), Oracle("count"), Oracle("has_key", "rows"), Oracle("member_count")):
-        assert rows(native.value(docs, "doc", o)) == rows(exact.value(docs, "doc", o))
+def _value(rng, depth):
+    kind = rng.randrange(9 if depth else 6)
+    if kind < 3:
+        return rng.choice(["0", "7", "-3", "12.5", "40", "-0.25", "1000000"])
+    if kind < 6:
+        return rng.choice(['"seven"', '""', "true", "false", "null", '"n"'])
+    if kind == 6:
+        return "[" + ",".join(_value(rng, depth - 1) for _ in range(rng.randrange(4))) + "]"
+    names = rng.sample(["id", "n", "tag", "rows", "in"], rng.randrange(5))
+    return "{" + ",".join(f'"{x}": {_value(rng, depth - 1)}' for x in names) + "}"
+
+
+def _demand(rng):
+    fields = tuple(rng.sample(["id", "n", "tag"], rng.randint(1, 2)))
+    path = P(*rng.choice([(), ("rows",), ("rows", "in"), ("n",)]))
+
+    def predicate(depth):
+        if depth and rng.random() < 0.5:
+            return rng.choice([And, Or])(predicate(depth - 1), predicate(depth - 1)) if rng.random() < 0.7 else Not(predicate(depth - 1))
+        x = rng.choice([Number("7"), Number("12.5"), Number("-3"), Number("100"), "seven", True, None])
+        return Compare(rng.choice(["eq", "ne", "gt", "lt", "ge", "le"]), rng.choice(["id", "n", "tag"]), x)
+
+    edge = lambda: rng.choice([None, -2, -1, 0, 1, 2, 5])
+    inner = rng.choice([None, Project((), fields), Filter((), predicate(1), fields)])
+    return rng.choice([Project(path, fields), Filter(path, predicate(2), fields), Filter(path, predicate(1)), Path(path, Collection(fields)) if path else Collection(fields), Path(path, Collection(None, inner)) if path else Collection(None, inner), Path(P("rows"), Slice(Range(edge(), edge()), inner))])
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_native_is_exact_on_random_texts(spark, seed):
+    """Each seed: 45 texts by three demands, with and without ordinals; cells are compared as values."""
+    rng = random.Random(seed)
+    texts = ["{" + ",".join(f'"{x}": {_value(rng, 3)}' for x in rng.sample(["rows", "n", "id", "in"], rng.randint(1, 4))) + "}" for _ in range(40)] + [_value(rng, 2) for _ in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "key int, doc string").coalesce(1).cache()
+    load = lambda x: None if x is None else json.dumps(json.loads(x), sort_keys=True)
+    for k in range(3):
+        demand = _demand(rng)
+        assert gate.native(demand, Request((demand,)), True)
+        ordinal = "at" if k % 2 else None
+        keys = 2 if ordinal else 1
+        found = [sorted(repr((*r[:keys], *map(load, r[keys:]))) for r in f(df, "doc", demand, keep=["key"], ordinal=ordinal).collect()) for f in (native.rows, exact.rows)]
+        assert found[0] == found[1], demand
+    for o in (Oracle("kind"), Oracle("count"), Oracle("has_key", "rows"), Oracle("member_count"), Oracle("member_names"), Oracle("descend_count"), Path(P("rows"), Oracle("member_names")), Path(P("rows", "in"), Oracle("descend_count")), Path(P("n"), Oracle("string_byte_length"))):
+        assert rows(gate.value(df, "doc", o, trusted=True)) == rows(exact.value(df, "doc", o)), o
+
+
+def test_what_the_gate_keeps_exact(spark):
+    df = spark.createDataFrame([(1, '{"id":5,"rows":[{"n":-0},{"n":0},{"n":3}]}'), (2, '{"id":6,"rows":{"n":-0.0}}')], "id int, doc string")
+    for op in ("eq", "ne", "gt", "lt", "ge", "le"):
+        for zero in ("0", "-0", "0.00"):
+            f = Filter(P("rows"), Compare(op, "n", Number(zero)))
+            assert gate.rows(df, "doc", f, trusted=True).count() == exact.rows(df, "doc", f).count(), (op, zero)
+    assert not gate.native(Filter((), Compare("lt", "n", Number("0"))), Request(()), True)
+    assert gate.rows(df, "doc", Path(P("rows"), Oracle("count")), trusted=True).collect() == []
+    assert gate.rows(df, "doc", Project((), ("id",)), trusted=True).columns == ["id"]
+    assert sorted(r.id for r in gate.rows(df, "doc", Project((), ("id",)), trusted=True).collect()) == ["5", "6"]
+    with pytest.raises(ValueError, match="no native expression"):
+        native.value(df, "doc", Path(P("rows", 0), Oracle("member_names")))
 
 
 def test_modes(spark):
