@@ -312,7 +312,8 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     # An entry whose near spellings are common in clean texts (its neighbours are words of the language) keeps to itself.
     near = _near_hits(sample.select("toxic", "text"), model).select("toxic", F.explode("near").alias("entry")).groupBy("entry").agg(F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("clean"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic")).collect()
     model.exact = frozenset(model.entries[r.entry][0] for r in near if r.clean > 0.25 * r.toxic + 1)
-    rows = _features(sample.select("__id", "toxic", "text"), model).select("toxic", "features").orderBy("features", "toxic").collect()
+    # At most sample_rows times TEXTS_OF_ID rows of some numbers.
+    rows = sorted(_features(sample.select("__id", "toxic", "text"), model).select("features", "toxic").collect())
     forget(sample)
     y = np.array([float(r.toxic > 0) for r in rows])
     if len(y) and 0 < y.sum() < len(y):
