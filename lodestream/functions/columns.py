@@ -19,6 +19,12 @@ def as_i64(cell: Column) -> Column:
     return F.when(cell.rlike(_INTEGER), cell.try_cast("long"))
 
 
+def as_u64(cell: Column) -> Column:
+    """Integers as they are spelled, from 0 to 2 ** 64 - 1, as decimals; -0 is one, other negative ones aren't."""
+    wide = F.when(cell.rlike(_INTEGER), cell.try_cast("decimal(38,0)"))
+    return F.when(wide.between(0, F.lit("18446744073709551615").cast("decimal(38,0)")), wide)
+
+
 def as_i128(cell: Column) -> Column:
     """Integers of up to 38 digits."""
     return F.when(cell.rlike(_INTEGER), cell.try_cast("decimal(38,0)"))
@@ -51,6 +57,11 @@ def elements(cell: Column) -> Column:
     return F.transform(F.try_variant_get(F.try_parse_json(cell), "$", "array<variant>"), lambda v: F.to_json(v))
 
 
+def field_column(answer: Column, at: int) -> Column:
+    """One column of an answer's batch: the cells' texts, null where absent."""
+    return F.transform(answer["rows"], lambda r: r[at]["text"])
+
+
 def row_object(cells: dict[str, Column]) -> Column:
     """An object of named cells, absent ones left out; each cell's text goes in as it is."""
     from lodestream.functions.encode import quoted

@@ -1,7 +1,8 @@
 """Edits of JSON text that leave all other bytes as they are.
 
 All edits are located in one strict reading, become splices, and are applied from the end. Where an edit has no place in
-the text, the edits are applied one after another to the value instead, and the result is written compactly.
+the text, or the spliced text can't be read again, the edits are applied one after another to the value instead, and the
+result is written compactly.
 """
 
 from __future__ import annotations
@@ -260,12 +261,17 @@ def edit(src: bytes | str, edits: list[Edit], dialect: str = "rfc8259", revalida
     try:
         splices, _, _ = _planned(src, edits, dialect)
         out = _spliced(src, splices)
-        if revalidate:
-            check(out, Reader(out, dialect).document(), dialect)
-        return out
     except JsonError as error:
         if error.code != "edit-unplaceable" or any(isinstance(e, Comment) for e in edits):
             raise
+    else:
+        try:
+            if revalidate:
+                check(out, Reader(out, dialect).document(), dialect)
+            return out
+        except JsonError:
+            if any(isinstance(e, Comment) for e in edits):
+                raise
     value = value_of(src, Reader(src, dialect).document(), dialect)
     for e in edits:
         value = _applied(value, e)

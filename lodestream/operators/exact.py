@@ -137,11 +137,11 @@ def records(df: DataFrame, column: str, request: m.Request, keep: list[str] | No
     return _mapped(df, column, _keeps(df, column, keep), [T.StructField("ordinal", T.LongType()), *RESULT], each)
 
 
-def rows(df: DataFrame, column: str, demand: m.Demand, keep: list[str] | None = None, ordinal: str | None = None, mode: str = "failfast", on_mismatch: str = "empty", limits: Limits | None = None, **options: Any) -> DataFrame:
+def rows(df: DataFrame, column: str, demand: m.Demand, keep: list[str] | None = None, ordinal: str | None = None, mode: str = "failfast", on_mismatch: str = "empty", limits: Limits | None = None, window: m.Range | None = None, **options: Any) -> DataFrame:
     """The rows of a row demand over each text: one column a field, holding the authored text; null where absent.
 
     JSON null is the text null. ordinal names a column for the row's place in its text. A missing or mismatched target
-    has no rows, or raises with on_mismatch="raise". options go to the request: framing, strictness, dialect.
+    has no rows, or raises with on_mismatch="raise". window keeps some of each text's rows, by their places. options go to the request: framing, strictness, dialect.
     """
     walk.refuse_containers(demand)
     request = m.Request((demand,), **options)
@@ -158,6 +158,7 @@ def rows(df: DataFrame, column: str, demand: m.Demand, keep: list[str] | None =
                 raise
             return
         if isinstance(answer, m.Columns):
+            answer = answer if window is None else answer.windowed(window)
             for i, r in enumerate(answer.rows):
                 cells = tuple(None if c is None else src[c[0] : c[1]].decode("utf-8", "replace") for c in r)
                 yield (i, *cells) if ordinal else cells
@@ -201,18 +202,38 @@ def validate(df: DataFrame, column: str, dialect: str = "rfc8259", out: str = "i
     return _mapped(df, column, keep, [T.StructField(out, ISSUE)], each)
 
 
-def materialized(df: DataFrame, column: str, demand: m.Demand, out: str = "value", keep: list[str] | None = None, **options: Any) -> DataFrame:
-    """Adds a demand's value as canonical text: rows become an array of objects without their absent members."""
+def _or_issue(mode: str, out: str, each: Callable[[bytes], str | None]) -> tuple[list[T.StructField], Callable[[bytes | None], Iterator[tuple]]]:
+    """Fields and function of an operator that gives one text, or in mode permissive its refusal as `issue`."""
+    fields = [T.StructField(out, T.StringType()), *([T.StructField("issue", ISSUE)] if mode == "permissive" else [])]
+
+    def run(src: bytes | None) -> Iterator[tuple]:
+        made, issue = None, None
+        try:
+            made = None if src is None else each(src)
+        except JsonError as error:
+            if mode == "failfast":
+                raise
+            issue = _issue(error.issue())
+        yield (made, issue) if mode == "permissive" else (made,)
+
+    return fields, run
+
+
+def materialized(df: DataFrame, column: str, demand: m.Demand, out: str = "value", keep: list[str] | None = None, mode: str = "failfast", **options: Any) -> DataFrame:
+    """Adds a demand's value as canonical text: rows become an array of objects without their absent members.
+
+    In mode permissive also issue: a refusal, with its place in the whole text.
+    """
     from lodestream.functions.encode import Options, encode_value
 
     request = m.Request((demand,), **options)
 
-    def each(src: bytes | None) -> Iterator[tuple]:
-        answer = walk.scan(src, request).answers[0] if src is not None else m.Missing()
+    def each(src: bytes) -> str | None:
+        answer = walk.scan(src, request).answers[0]
         made = isinstance(answer, (m.Document, m.Columns))
-        yield (encode_value(walk.materialize(src, answer, request.dialect), Options(dialect=request.dialect)).decode() if made else None,)
+        return encode_value(walk.materialize(src, answer, request.dialect), Options(dialect=request.dialect)).decode() if made else None
 
-    return _mapped(df, column, _keeps(df, column, keep), [T.StructField(out, T.StringType())], each)
+    return _mapped(df, column, _keeps(df, column, keep), *_or_issue(mode, out, each))
 
 
 EVENT = T.StructType([T.StructField("event", T.StringType()), T.StructField("demand", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -237,32 +258,46 @@ def traced(df: DataFrame, column: str, request: m.Request, keep: list[str] | Non
     return _mapped(df, column, _keeps(df, column, keep), [*RESULT, T.StructField("events", T.ArrayType(EVENT)), T.StructField("counters", COUNTERS)], each)
 
 
-def encoded(df: DataFrame, column: str, out: str = "encoded", options: Any = None, dialect: str = "rfc8259", verbatim: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """Adds each text, strictly read and written again: as values, or as its own tokens with verbatim or a comment dialect."""
+def encoded(df: DataFrame, column: str, out: str = "encoded", options: Any = None, dialect: str = "rfc8259", verbatim: bool = False, keep: list[str] | None = None, mode: str = "failfast", strictness: str = "strict") -> DataFrame:
+    """Adds each text, strictly read and written again: as values, or as its own tokens with verbatim or a comment dialect.
+
+    Documents of a less strict reading are refused by the writer of tokens. In mode permissive also issue.
+    """
     from lodestream.functions.encode import Options, encode_document, encode_value
 
     options = replace(options or Options(), dialect=dialect)
-    request = m.Request((m.Whole(),), strictness="strict", dialect=dialect)
+    request = m.Request((m.Whole(),), strictness=strictness, dialect=dialect)
 
-    def each(src: bytes | None) -> Iterator[tuple]:
-        made = None
-        if src is not None:
-            answer = walk.scan(src, request).answers[0]
-            plain = dialect == "rfc8259" and not verbatim
-            made = (encode_value(walk.materialize(src, answer), options) if plain else encode_document(src, answer, options, verbatim)).decode()
-        yield (made,)
+    def each(src: bytes) -> str:
+        answer = walk.scan(src, request).answers[0]
+        plain = dialect == "rfc8259" and not verbatim
+        return (encode_value(walk.materialize(src, answer), options) if plain else encode_document(src, answer, options, verbatim)).decode()
+
+    return _mapped(df, column, df.columns if keep is None else keep, *_or_issue(mode, out, each))
 
-    return _mapped(df, column, df.columns if keep is None else keep, [T.StructField(out, T.StringType())], each)
 
+def edited(df: DataFrame, column: str, edits: list, out: str = "edited", dialect: str = "rfc8259", keep: list[str] | None = None, mode: str = "failfast") -> DataFrame:
+    """Adds each text after the edits, all bytes that they don't touch as they were; null texts stay null.
 
-def edited(df: DataFrame, column: str, edits: list, out: str = "edited", dialect: str = "rfc8259", keep: list[str] | None = None) -> DataFrame:
-    """Adds each text after the edits, all bytes that they don't touch as they were; null texts stay null."""
+    In mode permissive also issue: why the edits were refused.
+    """
     from lodestream.functions.edit import edit
 
+    return _mapped(df, column, df.columns if keep is None else keep, *_or_issue(mode, out, lambda src: edit(src, edits, dialect).decode()))
+
+
+def edited_documents(df: DataFrame, column: str, edits: list, out: str = "edited", dialect: str = "rfc8259", keep: list[str] | None = None) -> DataFrame:
+    """As edited(), with the edited text's root as a strictly read document: its cell and its comments."""
+    from lodestream.functions.edit import edit_document
+
     def each(src: bytes | None) -> Iterator[tuple]:
-        yield (None if src is None else edit(src, edits, dialect).decode(),)
+        if src is None:
+            yield None, None
+            return
+        text, doc = edit_document(src, edits, dialect)
+        yield text.decode(), answer_row(text, doc)
 
-    return _mapped(df, column, df.columns if keep is None else keep, [T.StructField(out, T.StringType())], each)
+    return _mapped(df, column, df.columns if keep is None else keep, [T.StructField(out, T.StringType()), T.StructField("document", ANSWER)], each)
 
 
 def total(df: DataFrame, column: str, demand: m.Demand, **options: Any) -> DataFrame:

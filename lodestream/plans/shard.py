@@ -16,7 +16,7 @@ def _array_path(demand: m.Demand) -> tuple[m.Step, ...]:
     return demand.path if isinstance(demand, (m.Project, m.Filter)) else demand.steps if isinstance(demand, m.Path) else ()
 
 
-def _at_elements(demand: m.Demand) -> m.Demand:
+def at_elements(demand: m.Demand) -> m.Demand:
     """The demand as it meets a part's elements: without its way to the array."""
     match demand:
         case m.Project(_, fields):
@@ -83,7 +83,7 @@ class Plan:
         if self.request.strictness == "strict":
             check(self.src, array, self.request.dialect)
         walker = Walker(self.src, self.request)
-        return m.Result([walker.answer(array, _at_elements(canonical(d))) for d in self.request.demands])
+        return m.Result([walker.answer(array, at_elements(canonical(d))) for d in self.request.demands])
 
     def run(self) -> m.Result:
         """All parts folded; if one fails, the whole is read serially and fails, or not, as that does."""
