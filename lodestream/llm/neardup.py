@@ -31,6 +31,8 @@ SHINGLE_WORDS, LINK_PERCENT = 4, 80
 #: A link at 80 % shares no band with probability (1 - 0.8**5)**40, about 1 in 8 million.
 BANDS, BAND_ROWS = 40, 5
 COORDINATES = BANDS * BAND_ROWS
+#: Rows of one hub go to so many tasks when they are joined with what is known of it.
+SALTS = 16
 #: Sets that a verifying task keeps for the next pairs.
 KEPT_SETS = 64
 
@@ -294,6 +296,12 @@ def _linkable(rows: DataFrame) -> DataFrame:
     return rows.filter(f"100 * (size - own) >= {LINK_PERCENT} * size")
 
 
+def _spread_join(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """many joined with the one row that few has of each key, dealt by key and node, so that no key's rows gather in a task."""
+    salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("__salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"]).drop("__salt")
+
+
 def _hubs(rows: DataFrame) -> DataFrame:
     """(key, hub): each open bucket's member with the least share of own shingles."""
     share = F.struct((F.col("own") / F.col("size")).alias("share"), F.col("node").alias("hub"))
@@ -318,7 +326,8 @@ def _differences(placed: DataFrame, sets: DataFrame) -> DataFrame:
             made = [np.setxor1d(np.asarray(x.values), np.asarray(h.values), assume_unique=True) for x, h in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([hubs, nodes, pa.array([len(m) for m in made], pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["hub", "node", "d", "items"])
 
-    joined = placed.select("hub", "node").join(sets.select("node", F.col("items").alias("own_items")), "node").join(sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items")), "hub")
+    hubs = sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items")).join(placed.select("hub").distinct(), "hub", "left_semi")
+    joined = _spread_join(placed.select("hub", "node").join(sets.select("node", F.col("items").alias("own_items")), "node"), hubs, "hub")
     return joined.select("hub", "node", "own_items", "hub_items").mapInArrow(run, "hub binary, node binary, d long, items array<long>")
 
 
@@ -334,14 +343,14 @@ def _remaining_pairs(rows: DataFrame, sets: DataFrame, tested: DataFrame) -> Dat
     placed = _linkable(rows).join(_hubs(rows), "key").select("hub", "node", "comp", "size", "own").distinct()
     sizes = placed.groupBy("hub", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("hub").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps")).filter("comps > 1").select("hub", F.col("m.comp").alias("main"))
-    apart = stored(placed.join(main, "hub").withColumn("seeks", F.col("comp") != F.col("main")), "neardup-apart")
+    apart = stored(_spread_join(placed, main, "hub").withColumn("seeks", F.col("comp") != F.col("main")), "neardup-apart")
     found = stored(_differences(apart, sets), "neardup-differences")
     level = F.floor(F.log(1.25, F.col("d") + 1)).cast("int")
     ends = apart.join(found.select("hub", "node", "d", level.alias("level")), ["hub", "node"])
     levels = ends.groupBy("hub", "level").agg(F.min("d").alias("d"), F.max("size").alias("size")).groupBy("hub").agg(F.collect_list(F.struct("level", "d", "size")).alias("levels"))
     # Shared differences that a partner of a class needs at least, and from it how far the prefix goes; in eighteenths.
     need = F.transform("levels", lambda c: F.struct(c["level"].alias("partner"), (F.col("d") + 1 - F.greatest(F.lit(1), F.ceil((9 * (F.col("d") + c["d"]) - F.col("size") - c["size"]) / 18))).alias("prefix")))
-    ends = stored(ends.join(levels, "hub").withColumn("needs", need).drop("levels"), "neardup-ends")
+    ends = stored(_spread_join(ends, levels, "hub").withColumn("needs", need).drop("levels"), "neardup-ends")
     items = found.select("hub", "node", "d", F.explode("items").alias("item"))
     ranks = items.groupBy("hub", "item").agg(F.count("*").alias("n")).filter("n > 1")
     one = Window.partitionBy("hub", "node")
