@@ -64,9 +64,9 @@ def test_write_gate():
         ("{}", [Insert(P("k"), "x")], '{"k":"x"}'),
         ('{"k":1}', [Insert(P("k"), "x")], '{"k":"x"}'),
         ('{"a":{"x":1},"b":[1]}', [Clear(P("a")), Clear(P("b"))], '{"a":{},"b":[]}'),
-        ('{"a":1,"b":2}', [ReplaceMember(P("a"), "z", N("5"))], '{"z":5,"b":2}'),
-        ('{"a":1,"b":2}', [ReplaceMember(P("a"), "b", N("5"))], '{"b":5}'),
-        ('{"a":1,"a":2,"b":3}', [Delete(P("a"))], '{"b":3}'),
+        ('{"left":[0],"right":null}', [ReplaceMember(P("left"), "middle", N("5"))], '{"middle":5,"right":null}'),
+        ('{"left":[0],"right":null}', [ReplaceMember(P("left"), "right", N("5"))], '{"right":5}'),
+        ('{"tag":"x","size":7,"tag":"y"}', [Delete(P("tag"))], '{"size":7}'),
     ],
 )
 def test_edits(src, edits, want):
