@@ -14,6 +14,9 @@ from lodestream.operators import exact, parts
 from lodestream.operators.control import Limits
 from lodestream.plans import gate
 from lodestream.plans import model as m
+from lodestream.sources.ranges import array_elements
+from lodestream.sources.scratch import fresh_path
+from lodestream.streaming import records
 
 _E = "(SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events)"
 
@@ -285,6 +288,27 @@ def json_encode_parts(spark, sf_dir):
     return parts.encoded(docs, "doc", ["hour"], Options(indent=2), least=3)
 
 
+@query(f"SELECT event_id, k FROM {_E}")
+def json_array_ranges(spark, sf_dir):
+    """One array in one file: ranges of the file are read by many tasks, elements by their places."""
+    path = fresh_path(spark, "array")
+    every = events(spark, sf_dir).select(F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "t": ",]\\"[", "k": '), F.get_json_object("props", "$.k"), F.lit("}")).alias("x"))
+    every.agg(F.concat(F.lit("[ "), F.array_join(F.collect_list("x"), " , "), F.lit(" ]")).alias("value")).write.text(path)
+    rows = exact.rows(array_elements(spark, path), "value", m.Project((), ("id", "k")), keep=[])
+    return rows.select(F.col("id").cast("long").alias("event_id"), F.col("k").cast("long").alias("k"))
+
+
+@query(f"SELECT event_id, k FROM {_E} WHERE k > 25")
+def json_stream_rows(spark, sf_dir):
+    """The same operator over a stream of files, each record as it comes."""
+    path = fresh_path(spark, "stream")
+    lines = events(spark, sf_dir).select(F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"k":'), F.get_json_object("props", "$.k"), F.lit("}")).alias("value"))
+    lines.write.text(f"{path}/in")
+    found = records.rows(spark.readStream.text(f"{path}/in"), "value", m.Filter((), m.Compare("gt", "k", _n("25")), ("id", "k")), keep=[])
+    found.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/state").format("parquet").start(f"{path}/out").awaitTermination()
+    return spark.read.schema("id string, k string").parquet(f"{path}/out").select(F.col("id").cast("long").alias("event_id"), F.col("k").cast("long").alias("k"))
+
+
 # Values.
 
 

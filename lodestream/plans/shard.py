@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from lodestream.functions.lexer import Reader, check
 from lodestream.plans import model as m
-from lodestream.plans.model import JsonError
 from lodestream.plans.walk import Walker, canonical, refuse_containers, scan, stitch
 
 FIRST_BYTES = 256 << 10
@@ -87,8 +86,6 @@ class Plan:
 
     def run(self) -> m.Result:
         """All parts folded; if one fails, the whole is read serially and fails, or not, as that does."""
-        try:
-            parts = [self.scan(r) for r in self.ranges]
-        except JsonError:
-            return scan(self.src, self.request)
-        return stitch(parts) if parts else scan(self.src, self.request)
+        from lodestream.operators.control import run_or_serial
+
+        return run_or_serial(bool(self.ranges), lambda: stitch([self.scan(r) for r in self.ranges]), lambda: scan(self.src, self.request))

@@ -60,10 +60,10 @@ def framed(spark: SparkSession, path: str, framing: str, dialect: str = "rfc8259
 
 
 def split_array(spark: SparkSession, path: str, at: tuple[m.Step, ...] = (), target: int = 256 << 10) -> DataFrame:
-    """(path, ordinal, value): the elements of one array in each file, cut into ranges that tasks share.
+    """(path, ordinal, value): the elements of one array in each file, behind any path; a file is one task's input.
 
-    The cut finds the array's element borders in one reading of the file; the elements' own answers are then computed on
-    as many tasks as there are ranges, and rows follow each other in ordinal order.
+    That task finds the elements' borders; the elements are then read on as many tasks as there are ranges. An array at the
+    root of a large file is read by many tasks with sources.ranges.array_elements().
     """
     from lodestream.plans.shard import cut
 
