@@ -9,6 +9,8 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -16,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestream.sources.scratch import shared_folder
+
 #: The characters that separate words, for Java and Python patterns alike.
 SPACE = r"\x20\x09-\x0D"
 #: The same characters as a literal, for translate() and trim().
@@ -40,20 +44,9 @@ def ship(spark: SparkSession) -> None:
     sc._lodestream_shipped = True
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
-        folder = "file://" + tempfile.mkdtemp(prefix="lodestream-shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir() or folder
-    return folder
-
-
 _written: list[tuple[SparkSession, str]] = []
+#: The paths written within the innermost passing() of this thread.
+_passing: ContextVar[list[str] | None] = ContextVar("_passing", default=None)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -78,15 +71,37 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver ends."""
     path = f"{shared_folder(spark).rstrip('/')}/lodestream-{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
+    if (own := _passing.get()) is not None:
+        own.append(path)
     return path
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[str], str]]:
+    """Tables that are written inside are deleted at the end, but for the paths that are given to what this yields."""
+    own: list[str] = []
+    kept: list[str] = []
+    outer = _passing.get()
+    token = _passing.set(own)
+    try:
+        yield lambda path: kept.append(path) or path
+    finally:
+        _passing.reset(token)
+        for path in own:
+            if path not in kept:
+                drop_path(spark, path)
+        if outer is not None:
+            outer += kept
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._lodestream_path = path
+    return found
 
 
 def forget(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> None:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestream.llm.common import map_texts, ship, stored
+from lodestream.llm.common import map_texts, passing, ship, stored
 
 SHINGLE_WORDS, LINK_PERCENT = 4, 80
 #: A link at 80 % shares no band with probability (1 - 0.8**5)**40, about 1 in 8 million.
@@ -209,6 +209,18 @@ def _verdicts(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """near_duplicates() of docs (doc_id, text, carried), whose columns `carried` come in front of its own."""
     ship(docs.sparkSession)
     sketches = stored(sketched(docs, "doc_id", "text", carried), "neardup-sketches")
+    with passing(docs.sparkSession) as keep:
+        by_class = _components_of(sketches, docs)
+        keep(by_class._lodestream_path)
+    least = by_class.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
+    named = by_class.join(least, "comp").select("node", "component_id")
+    out = sketches.select(*carried, "doc_id", "n_shingles", "node").join(named, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select(*carried, "doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _components_of(sketches: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, least_doc, comp) of all classes, as a stored table."""
     classes = sketches.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least_doc"), F.first("bands").alias("bands"))
     classes = stored(classes, "neardup-classes")
     members = classes.select("node", F.explode("bands").alias("key"))
@@ -229,12 +241,7 @@ def _verdicts(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
             labels = components(tested.filter(linked))
             rows = rows.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     by_class = classes.select("node", "least_doc").join(labels, "node", "left").select("node", "least_doc", F.coalesce("comp", "node").alias("comp"))
-    by_class = stored(by_class, "neardup-components")
-    least = by_class.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
-    named = by_class.join(least, "comp").select("node", "component_id")
-    out = sketches.select(*carried, "doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(*carried, "doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return stored(by_class, "neardup-components")
 
 
 def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,9 +249,11 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     Rows go by doc_id and text, so a null doc_id is no reason to drop a text that is linked with nothing.
     """
-    found = _verdicts(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("__hash")), ("__hash",))
-    # Narrow: one row a dropped document. A verdict is a document's own: its doc_id may be null, or repeat with other texts.
-    dropped = stored(found.filter("not kept").select(F.col("doc_id").alias("__id"), "__hash").distinct(), "neardup-dropped")
+    with passing(df.sparkSession) as keep:
+        found = _verdicts(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("__hash")), ("__hash",))
+        # Narrow: one row a dropped document. A verdict is a document's own: its doc_id may be null, or repeat with other texts.
+        dropped = stored(found.filter("not kept").select(F.col("doc_id").alias("__id"), "__hash").distinct(), "neardup-dropped")
+        keep(dropped._lodestream_path)
     kept = df.join(dropped, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left_anti")
     repeated = df.groupBy(F.col(doc_id).alias("__id")).agg(F.count("*").alias("n")).filter("n > 1").select("__id")
     if repeated.isEmpty():

@@ -93,6 +93,23 @@ def test_verdicts_are_for_one_id_and_text(spark):
     assert sorted(map(tuple, kept), key=repr) == sorted(want, key=repr)
 
 
+def test_tables_are_freed(spark, tmp_path, monkeypatch):
+    """What a result no longer needs is deleted before it is returned."""
+    from lodestream.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}")
+    base = [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(k, " ".join(base[: 60 - k % 5])) for k in range(20)], "doc_id long, text string")
+    assert neardup.deduplicated(df).count() < 20
+    assert len(list(tmp_path.iterdir())) == 1
+    assert neardup.near_duplicates(df).count() == 20
+    assert len(list(tmp_path.iterdir())) == 3
+    with common.passing(spark) as keep:
+        one, two = common.stored(df, "one"), common.stored(df, "two")
+        keep(two._lodestream_path)
+    assert two.count() == 20 and len(list(tmp_path.iterdir())) == 4 and not any("-one-" in p.name for p in tmp_path.iterdir())
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(0)
     for n in (1, 3, 40, 600):
