@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm import bpe, decontam, neardup, pii, toxicity
-from lodestream.llm.common import fresh_path
+from lodestream.llm.common import drop_path, fresh_path, passing
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +58,13 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents in sf_dir; each stage's rows are written to the shared folder for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        path = fresh_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        # What a stage has stored, and the rows it began with, go once its own rows are written.
+        with passing(spark) as keep:
+            path = keep(fresh_path(spark, f"pipeline-{name}"))
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last is not None:
+            drop_path(spark, last)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
