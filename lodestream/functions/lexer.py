@@ -38,16 +38,21 @@ _SKIP_DEPTH = 3
 _PLAIN_TOKEN = rb'(?:"[ !#-\[\]-~]*+"|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?=[ \t\n\r,}])|true|false|null)'
 
 
-def _nested(levels: int) -> bytes:
+def _nested(levels: int, string: bytes = rb'"(?:[^"\\]++|\\.)*+"', token: bytes = _TOKEN) -> bytes:
     if not levels:
-        return _TOKEN
-    v = _nested(levels - 1)
-    pair = rb'"(?:[^"\\]++|\\.)*+"' + _GAP + rb":" + _GAP + v + _GAP
+        return token
+    v = _nested(levels - 1, string, token)
+    pair = string + _GAP + rb":" + _GAP + v + _GAP
     many = lambda one: _GAP + rb"(?:" + one + rb"(?:," + _GAP + one + rb")*+)?+"
-    return rb"(?:" + _TOKEN + rb"|\{" + many(pair) + rb"\}|\[" + many(v + _GAP) + rb"\])"
+    return rb"(?:" + token + rb"|\{" + many(pair) + rb"\}|\[" + many(v + _GAP) + rb"\])"
 
 
 _SKIP = re.compile(_nested(_SKIP_DEPTH), re.DOTALL)
+# The same of values that need no check: well-formed strings and numbers.
+_GOOD_STRING = rb'"(?:[ !#-\[\]-~]++|\\["\\/bfnrt]|\\u(?![dD][89a-fA-F])[0-9a-fA-F]{4}|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf])*+"'
+_GOOD_NUMBER = rb"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+(?![0-9+\-.eE])"
+_GOOD = re.compile(_nested(_SKIP_DEPTH, _GOOD_STRING, rb"(?:" + _GOOD_STRING + rb"|" + _GOOD_NUMBER + rb"|true|false|null)"), re.DOTALL)
+_ANY_STRING = re.compile(rb'"(?:[^"\\]++|\\.)*+"', re.DOTALL)
 _PLAIN_NAME = re.compile(r"[ !#-\[\]-~]*")
 _KINDS = {0x22: "string", 0x2D: "number", 0x74: "bool", 0x66: "bool", 0x6E: "null", **dict.fromkeys(range(0x30, 0x3A), "number")}
 _SIMPLE = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", '"': '"', "\\": "\\", "/": "/"}
@@ -63,12 +68,14 @@ class Node:
 
     def __init__(self, kind: str, start: int, end: int = -1):
         self.kind, self.start, self.end = kind, start, end
-        inner = kind == "array" or kind == "object"
-        self.items: list[Node] = [] if inner else ()
-        self.members: list[tuple[str, int, Node]] = [] if inner else ()
         self.named: dict[str, Node] | None = None
-        #: Comments inside a container, as (start, end, how many values stand before).
-        self.comments: list[tuple[int, int, int]] = [] if inner else ()
+        if kind == "array" or kind == "object":
+            self.items: list[Node] = []
+            self.members: list[tuple[str, int, Node]] = []
+            #: Comments inside a container, as (start, end, how many values stand before).
+            self.comments: list[tuple[int, int, int]] = []
+        else:
+            self.items = self.members = self.comments = ()
 
     def by_name(self) -> dict[str, Node]:
         """Last value of each name, in the order of first occurrence."""
@@ -83,22 +90,28 @@ class Node:
 
 
 class Plain(Node):
-    """A scalar whose spelling was seen to need no check: a literal, a number, or a string of plain characters."""
+    """A value that was seen to need no check: a literal, a number, a string of plain characters; or a container of good
+    values, whose nodes nobody asked for."""
 
     __slots__ = ()
 
+    def __init__(self, kind: str, start: int, end: int):
+        self.kind, self.start, self.end, self.named = kind, start, end, None
+        self.items = self.members = self.comments = ()
+
 
 class Want:
     """What is asked of a value: all of it, or some members of an object and the elements of an array.
 
     keys: wanted members; names: whether all other members' names count, too. arrays: whether elements count; items: what
-    is asked of those in the window. A want of None asks for nothing but kind and span.
+    is asked of those in the window; rest: what is asked of other names' values. A want of None asks for nothing but kind
+    and span.
     """
 
-    __slots__ = ("full", "keys", "names", "arrays", "items", "window", "_run", "_row")
+    __slots__ = ("full", "keys", "names", "arrays", "items", "window", "rest", "_run", "_row")
 
-    def __init__(self, full: bool = False, keys: dict[str, Want | None] | None = None, names: bool = False, arrays: bool = False, items: Want | None = None, window: range | None = None):
-        self.full, self.keys, self.names, self.arrays, self.items, self.window = full, keys or {}, names, arrays, items, window
+    def __init__(self, full: bool = False, keys: dict[str, Want | None] | None = None, names: bool = False, arrays: bool = False, items: Want | None = None, window: range | None = None, rest: Want | None = None):
+        self.full, self.keys, self.names, self.arrays, self.items, self.window, self.rest = full, keys or {}, names, arrays, items, window, rest
         self._run = self._row = None
 
     def row(self):
@@ -136,12 +149,14 @@ def _run_pattern(pattern: bytes):
     return re.compile(pattern, re.DOTALL)
 
 
-FULL = Want(full=True)
+#: All of a value's nodes; and a value of which only the span is asked, but whose values are checked.
+FULL, CHECKED = Want(full=True), Want(full=True)
+_EACH = Want(names=True, arrays=True, items=CHECKED, rest=CHECKED)
 
 
 def merged(a: Want | None, b: Want | None) -> Want | None:
     """What is asked by a or b."""
-    if a is None or b is None:
+    if a is None or b is None or a is b:
         return a or b
     if a.full or b.full:
         return FULL
@@ -191,6 +206,13 @@ class Reader:
     def take(self, want: Want | None, depth: int = 0) -> Node:
         """The value here as far as it is wanted; what isn't is located by structure alone."""
         c = self.src[self.at : self.at + 1]
+        if want is CHECKED and not self.lax and c in (b"{", b"["):
+            if depth + _SKIP_DEPTH <= self.max_nesting and (m := _GOOD.match(self.src, self.at)):
+                node = Plain("object" if c == b"{" else "array", self.at, m.end())
+                self.at = m.end()
+                return node
+            # Deeper, or something in it isn't good: level by level.
+            want = _EACH
         if self.lax or (want is not None and want.full) or c not in (b"{", b"["):
             return self.value(depth)
         if depth >= self.max_nesting:
@@ -272,7 +294,7 @@ class Reader:
         else:
             row = items.row() if not want.full and items is not None and quick else None
             if row is not None:
-                names, last = list(items.keys), len(items.keys) + 2
+                places, last, kinds, add = list(enumerate(items.keys, 2)), len(items.keys) + 2, _KINDS, node.items.append
             while True:
                 while row is not None and (window is None or len(node.items) in window) and (m := row(src, self.at)):
                     start, end = m.span(1)
@@ -282,11 +304,12 @@ class Reader:
                         watch("poll", start, end)
                     item = Node("object", start, end)
                     item.named = named = {}
-                    for i, name in enumerate(names, 2):
-                        a, b = m.span(i)
+                    span = m.span
+                    for i, name in places:
+                        a, b = span(i)
                         if a >= 0:
-                            named[name] = Plain(_KINDS[src[a]], a, b)
-                    node.items.append(item)
+                            named[name] = Plain(kinds[src[a]], a, b)
+                    add(item)
                     self.at = m.end()
                     if m[last]:
                         node.end = self.at
@@ -353,7 +376,7 @@ class Reader:
                 self.trivia(node)
                 if watch is not None:
                     watch("poll", self.at, self.at)
-                child = self.value(depth + 1) if full else self.take(keys.get(name), depth + 1)
+                child = self.value(depth + 1) if full else self.take(keys.get(name, want.rest), depth + 1)
                 if full or names or name in keys:
                     node.members.append((name, start, child))
                 if self._closes(node, b"}", len(node.members)):

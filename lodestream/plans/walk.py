@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 from lodestream.functions import values
-from lodestream.functions.lexer import BOM, FULL, Node, Plain, Reader, Want, check, decoded, merged, number_at, value_of
+from lodestream.functions.lexer import _ANY_STRING, BOM, CHECKED, FULL, Node, Plain, Reader, Want, check, decoded, merged, number_at, value_of
 from lodestream.plans import model as m
 from lodestream.plans.model import JsonError
 from lodestream.sources.framing import frames
@@ -84,7 +84,7 @@ def _fields(p: m.Predicate) -> set[str]:
 
 def want_of(demand: m.Demand, checked: bool = True) -> Want | None:
     """What a canonical demand asks of the value that it meets; checked: whether answers' values are looked into."""
-    whole = FULL if checked else None
+    whole = CHECKED if checked else None
 
     def at(steps: tuple[m.Step, ...], w: Want | None) -> Want | None:
         for step in reversed(steps):
@@ -110,8 +110,6 @@ def want_of(demand: m.Demand, checked: bool = True) -> Want | None:
         case m.Slice(window, nested):
             return Want(arrays=True, items=want_of(nested or m.Whole(), checked), window=range(window.start or 0, max(window.start or 0, window.end)) if window.bounded else None)
         case m.Oracle(kind, key):
-            if kind == "descend_count":
-                return FULL
             if kind == "has_key":
                 return Want(keys={key or "": None})
             return Want(names=True, arrays=True) if kind in ("count", "member_names", "member_count") else None
@@ -122,8 +120,10 @@ def want_of_request(request: m.Request, demands: list[m.Demand]) -> Want | None:
     """What all demands together ask of the text; all of it for strict readings, comments and other dialects."""
     made = request.__dict__.get("_want")
     if made is None:
-        if request.strictness == "strict" or request.facts or request.dialect != "rfc8259":
+        if request.facts or request.dialect != "rfc8259":
             made = (FULL,)
+        elif request.strictness == "strict":
+            made = (CHECKED if all(isinstance(d, m.Whole) for d in demands) else FULL,)
         else:
             w = None
             for d in demands:
@@ -187,9 +187,33 @@ class Walker:
                 if found.kind not in ("array", "object") and not one:
                     return m.TypeMismatch(found.kind)
                 mapped = found.items if found.kind == "array" and not one else [found]
+                if isinstance(demand, m.Project):
+                    return m.Columns(demand.fields, self.projected(mapped, demand.fields))
                 return m.Columns(m.fields_of(demand), [r for e in mapped for r in self.flat(e, demand)])
         raise TypeError(f"no demand: {demand!r}")
 
+    def projected(self, elements: list[Node], fields: tuple[str, ...]) -> list[Row]:
+        """One row an element, as flat() has it."""
+        if not fields:
+            return []
+        base, quick, rows, absent = self.base, self.watch is None, [], (None,) * len(fields)
+        for e in elements:
+            named = e.named if e.named is not None else e.by_name() if e.kind == "object" else None
+            if not named:
+                rows.append(absent)
+                continue
+            row = []
+            for f in fields:
+                node = named.get(f)
+                if node is None:
+                    row.append(None)
+                elif quick and type(node) is Plain:
+                    row.append((base + node.start, base + node.end))
+                else:
+                    row.append(self.demanded(node))
+            rows.append(tuple(row))
+        return rows
+
     def flat(self, element: Node, demand: m.Project | m.Filter) -> Iterator[Row]:
         """The rows of one element under a projection or filter without its path."""
         named = element.by_name() if element.kind == "object" else None
@@ -304,6 +328,11 @@ class Walker:
         kind = node.kind
         if o.kind == "kind":
             return m.OracleAnswer("kind", kind)
+        if o.kind == "descend_count" and self.dialect == "rfc8259":
+            # Without strings and gaps, each comma and each container that isn't empty stands for one node more.
+            bare = _ANY_STRING.sub(b"s", self.src[node.start : node.end]).translate(None, b" \t\n\r")
+            many = sum(map(bare.count, (b",", b"[", b"{"))) - bare.count(b"[]") - bare.count(b"{}")
+            return m.OracleAnswer("descend_count", 1 + many)
         if o.kind == "descend_count":
             total, todo = 0, [node]
             while todo:
@@ -330,6 +359,14 @@ class Walker:
 
 def _early(request: m.Request, demands: list[m.Demand]) -> tuple[tuple[str, ...], int] | None:
     """(names, elements to read) if all demands are bounded slices of one array behind these names; strict reading sees all."""
+    made = request.__dict__.get("_early")
+    if made is None:
+        made = (_early_of(request, demands),)
+        object.__setattr__(request, "_early", made)
+    return made[0]
+
+
+def _early_of(request: m.Request, demands: list[m.Demand]) -> tuple[tuple[str, ...], int] | None:
     if request.strictness == "strict" or not demands or request.facts:
         return None
     places, most = set(), 0
@@ -404,7 +441,7 @@ def scan_text(src: bytes, request: m.Request, watch: Callable[[str, int, int], N
             return m.Result([walker.answer(array, d) for d in slices])
     reader = Reader(src, request.dialect, request.max_nesting, watch)
     root = reader.document(want)
-    if request.strictness == "strict":
+    if request.strictness == "strict" and type(root) is not Plain:
         check(src, root, request.dialect)
     answers = [walker.answer(root, d) for d in demands]
     if request.facts:
@@ -425,7 +462,7 @@ def _record(src: bytes, span: tuple[int, int], request: m.Request, want: Want |
         reader.trivia()
         root = reader.take(want)
         reader.finish()
-        if request.strictness == "strict":
+        if request.strictness == "strict" and type(root) is not Plain:
             check(own, root, request.dialect)
     except JsonError as error:
         raise JsonError(error.cls, error.code, error.offset + s) from None
