@@ -14,6 +14,7 @@ from lodestream.operators import exact, parts
 from lodestream.operators.control import Limits
 from lodestream.plans import gate
 from lodestream.plans import model as m
+from lodestream.plans.build import at, field
 from lodestream.sources.ranges import array_elements
 from lodestream.sources.scratch import fresh_path
 from lodestream.streaming import records
@@ -254,6 +255,13 @@ def json_oracle_in_collection(spark, sf_dir):
     return a.select("event_id", F.col("answers")[0]["fields"][0].alias("fields"), F.size(F.col("answers")[0]["rows"]).alias("n"))
 
 
+@query(f"SELECT id, n, p FROM ({_LINES}) WHERE pos >= 1 AND (q > 30 AND f = 'N' OR d IS NULL)")
+def json_expressions(spark, sf_dir):
+    """Demands and predicates written as expressions."""
+    demand = at("items")[1:].where((field("q") > 30) & (field("f") == "N") | ~(field("d") >= 0)).project("n", "p")
+    return _typed(exact.rows(orders(spark, sf_dir), "doc", demand))
+
+
 # Parts of one array.
 
 

@@ -90,6 +90,8 @@ class _Placer:
     def __init__(self, src: bytes, root: Node, dialect: str, outer: list[tuple[int, int]]):
         self.src, self.root, self.dialect = src, root, dialect
         self.facts = facts_of(src, root, outer) if dialect != "rfc8259" else []
+        #: Comments that edits write: (place of the splice, the comment's place in its bytes, its length, the fact it stands for).
+        self.written: list[tuple[int, int, int, Fact]] = []
 
     def text(self, v: Any) -> bytes:
         return encode_value(v, Options(dialect=self.dialect))
@@ -160,31 +162,43 @@ class _Placer:
         return out
 
     def comment(self, e: Comment) -> list[Splice]:
-        if self.dialect == "rfc8259":
+        """Insert writes a new comment, one without a text none; replace and clear meet all of the role, feet excepted."""
+        if self.dialect == "rfc8259" or e.action == "insert" and not e.text:
             return []
         node = _locate(self.root, e.path)
         if node is None:
             raise _unplaceable()
-        own = [f for f in self.facts if f.role == e.role and (f.owner_start, f.owner_end) == (node.start, node.end)]
-        line = b"// " + e.text.encode()
+        if e.action != "clear" and ("\n" in e.text or "\r" in e.text or "*/" in e.text):
+            raise JsonError("Write", "invalid-comment", node.start)
         if e.action == "insert":
-            if "\n" in e.text or "*/" in e.text:
-                raise JsonError("Write", "invalid-comment", node.start)
-            if e.role == "lead":
-                return [(node.start, node.start, line + b"\n")]
-            if e.role == "foot":
-                return [(node.end, node.end, b" " + line + b"\n")]
-            if node.kind not in ("array", "object") or node.children():
-                raise _unplaceable(node.start)
-            return [(node.start + 1, node.start + 1, b"/* " + e.text.encode() + b" */")]
+            return [self.fresh(e, node)]
         if e.role == "foot":
             return []
-        if e.action == "clear":
+        own = [f for f in self.facts if f.role == e.role and (f.owner_start, f.owner_end) == (node.start, node.end)]
+        if e.action == "clear" or not e.text:
             return [(f.start, f.end, b"") for f in own]
         if not own:
             raise _unplaceable(node.start)
-        f = own[0]
-        return [(f.start, f.end, line if self.src[f.start : f.start + 2] == b"//" else b"/* " + e.text.encode() + b" */")]
+        out = []
+        for f in own:
+            text = b"// " + e.text.encode() if self.src[f.start : f.start + 2] == b"//" else b"/* " + e.text.encode() + b" */"
+            self.written.append((f.start, 0, len(text), f))
+            out.append((f.start, f.end, text))
+        return out
+
+    def fresh(self, e: Comment, node: Node) -> Splice:
+        """A new comment: a lead on a line of its own before the value, a foot after it, an inline one in an empty container."""
+        text = b"// " + e.text.encode()
+        if e.role == "lead":
+            at, before, after = node.start, b"", b"\n"
+        elif e.role == "foot":
+            at, before, after = node.end, b" ", b"\n"
+        elif node.kind in ("array", "object") and not node.children():
+            at, before, text, after = node.start + 1, b"", b"/* " + e.text.encode() + b" */", b""
+        else:
+            raise _unplaceable(node.start)
+        self.written.append((at, len(before), len(text), Fact(e.role, at, at, node.start, node.end)))
+        return at, at, before + text + after
 
 
 def _applied(v: Any, e: Edit) -> Any:
@@ -235,7 +249,7 @@ def _applied(v: Any, e: Edit) -> Any:
     return v
 
 
-def _planned(src: bytes, edits: list[Edit], dialect: str) -> tuple[list[Splice], Node, list[Fact]]:
+def _planned(src: bytes, edits: list[Edit], dialect: str) -> tuple[list[Splice], _Placer]:
     reader = Reader(src, dialect)
     root = reader.document()
     check(src, root, dialect)
@@ -244,7 +258,7 @@ def _planned(src: bytes, edits: list[Edit], dialect: str) -> tuple[list[Splice],
     for a, b in zip(splices, splices[1:], strict=False):
         if b[0] < a[1] or a[0] == b[0]:
             raise JsonError("Write", "write", b[0], "edits overlap")
-    return splices, root, placer.facts
+    return splices, placer
 
 
 def _spliced(src: bytes, splices: list[Splice]) -> bytes:
@@ -259,7 +273,7 @@ def edit(src: bytes | str, edits: list[Edit], dialect: str = "rfc8259", revalida
     """The text after all edits, which are all located in the text as it was."""
     src = src.encode() if isinstance(src, str) else src
     try:
-        splices, _, _ = _planned(src, edits, dialect)
+        splices, _ = _planned(src, edits, dialect)
         out = _spliced(src, splices)
     except JsonError as error:
         if error.code != "edit-unplaceable" or any(isinstance(e, Comment) for e in edits):
@@ -278,10 +292,42 @@ def edit(src: bytes | str, edits: list[Edit], dialect: str = "rfc8259", revalida
     return encode_value(value, Options(dialect=dialect))
 
 
+def _carried(placer: _Placer, splices: list[Splice]) -> list[Fact]:
+    """The text's comments in the places that they have after the splices; those that a splice touches are gone.
+
+    A splice moves what stands at its end or after it. What is put in right before a value moves the value, what is put in
+    right behind it doesn't belong to it.
+    """
+
+    def start_of(at: int) -> int:
+        return at + sum(len(new) - (e - s) for s, e, new in splices if e <= at)
+
+    def end_of(at: int) -> int:
+        return at + sum(len(new) - (e - s) for s, e, new in splices if e <= at and not s == e == at)
+
+    kept = [f for f in placer.facts if not any(s < f.end and e > f.start for s, e, _ in splices)]
+    out = [Fact(f.role, start_of(f.start), end_of(f.end), start_of(f.owner_start), end_of(f.owner_end)) for f in kept]
+    for at, within, length, f in placer.written:
+        begin = at + sum(len(new) - (e - s) for s, e, new in splices if s < at) + within
+        out.append(Fact(f.role, begin, begin + length, start_of(f.owner_start), end_of(f.owner_end)))
+    return sorted(out, key=lambda f: f.start)
+
+
 def edit_document(src: bytes | str, edits: list[Edit], dialect: str = "rfc8259") -> tuple[bytes, Document]:
-    """The edited text and its root as a strictly read document with its comments."""
+    """The edited text and its root as a strictly read document; comments are carried through the edits, new ones among them.
+
+    Values that were edited without a place in the text are written without comments.
+    """
+    src = src.encode() if isinstance(src, str) else src
     out = edit(src, edits, dialect)
-    reader = Reader(out, dialect)
-    root = reader.document()
-    facts = tuple(facts_of(out, root, reader.outer)) if dialect != "rfc8259" else ()
-    return out, Document(root.start, root.end, True, dialect, facts)
+    root = Reader(out, dialect).document()
+    facts: list[Fact] = []
+    if dialect != "rfc8259":
+        try:
+            splices, placer = _planned(src, edits, dialect)
+            if _spliced(src, splices) == out:
+                facts = _carried(placer, splices)
+        except JsonError as error:
+            if error.code != "edit-unplaceable":
+                raise
+    return out, Document(root.start, root.end, True, dialect, tuple(facts))

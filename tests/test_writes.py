@@ -93,6 +93,33 @@ def test_comments():
     assert edit('{"a":1}', [Comment(P("a"), "insert", "lead", "hi")]) == b'{"a":1}'
 
 
+EDITS = [
+    [Set(P("k"), N("12345"))], [Insert(P("z"), "new")], [Delete(P("drop"))], [Comment(P("xs"), "insert", "lead", "fresh")], [Comment(P("k"), "replace", "lead", "other")],
+    [Comment(P("k"), "clear", "lead"), Set(P("k"), None)], [Insert(P("xs", 0), N("7")), Comment(P("k"), "replace", "lead", "longer than before")], [Comment(P("e"), "insert", "inline", "empty")], [],
+]
+
+
+@pytest.mark.parametrize("edits", EDITS)
+def test_comments_are_carried(edits):
+    """Where nothing but places change, the carried comments are those that a reading of the edited text finds."""
+    src = '// top\n{\n  // of k\n  "k": 1,\n  "drop": true,\n  "xs": [2, // two\n    3],\n  "e": {}\n}\n// end\n'
+    out, doc = edit_document(src, edits, "jsonc")
+    again = walk.scan(out, Request((Whole(),), strictness="strict", dialect="jsonc", facts=True)).answers[0].facts
+    texts = lambda facts: [(out[f.start : f.end].decode(), out[f.owner_start : f.owner_end].decode()) for f in facts]
+    assert set(texts(doc.facts)) <= set(texts(again)) and {t for t, _ in texts(doc.facts)} == {t for t, _ in texts(again)}
+    assert [f.start for f in doc.facts] == sorted(f.start for f in doc.facts)
+
+
+def test_comment_actions():
+    src = '[1, /* a */ /* b */ 2]'
+    assert edit(src, [Comment(P(1), "replace", "lead", "c")], "jsonc") == b"[1, /* c */ /* c */ 2]"
+    assert edit(src, [Comment(P(1), "clear", "lead")], "jsonc") == edit(src, [Comment(P(1), "replace", "lead", "")], "jsonc") == b"[1,   2]"
+    assert edit(src, [Comment(P(0), "insert", "lead", "")], "jsonc").decode() == src
+    for bad in ([Comment(P(0), "replace", "inline", "x")], [Comment(P(0), "insert", "lead", "a\nb")], [Comment(P(9), "clear", "lead")]):
+        with pytest.raises(JsonError):
+            edit(src, bad, "jsonc")
+
+
 def test_framing():
     assert frames(b'1\r\n\r\n2\r3', "ndjson") == [(0, 1), (5, 6), (7, 8)]
     assert len(frames(b"\x1e1\n\x1e2\n", "jsonseq")) == 2 and len(frames(b"1 2 3", "adjacent")) == 3
