@@ -191,8 +191,9 @@ class Scorer:
     def quotation(tokens: list[str], i: int) -> float:
         """0 for plain use to 1 for a word that is quoted or reported."""
         before, own, after = tokens[max(0, i - WINDOW) : i], tokens[i], tokens[i + 1 : i + 1 + WINDOW]
-        opened = own[0] in QUOTES or any(t[0] in QUOTES and t[-1] not in QUOTES for t in before)
-        closed = own.rstrip(".,;:!?")[-1:] in QUOTES or any(t.rstrip(".,;:!?")[-1:] in QUOTES and t[0] not in QUOTES for t in after)
+        # In some languages a space stands between a mark and its word.
+        opened = own[0] in QUOTES or any(t[0] in QUOTES and (len(t) == 1 or t[-1] not in QUOTES) for t in before)
+        closed = own.rstrip(".,;:!?")[-1:] in QUOTES or any((bare := t.rstrip(".,;:!?"))[-1:] in QUOTES and (len(bare) == 1 or t[0] not in QUOTES) for t in after)
         reported = any(t.strip(QUOTES + ".,;:!?") in REPORTING for t in before + after)
         return 0.6 * (opened and closed) + 0.4 * reported * (opened or closed)
 

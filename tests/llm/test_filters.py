@@ -431,3 +431,26 @@ def test_decontamination_by_shuffle(spark, monkeypatch, limit):
     monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)
     got = decontam.overlaps(df, spark.createDataFrame(items, "item_id long, text string"), ["doc_id"]).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(12)]
+
+
+ABUSE = ["you are such {a} {w}", "shut up, {w}!", "what a {w} you are", "get lost {w} nobody asked you", "du bist so ein {w}", "tu es un {w} complet", "eres un {w} total"]
+MENTIONS = ['the word "{w}" has a long history', 'she said "{w}" and was fined', "he quoted the term '{w}' from a novel", 'the report calls "{w}" a slur', "das wort „{w}“ steht im lexikon", "le mot « {w} » vient du latin", 'la palabra "{w}" es antigua']
+
+
+def test_quotation_and_abuse():
+    """Plain use and mention of the same terms, as spelled and with letters doubled, masked or swapped: how many are told apart."""
+    rng = random.Random(11)
+    s = toxicity.Scorer(toxicity.Model())
+    terms = [w for w in toxicity.SEED_WORDS if w.isalpha() and len(w) >= 5]
+
+    def spelled(w):
+        i = rng.randrange(1, len(w) - 1)
+        # Two letters that change places are two edits, which only long words allow.
+        return rng.choice([w, w[:i] + w[i] + w[i:], w[:i] + w[i + 1] + w[i] + w[i + 2 :] if len(w) >= 9 else w[:i] + "*" + w[i + 1 :]])
+
+    def share(templates, toxic):
+        texts = [rng.choice(templates).format(w=spelled(rng.choice(terms)), a="a") for _ in range(400)]
+        return sum((s.score(s.features(t)[0]) >= 0.5) == toxic for t in texts) / len(texts)
+
+    assert share(ABUSE, True) >= 0.9, share(ABUSE, True)
+    assert share(MENTIONS, False) >= 0.9, share(MENTIONS, False)
