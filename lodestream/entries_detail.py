@@ -15,7 +15,7 @@ from lodestream.operators.control import Limits
 from lodestream.plans import gate
 from lodestream.plans import model as m
 from lodestream.plans.build import at, field
-from lodestream.sources.ranges import array_elements
+from lodestream.sources.ranges import adjacent_records, array_elements
 from lodestream.sources.scratch import fresh_path
 from lodestream.streaming import records
 
@@ -306,6 +306,16 @@ def json_array_ranges(spark, sf_dir):
     return rows.select(F.col("id").cast("long").alias("event_id"), F.col("k").cast("long").alias("k"))
 
 
+@query(f"SELECT event_id, k FROM {_E}")
+def json_adjacent_ranges(spark, sf_dir):
+    """Values back to back in one file, read in ranges by many tasks."""
+    path = fresh_path(spark, "adjacent")
+    every = events(spark, sf_dir).select(F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "t": ["}{"], "k": '), F.get_json_object("props", "$.k"), F.lit("}")).alias("x"))
+    every.agg(F.array_join(F.collect_list("x"), " 7 ").alias("value")).write.text(path)
+    rows = exact.rows(adjacent_records(spark, path), "value", m.Filter((), m.Compare("ne", "id", None), ("id", "k")), keep=[])
+    return rows.select(F.col("id").cast("long").alias("event_id"), F.col("k").cast("long").alias("k"))
+
+
 @query(f"SELECT event_id, k FROM {_E} WHERE k > 25")
 def json_stream_rows(spark, sf_dir):
     """The same operator over a stream of files, each record as it comes."""

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from lodestream.sources.ranges import array_elements, step
+from lodestream.sources.ranges import adjacent_records, array_elements, step
 
 
 def _value(rng, depth=3):
@@ -40,6 +40,35 @@ def test_elements_by_ranges(spark, tmp_path, size):
         assert [json.loads(r.value) for r in own] == items
 
 
+@pytest.mark.parametrize("size", [9, 60, 1 << 27])
+def test_records_by_ranges(spark, tmp_path, size):
+    rng = random.Random(size)
+    want = {}
+    for k, n in enumerate((0, 1, 40, 40)):
+        items = [_value(rng) for _ in range(n)]
+        gaps = (" ", "\n", "\r\n\t ")
+        text = "".join(json.dumps(x, ensure_ascii=False, indent=rng.choice([None, 1])) + rng.choice(gaps) for x in items)
+        text = text.rstrip() if k == 3 else text
+        (tmp_path / f"f{k}.json").write_text(text, encoding="utf-8", newline="")
+        want[f"f{k}.json"] = (items, text.encode())
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        spark.conf.set(keys[0], str(size))
+        spark.conf.set(keys[1], "0")
+        got = adjacent_records(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name, (items, src) in want.items():
+        own = sorted((r for r in got if r.path.endswith(name)), key=lambda r: r.start)
+        assert [json.loads(r.value) for r in own] == items
+        assert all(src[r.start :].startswith(r.value.encode()) for r in own)
+    (tmp_path / "cut.json").write_text('{"a": 1} {"b": [')
+    with pytest.raises(Exception, match="isn't closed"):
+        adjacent_records(spark, str(tmp_path / "cut.json")).collect()
+
+
 @pytest.mark.parametrize("text", ['[1, 2, "x]', "[1, [2]", '{"a": [1, 2]}'])
 def test_files_without_a_whole_array(spark, tmp_path, text):
     (tmp_path / "bad.json").write_text(text)
