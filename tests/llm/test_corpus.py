@@ -9,10 +9,13 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
+import regex
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lodestream.llm import entries, neardup, sharding, warc
+from lodestream.llm import entries, neardup, pii, sharding, toxicity, warc
 
 
 def sets_of(text):
@@ -328,10 +331,42 @@ def test_pipeline_stages(spark, docs, no_docs, tmp_path):
     assert stage_docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
-def test_pipeline_runs(spark):
-    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+def overlaps_any(text, items):
+    """Whether some window of an item agrees with the text's words, by comparing every alignment."""
+    words_of = lambda t: [w for w in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if w]
+    ws = words_of(text)
+    for item in map(words_of, items):
+        size = min(20, len(item))
+        for shift in range(-len(item), len(ws) + 1) if item else ():
+            agree = [0 <= j + shift < len(ws) and ws[j + shift] == w for j, w in enumerate(item)]
+            if sum(agree) * 100 >= 80 * size and any(sum(agree[k : k + size]) * 100 >= 80 * size for k in range(len(item) - size + 1)):
+                return True
+    return False
+
+
+def test_pipeline_against_brute_force(spark):
+    """All rows of the pipeline, each stage done by another way over what the stage before it kept."""
+    sf = "/root/testdata/sf0.001"
+    got = corpus_pipeline.run(spark, sf)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    assert 0 < got.count() < spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    model = toxicity.trained(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    scorer = toxicity.Scorer(model)
+    clean = [(i, t) for i, t in rows if scorer.score(scorer.features(t)[0]) < 0.5]
+    comp, _ = brute_components(clean)
+    single = [(i, t) for i, t in clean if comp[i] == i]
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    fresh = [(i, t) for i, t in single if not overlaps_any(t, items)]
+    weights = pii.trained(docs.filter(docs.doc_id.isin([i for i, _ in fresh])))
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = set()
+    for i, t in fresh:
+        base = pii.base_spans(t or "")
+        ids = library.encode(pii.redacted(t or "", sorted(base + pii.added_spans(t or "", base, weights))), add_special_tokens=False).ids
+        want.add((i, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert len(rows) > len(clean) > len(single) > len(fresh)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_pandas_is_not_needed_by_native_operators(spark):
