@@ -7,6 +7,7 @@ is then mapped.
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -133,6 +134,61 @@ def want_of_request(request: m.Request, demands: list[m.Demand]) -> Want | None:
     return made[0]
 
 
+Test = Callable[["Walker", dict[str, Node]], bool]
+
+
+@lru_cache(maxsize=1024)
+def _compiled(op: str, name: str, kind: str, operand: str | None) -> Test:
+    """A comparison of plain scalars without parsing them; what isn't plain goes Walker.holds()'s way."""
+    want = values.Number(operand) if kind == "number" else operand if kind == "string" else {"true": True, "false": False, None: None}[operand]
+    slow = m.Compare(op, name, want)
+    order = {"gt": operator.gt, "lt": operator.lt, "ge": operator.ge, "le": operator.le, "eq": operator.eq, "ne": operator.ne}[op]
+    short = _short(operand) if kind == "number" else None
+    raw = operand.encode() if kind == "string" and re.fullmatch(r"[ !#-\[\]-~]*", operand) else None
+    unequal = op == "ne"
+
+    def number(w: Walker, named: dict[str, Node]) -> bool:
+        node = named.get(name)
+        if node is None:
+            return unequal
+        if type(node) is Plain and node.kind == "number" and node.end - node.start <= 15:
+            own = float(w.src[node.start : node.end])
+            if own or short:
+                return order(own, short)
+        return w.holds(named, slow)
+
+    def string(w: Walker, named: dict[str, Node]) -> bool:
+        node = named.get(name)
+        if node is None:
+            return unequal
+        if type(node) is Plain and node.kind == "string":
+            return (w.src[node.start + 1 : node.end - 1] == raw) != unequal
+        return w.holds(named, slow)
+
+    if short is not None:
+        return number
+    return string if raw is not None and op in ("eq", "ne") else lambda w, named: w.holds(named, slow)
+
+
+def compiled(p: m.Predicate) -> Test:
+    """The predicate as a function; both sides of and/or are looked at, so that their values are checked."""
+    if isinstance(p, m.And):
+        a, b = compiled(p.left), compiled(p.right)
+        return lambda w, named: a(w, named) & b(w, named)
+    if isinstance(p, m.Or):
+        a, b = compiled(p.left), compiled(p.right)
+        return lambda w, named: a(w, named) | b(w, named)
+    if isinstance(p, m.Not):
+        inner = compiled(p.inner)
+        return lambda w, named: not inner(w, named)
+    v = p.value
+    if isinstance(v, values.Number) and v.finite:
+        return _compiled(p.op, p.field, "number", v.spelling)
+    if v is None or isinstance(v, (bool, str)):
+        return _compiled(p.op, p.field, "string" if isinstance(v, str) else "literal", v if v is None or isinstance(v, str) else str(v).lower())
+    return lambda w, named: w.holds(named, p)
+
+
 class Walker:
     """Answers over one source's nodes, with the checks that a strictness asks for. base: where the source begins in its stream."""
 
@@ -189,7 +245,7 @@ class Walker:
                 mapped = found.items if found.kind == "array" and not one else [found]
                 if isinstance(demand, m.Project):
                     return m.Columns(demand.fields, self.projected(mapped, demand.fields))
-                return m.Columns(m.fields_of(demand), [r for e in mapped for r in self.flat(e, demand)])
+                return m.Columns(m.fields_of(demand), self.filtered(mapped, demand))
         raise TypeError(f"no demand: {demand!r}")
 
     def projected(self, elements: list[Node], fields: tuple[str, ...]) -> list[Row]:
@@ -214,6 +270,29 @@ class Walker:
             rows.append(tuple(row))
         return rows
 
+    def filtered(self, elements: list[Node], demand: m.Filter) -> list[Row]:
+        """The rows that flat() has of each element."""
+        if self.watch is not None or not demand.project:
+            return [r for e in elements for r in self.flat(e, demand)]
+        base, rows, test, fields = self.base, [], compiled(demand.predicate), demand.project
+        for e in elements:
+            named = e.named if e.named is not None else e.by_name() if e.kind == "object" else None
+            if named is None:
+                continue
+            row = []
+            # Fields are checked on rows that the predicate drops, too.
+            for f in fields:
+                node = named.get(f)
+                if node is None:
+                    row.append(None)
+                elif type(node) is Plain:
+                    row.append((base + node.start, base + node.end))
+                else:
+                    row.append(self.demanded(node))
+            if test(self, named):
+                rows.append(tuple(row))
+        return rows
+
     def flat(self, element: Node, demand: m.Project | m.Filter) -> Iterator[Row]:
         """The rows of one element under a projection or filter without its path."""
         named = element.by_name() if element.kind == "object" else None
