@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.entries import _HOURS, _LINES, ITEMS, _n, _streams, _typed, events, orders, query
@@ -22,14 +22,14 @@ from lodestream.streaming import records
 _E = "(SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events)"
 
 
-def _made(spark: SparkSession, sf_dir: str, *parts: str | Column) -> DataFrame:
+def _made(spark: SparkSession, sf_dir: str, *parts: object) -> DataFrame:
     """(event_id, doc): a text of literal parts and columns for each event; K stands for its number."""
     k = F.get_json_object("props", "$.k")
     pieces = [k if p is K else F.lit(p) if isinstance(p, str) else p for p in parts]
     return events(spark, sf_dir).select("event_id", F.concat(*pieces).alias("doc"))
 
 
-K = F.lit("K")
+K = object()
 
 
 # Scans.

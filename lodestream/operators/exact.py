@@ -68,6 +68,16 @@ def answer_row(src: bytes, a: m.Answer) -> dict:
     return out | ({"kind": "type_mismatch", "actual": a.actual} if isinstance(a, m.TypeMismatch) else {"kind": "missing"})
 
 
+def _array(values: list, kind: pa.DataType) -> pa.Array:
+    """An Arrow array; texts may come as UTF-8 bytes, which aren't decoded one by one."""
+    if kind != pa.string():
+        return pa.array(values, type=kind)
+    try:
+        return pa.array(values, type=pa.binary()).cast(kind)
+    except pa.ArrowInvalid:
+        return pa.array([v.decode("utf-8", "replace") if isinstance(v, bytes) else v for v in values], type=kind)
+
+
 def _mapped(df: DataFrame, column: str, keep: list[str], fields: list[T.StructField], each: Callable[[bytes | None], Iterator[tuple]]) -> DataFrame:
     """Rows that each() makes of the column's values, with the kept columns of the row they come from."""
     ship(df.sparkSession)
@@ -81,13 +91,14 @@ def _mapped(df: DataFrame, column: str, keep: list[str], fields: list[T.StructFi
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 came, made = [], []
-                for i, v in enumerate(part.column(len(keep)).to_pylist()):
+                texts = part.column(len(keep))
+                for i, v in enumerate((texts.cast(pa.binary()) if texts.type == pa.string() else texts).to_pylist()):
                     for row in each(_bytes(v)):
                         came.append(i)
                         made.append(row)
                 taken = part.select(list(range(len(keep)))).take(pa.array(came, pa.int64())) if keep else None
                 columns = [c if c.type == arrow.field(i).type else c.cast(arrow.field(i).type) for i, c in enumerate(taken.columns if keep else [])]
-                columns += [pa.array([r[k] for r in made], type=arrow.field(len(keep) + k).type) for k in range(len(fields))]
+                columns += [_array([r[k] for r in made], arrow.field(len(keep) + k).type) for k in range(len(fields))]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("__json"))
@@ -160,7 +171,7 @@ def rows(df: DataFrame, column: str, demand: m.Demand, keep: list[str] | None =
         if isinstance(answer, m.Columns):
             answer = answer if window is None else answer.windowed(window)
             for i, r in enumerate(answer.rows):
-                cells = tuple(None if c is None else src[c[0] : c[1]].decode("utf-8", "replace") for c in r)
+                cells = tuple([None if c is None else src[c[0] : c[1]] for c in r])
                 yield (i, *cells) if ordinal else cells
         elif on_mismatch == "raise" and not isinstance(answer, m.Document):
             raise JsonError("Shape", "invalid-shape", 0, f"no rows: {answer}")
@@ -181,7 +192,7 @@ def value(df: DataFrame, column: str, demand: m.Demand, out: str = "value", keep
                 raise
             answer = m.Missing()
         if isinstance(answer, m.Document):
-            made = src[answer.start : answer.end].decode("utf-8", "replace")
+            made = src[answer.start : answer.end]
         elif isinstance(answer, m.OracleAnswer):
             from lodestream.functions.encode import encode_value
 
