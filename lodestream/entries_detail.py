@@ -279,6 +279,15 @@ def json_parts_count(spark, sf_dir):
     return parts.count(orders(spark, sf_dir), "doc", m.Path(ITEMS, m.Oracle("count")), by=["id"], target=60)
 
 
+@query(f"SELECT id, max(len)::BIGINT AS n, string_agg(q, ',' ORDER BY pos) AS qs, coalesce(string_agg(CASE WHEN q > 25 THEN n END, ',' ORDER BY pos), '') AS big FROM ({_LINES}) GROUP BY id")
+def json_fold(spark, sf_dir):
+    """Several demands on one array, its ranges answered apart: rows follow one another, counts add up."""
+    request = m.Request((at("items").count(), at("items").project("q"), at("items").where(field("q") > 25).project("n")))
+    a = parts.folded(orders(spark, sf_dir), "doc", request, target=50)
+    rows = lambda i: F.array_join(c.field_column(F.col("answers")[i], 0), ",")
+    return a.select("id", F.col("answers")[0]["oracle"].cast("long").alias("n"), rows(1).alias("qs"), rows(2).alias("big"))
+
+
 @query(f"SELECT event_id, k, CASE WHEN k % 2 = 0 THEN 'parts' ELSE 'serial' END AS way FROM {_E}")
 def json_parts_or_serial(spark, sf_dir):
     """A text that holds no array to cut is answered serially, as one part."""

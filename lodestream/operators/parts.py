@@ -50,6 +50,25 @@ def rows(df: DataFrame, column: str, demand: m.Demand, target: int = FIRST_BYTES
     return cut.unionByName(serial)
 
 
+def folded(df: DataFrame, column: str, request: m.Request, target: int = FIRST_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """As exact.answers() for several demands on one array, each text's ranges answered apart and folded within its task.
+
+    Rows follow one another, counts add up; a range that fails has its text read serially, as one that can't be cut is.
+    """
+
+    def each(src: bytes | None) -> Iterator[tuple]:
+        if src is None:
+            yield None, []
+            return
+        plan = Plan.build(src, request, target)
+        r = walk.scan(src, request) if plan is None else plan.run()
+        yield [exact.answer_row(src, a) for a in r.answers], [exact._issue(i) for i in r.issues]
+
+    for d in request.demands:
+        walk.refuse_containers(d)
+    return exact._mapped(df, column, exact._keeps(df, column, keep), exact.RESULT, each)
+
+
 def count(df: DataFrame, column: str, demand: m.Demand, by: list[str], target: int = FIRST_BYTES) -> DataFrame:
     """(by, n): a count demand answered in parts and added up for each key."""
     if m.shard(demand) != "sum":
