@@ -92,7 +92,7 @@ def rows(df: DataFrame, column: str, demand: m.Demand, keep: list[str] | None =
     parsed = df.select(*[F.col(f"`{c}`") for c in keep], F.try_parse_json(column).alias("__v"))
     target = go(F.col("__v"), path)
     # A projection or filter takes an object as one element.
-    array = F.when(kind(target) == "object", F.array(target)).otherwise(elements(target)) if flat else elements(target)
+    array = F.coalesce(elements(target), F.when(kind(target) == "object", F.array(target))) if flat else elements(target)
     inner = demand.nested if isinstance(demand, (m.Slice, m.Collection)) else demand
     if isinstance(demand, m.Collection) and inner is None and demand.fields is not None:
         inner = m.Project((), demand.fields)
