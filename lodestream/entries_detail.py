@@ -70,12 +70,12 @@ def json_stream_whole(spark, sf_dir):
     return both.select("hour", F.col("pos").cast("long").alias("pos"), k(F.col("r.x")).alias("k"), k(F.col("r.y")).alias("again"))
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, count(*) AS ordinal, 'expected-value' AS code, sum(strlen(props) + 1)::BIGINT + 5 AS at FROM events GROUP BY ALL")
+@query("SELECT date_trunc('hour', ts) AS hour, count(*) AS ordinal, 'expected-value' AS code, sum(strlen(props) + 1)::BIGINT + 5 AS place FROM events GROUP BY ALL")
 def json_records_issues(spark, sf_dir):
     """Each record by itself; a cut last one is a record with an issue, at its place in the stream."""
     docs = _streams(spark, sf_dir, "", "\n").select("hour", F.concat("doc", F.lit('{"k":')).alias("doc"))
     r = exact.records(docs, "doc", m.Request((m.Path(m.steps("k")),), framing="ndjson")).filter(F.size("issues") > 0)
-    return r.select("hour", "ordinal", F.col("issues")[0]["code"].alias("code"), F.col("issues")[0]["offset"].alias("at"))
+    return r.select("hour", "ordinal", F.col("issues")[0]["code"].alias("code"), F.col("issues")[0]["offset"].alias("place"))
 
 
 @query(f"SELECT event_id, 2 AS demands, 1 AS answered, 'missing' AS kind, k, 1 AS skips, 7 AS skipped FROM {_E}")
@@ -149,13 +149,13 @@ def json_holdback_adjacent(spark, sf_dir):
     return docs.select("hour", x.complete_prefix(F.col("doc"), "adjacent").alias("held"))
 
 
-@query(f"SELECT event_id, k, 8 AS at FROM {_E}")
+@query(f"SELECT event_id, k, 8 AS place FROM {_E}")
 def json_byte_order_mark(spark, sf_dir):
     """A leading byte order mark is skipped; offsets count it."""
     docs = _made(spark, sf_dir, '\ufeff{"k":', K, "}")
     a = exact.answers(docs, "doc", m.Request((m.Path(m.steps("k")),)))
     doc = F.col("answers")[0]["document"]
-    return a.select("event_id", doc["text"].cast("long").alias("k"), doc["start"].cast("int").alias("at"))
+    return a.select("event_id", doc["text"].cast("long").alias("k"), doc["start"].cast("int").alias("place"))
 
 
 @query("SELECT event_id, 'q,f' AS fields, 0 AS n, 0 AS records FROM events")
@@ -354,12 +354,12 @@ def json_elements_members(spark, sf_dir):
     return docs.select("event_id", F.array_join(x.elements(F.col("a")), "|").alias("elements"), F.array_join(pairs, ",").alias("members"), (x.length(F.col("a")) + F.size(x.members(F.col("doc"))) - 1).cast("int").alias("size"))
 
 
-@query(f"SELECT event_id, k AS last, NULL::BIGINT AS beyond, k AS inner, 'array' AS kind FROM {_E}")
+@query(f"SELECT event_id, k AS last, NULL::BIGINT AS beyond, k AS deep, 'array' AS kind FROM {_E}")
 def json_navigate(spark, sf_dir):
     """Steps into parsed values: indexes from either end, names, and what isn't there."""
     docs = _made(spark, sf_dir, '{"xs": [true, {"k": ', K, "}, ", K, "]}")
     xs = x.member(F.col("doc"), "xs")
-    return docs.select("event_id", x.element(xs, -1).cast("long").alias("last"), x.element(xs, 3).cast("long").alias("beyond"), x.member(x.element(xs, 1), "k").cast("long").alias("inner"), c.kind(xs).alias("kind"))
+    return docs.select("event_id", x.element(xs, -1).cast("long").alias("last"), x.element(xs, 3).cast("long").alias("beyond"), x.member(x.element(xs, 1), "k").cast("long").alias("deep"), c.kind(xs).alias("kind"))
 
 
 @query(f"SELECT event_id, true AS same, false AS strictly, true AS itself, CASE WHEN k < 50 THEN -1 WHEN k > 50 THEN 1 ELSE 0 END AS place, NULL::INTEGER AS none FROM {_E}")
@@ -385,12 +385,12 @@ def json_display(spark, sf_dir):
     return docs.select("event_id", x.display(F.col("doc"), "json5").alias("shown"))
 
 
-@query(f"SELECT event_id, 'invalid-number' AS code, 12 + strlen(k::VARCHAR) AS at FROM {_E}")
+@query(f"SELECT event_id, 'invalid-number' AS code, 12 + strlen(k::VARCHAR) AS place FROM {_E}")
 def json_error_place(spark, sf_dir):
     """A lazily located value fails when it is materialized, at its place in the whole text."""
     docs = _made(spark, sf_dir, '{"p":', K, ',"v":[01]}').select("event_id", F.concat(F.lit(" "), "doc").alias("doc"))
     v = exact.materialized(docs, "doc", m.Path(m.steps("v")), mode="permissive", strictness="lazy")
-    return v.select("event_id", F.col("issue.code").alias("code"), F.col("issue.offset").cast("long").alias("at"))
+    return v.select("event_id", F.col("issue.code").alias("code"), F.col("issue.offset").cast("long").alias("place"))
 
 
 # Writing.
@@ -469,11 +469,11 @@ def json_edit_comment_replace(spark, sf_dir):
     return exact.edited(docs, "doc", [e.Comment(m.steps("k"), "replace", "lead", "new"), e.Comment(m.steps("z"), "clear", "lead")], dialect="jsonc", keep=["event_id"])
 
 
-@query(f"""SELECT event_id, '{{"k":' || k || ',"new":[1]}}' AS edited, 0 AS at, (14 + strlen(k::VARCHAR) + 2)::BIGINT AS until, true AS validated FROM {_E}""")
+@query(f"""SELECT event_id, '{{"k":' || k || ',"new":[1]}}' AS edited, 0 AS first_byte, (14 + strlen(k::VARCHAR) + 2)::BIGINT AS last_byte, true AS validated FROM {_E}""")
 def json_edit_document(spark, sf_dir):
     """The edited text and its root as a strictly read document."""
     made = exact.edited_documents(_made(spark, sf_dir, '{"k":', K, "}"), "doc", [e.Insert(m.steps("new"), [_n("1")])], keep=["event_id"])
-    return made.select("event_id", "edited", F.col("document.document.start").cast("int").alias("at"), F.col("document.document.end").alias("until"), F.col("document.validated").alias("validated"))
+    return made.select("event_id", "edited", F.col("document.document.start").cast("int").alias("first_byte"), F.col("document.document.end").alias("last_byte"), F.col("document.validated").alias("validated"))
 
 
 @query(f"SELECT event_id, 'lead:// 1|foot:/* 2 */|lead:/* 2 */|foot:// 3' AS facts FROM {_E}")
