@@ -91,7 +91,9 @@ def overlaps(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "te
     masks = list(dict.fromkeys(x for k in classes for x in MASKS[k])) or [(0,)]
     seeds = item_seeds(known, classes or [1])
     size = sum(r.words * (SEED_BYTES * len(MASKS[r.k]) + WORD_BYTES) for r in sizes)
-    words = docs.select(*keys, word_hashes(F.col(text)).alias("words")).filter(F.size("words") > 0)
+    # Keys may have any names, those of the columns below among them.
+    names, keys = keys, [f"__key_{i}" for i in range(len(keys))]
+    words = docs.select(*[F.col(f"`{n}`").alias(k) for n, k in zip(names, keys, strict=True)], word_hashes(F.col(f"`{text}`")).alias("words")).filter(F.size("words") > 0)
     spread = words.select(*keys, "words", F.posexplode("words").alias("at", "__w"))
     spread = spread.select(*keys, "words", "at", F.explode(seeds_at(F.col("words"), F.col("at"), masks)).alias("seed")).filter("seed is not null")
     named = known.select("item_no", "item_id", "item")
@@ -103,7 +105,8 @@ def overlaps(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "te
         same = [F.col(k).eqNullSafe(F.col(f"__hit_{i}")) for i, k in enumerate(keys)]
         hits = hits.select(*[F.col(k).alias(f"__hit_{i}") for i, k in enumerate(keys)], "at", "item_no", "item_at", "span")
         met = words.join(hits, same).select(*keys, "words", "at", "item_no", "item_at", "span").join(named, "item_no")
-    return _agreeing(met, keys).groupBy(*keys, "item_id").agg(F.max("matched").alias("matched"), F.max("compared").alias("compared"), F.min("first_word").alias("first_word"))
+    found = _agreeing(met, keys).groupBy(*keys, "item_id").agg(F.max("matched").alias("matched"), F.max("compared").alias("compared"), F.min("first_word").alias("first_word"))
+    return found.select(*[F.col(k).alias(n) for n, k in zip(names, keys, strict=True)], "item_id", "matched", "compared", "first_word")
 
 
 def _agreeing(met: DataFrame, keys: list[str]) -> DataFrame:

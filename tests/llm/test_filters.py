@@ -368,6 +368,8 @@ def test_decontamination(spark, docs, no_docs):
     assert {tuple(r) for r in decontam.overlaps(df.filter("doc_id is not null"), bench, ["doc_id"]).select("doc_id", "item_id", "matched", "compared", "first_word").collect()} == want
     assert sorted(r.doc_id for r in decontam.decontaminated(df, bench).collect()) == [0, 5, 6, 7]
     assert decontam.overlaps(no_docs, bench, ["doc_id"]).collect() == []
+    odd = df.withColumnsRenamed({"doc_id": "words", "text": "at"})
+    assert {(r.words, r.item_id) for r in decontam.overlaps(odd, bench, ["words"], text="at").collect()} == got
     empty = bench.filter("item_id < 0")
     assert decontam.decontaminated(docs, empty).count() == docs.count()
 
