@@ -13,7 +13,7 @@ from typing import Any
 from lodestream.functions import values
 from lodestream.functions.encode import Options, encode_value, quoted
 from lodestream.functions.facts import facts_of
-from lodestream.functions.lexer import Node, Reader, check, value_of
+from lodestream.functions.lexer import CHECKED, Node, Plain, Reader, check, value_of
 from lodestream.plans.model import Document, Fact, Index, JsonError, Key, Step
 
 
@@ -280,8 +280,8 @@ def edit(src: bytes | str, edits: list[Edit], dialect: str = "rfc8259", revalida
             raise
     else:
         try:
-            if revalidate:
-                check(out, Reader(out, dialect).document(), dialect)
+            if revalidate and type(root := Reader(out, dialect).document(CHECKED)) is not Plain:
+                check(out, root, dialect)
             return out
         except JsonError:
             if any(isinstance(e, Comment) for e in edits):

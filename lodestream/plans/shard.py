@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from lodestream.functions.lexer import Reader, check
+from lodestream.functions.lexer import FULL, Node, Reader, check, merged
 from lodestream.plans import model as m
-from lodestream.plans.walk import Walker, canonical, refuse_containers, scan, stitch
+from lodestream.plans.model import JsonError
+from lodestream.plans.walk import Walker, canonical, refuse_containers, scan, stitch, want_of
 
 FIRST_BYTES = 256 << 10
 
@@ -27,14 +28,18 @@ def at_elements(demand: m.Demand) -> m.Demand:
     return demand
 
 
+def located(src: bytes, request: m.Request, path: tuple[m.Step, ...]) -> Node | None:
+    """The array at path, its elements only located; None where there is none."""
+    want = want_of(m.Path(path, m.Collection()) if path else m.Collection(), checked=False) if request.dialect == "rfc8259" else FULL
+    node = Walker(src, request).go(Reader(src, request.dialect, request.max_nesting).document(want), path)
+    return None if isinstance(node, (m.Missing, m.TypeMismatch)) or node.kind != "array" else node
+
+
 def cut(src: bytes, path: tuple[m.Step, ...] = (), target: int = FIRST_BYTES) -> list[tuple[int, int, int]]:
     """(first element's index, start, end) of runs of whole elements of the array at path, about target bytes each."""
-    root = Reader(src).document()
-    node = Walker(src, m.Request(())).go(root, path)
-    if isinstance(node, (m.Missing, m.TypeMismatch)) or node.kind != "array":
-        return []
+    node = located(src, m.Request(()), path)
     out: list[list[int]] = []
-    for i, item in enumerate(node.items):
+    for i, item in enumerate(node.items if node is not None else ()):
         if out and out[-1][2] - out[-1][1] < target:
             out[-1][2] = item.end
         else:
@@ -60,29 +65,28 @@ class Plan:
         if request.framing != "text" or request.dialect != "rfc8259" or len(paths) != 1 or any(m.shard(d) == "serial" for d in demands):
             return None
         path = paths.pop()
-        node = Walker(src, m.Request(())).go(Reader(src, request.dialect, request.max_nesting).document(), path)
-        if isinstance(node, (m.Missing, m.TypeMismatch)) or node.kind != "array":
+        if located(src, request, path) is None:
             return None
         return cls(src, request, cut(src, path, target))
 
     def scan(self, part: tuple[int, int, int]) -> m.Result:
         """The answers of one range; spans are those of the whole source."""
         _, start, end = part
-        reader = Reader(self.src[:end], self.request.dialect, self.request.max_nesting)
-        reader.at = start
-        array = type(reader.value())("array", start, end)
-        reader.at = start
-        while True:
-            reader.trivia()
-            array.items.append(reader.value())
-            reader.trivia()
-            if reader.at >= end:
-                break
-            reader.at += 1
-        if self.request.strictness == "strict":
-            check(self.src, array, self.request.dialect)
-        walker = Walker(self.src, self.request)
-        return m.Result([walker.answer(array, at_elements(canonical(d))) for d in self.request.demands])
+        # The range as an array of its own; its bracket takes the byte before it.
+        own, demands = b"[" + self.src[start:end] + b"]", [at_elements(canonical(d)) for d in self.request.demands]
+        want = FULL
+        if self.request.strictness != "strict" and self.request.dialect == "rfc8259":
+            want = None
+            for d in demands:
+                want = merged(want, want_of(d, self.request.strictness != "lazy"))
+        try:
+            array = Reader(own, self.request.dialect, self.request.max_nesting).document(want)
+            if self.request.strictness == "strict":
+                check(own, array, self.request.dialect)
+            walker = Walker(own, self.request, base=start - 1)
+            return m.Result([walker.answer(array, d) for d in demands])
+        except JsonError as error:
+            raise JsonError(error.cls, error.code, error.offset + start - 1) from None
 
     def run(self) -> m.Result:
         """All parts folded; if one fails, the whole is read serially and fails, or not, as that does."""

@@ -58,7 +58,7 @@ def adjacent_frames(src: bytes, dialect: str = "rfc8259", max_nesting: int = MAX
             if reader.at == len(src):
                 return out
             start = reader.at
-            reader.value()
+            reader.take(None)
         except JsonError:
             return [*out, (start, len(src))]
         out.append((start, reader.at))
@@ -103,7 +103,7 @@ def adjacent_prefix(buffer: bytes, dialect: str = "rfc8259", max_nesting: int =
             start = reader.at
             if start == len(buffer):
                 return start
-            reader.value()
+            reader.take(None)
         except JsonError:
             return start
         if reader.at == len(buffer):
