@@ -282,3 +282,31 @@ def test_parts_fold_to_the_whole(target):
     plan = Plan.build(text, request, target)
     assert plan.run() == walk.scan(text, request)
     assert Plan.build(text, Request((Slice(Range(0, 1)),))) is None
+
+
+PIECES = [b'"', b"\\", b"\\u12", b"\\ud800", b"\\u0041", b"\\x", b"01", b"1.", b"-", b"+1", b"1e", b"e5", b",", b":", b"[", b"]", b"{", b"}", b"\x01", b"\n", b"\xff", b"\xc3\xa9", b"\xc3", b"\xed\xa0\x80", b"\xe2\x82\xac", b"\xf0\x9f\x98\x80", b"nul", b"true", b"/", b" "]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_damaged_texts_are_refused_alike(seed, monkeypatch):
+    """Checked by pattern or node by node: the same refusals, at the same places."""
+    rng = random.Random(seed)
+    found = []
+    for _ in range(60):
+        text = bytearray(json.dumps(_some(rng, 5), ensure_ascii=rng.random() < 0.5).encode())
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(text) + 1)
+            text[at : at + rng.randrange(2)] = rng.choice(PIECES)
+        request = Request((Whole(),), strictness=rng.choice(["strict", "structural"]), max_nesting=rng.choice([2, 4, 256]))
+        found.append((bytes(text), request))
+
+    def outcome(text, request):
+        try:
+            return walk.scan(text, Request(request.demands, strictness=request.strictness, max_nesting=request.max_nesting))
+        except JsonError as error:
+            return error.cls, error.code, error.offset
+
+    quick = [outcome(*f) for f in found]
+    monkeypatch.setattr(walk, "want_of_request", lambda request, demands: walk.FULL)
+    for f, q in zip(found, quick, strict=True):
+        assert q == outcome(*f), f
