@@ -7,13 +7,14 @@ result is written compactly.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from copy import deepcopy
+from dataclasses import dataclass, replace
 from typing import Any
 
 from lodestream.functions import values
 from lodestream.functions.encode import Options, encode_value, quoted
 from lodestream.functions.facts import facts_of
-from lodestream.functions.lexer import CHECKED, Node, Plain, Reader, check, value_of
+from lodestream.functions.lexer import CHECKED, FULL, Node, Plain, Reader, Want, check, merged, parse
 from lodestream.plans.model import Document, Fact, Index, JsonError, Key, Step
 
 
@@ -249,10 +250,27 @@ def _applied(v: Any, e: Edit) -> Any:
     return v
 
 
+def _want(path: tuple[Step, ...]) -> Want:
+    want = CHECKED
+    for step in reversed(path):
+        if isinstance(step, Key):
+            want = Want(keys={step.name: want}, names=True, arrays=True, items=CHECKED, rest=CHECKED)
+        else:
+            # From the end, any element may be the one.
+            window = range(step.at, step.at + 1) if step.at >= 0 else None
+            want = Want(names=True, arrays=True, items=want, window=window, rest=CHECKED)
+    return want
+
+
 def _planned(src: bytes, edits: list[Edit], dialect: str) -> tuple[list[Splice], _Placer]:
     reader = Reader(src, dialect)
-    root = reader.document()
-    check(src, root, dialect)
+    want = FULL if dialect != "rfc8259" else None
+    for e in edits:
+        want = merged(want, _want(e.path))
+    # All values are checked; only those on the edits' ways have their members and elements read.
+    root = reader.document(want or CHECKED)
+    if type(root) is not Plain:
+        check(src, root, dialect)
     placer = _Placer(src, root, dialect, reader.outer)
     splices = sorted(s for e in edits for s in placer.splices(e))
     for a, b in zip(splices, splices[1:], strict=False):
@@ -286,9 +304,10 @@ def edit(src: bytes | str, edits: list[Edit], dialect: str = "rfc8259", revalida
         except JsonError:
             if any(isinstance(e, Comment) for e in edits):
                 raise
-    value = value_of(src, Reader(src, dialect).document(), dialect)
+    value = parse(src, dialect)
     for e in edits:
-        value = _applied(value, e)
+        # Later edits may change what an earlier one has put in; the edits themselves stay as they are.
+        value = _applied(value, e if isinstance(e, (Delete, Clear, Comment)) else replace(e, value=deepcopy(e.value)))
     return encode_value(value, Options(dialect=dialect))
 
 

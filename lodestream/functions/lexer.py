@@ -6,6 +6,7 @@ string is well formed inside is checked on demand, so that a query can leave unr
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -34,10 +35,6 @@ _GAP = rb"[ \t\n\r]*+"
 _SKIP_DEPTH = 3
 
 
-# A scalar that needs no check, before what may follow it.
-_PLAIN_TOKEN = rb'(?:"[ !#-\[\]-~]*+"|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?=[ \t\n\r,}])|true|false|null)'
-
-
 def _nested(levels: int, string: bytes = rb'"(?:[^"\\]++|\\.)*+"', token: bytes = _TOKEN) -> bytes:
     if not levels:
         return token
@@ -51,10 +48,14 @@ _SKIP = re.compile(_nested(_SKIP_DEPTH), re.DOTALL)
 # The same of values that need no check: well-formed strings and numbers.
 _GOOD_STRING = rb'"(?:[ !#-\[\]-~]++|\\["\\/bfnrt]|\\u(?![dD][89a-fA-F])[0-9a-fA-F]{4}|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf])*+"'
 _GOOD_NUMBER = rb"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+(?![0-9+\-.eE])"
-_GOOD = re.compile(_nested(_SKIP_DEPTH, _GOOD_STRING, rb"(?:" + _GOOD_STRING + rb"|" + _GOOD_NUMBER + rb"|true|false|null)"), re.DOTALL)
+_GOOD_TOKEN = rb"(?:" + _GOOD_STRING + rb"|" + _GOOD_NUMBER + rb"|true|false|null)"
+_GOOD = re.compile(_nested(_SKIP_DEPTH, _GOOD_STRING, _GOOD_TOKEN), re.DOTALL)
+# A name without escapes, which is what it spells.
+_RAW_NAME = rb'"(?:[ !#-\[\]-~]++|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf])*+"'
 _ANY_STRING = re.compile(rb'"(?:[^"\\]++|\\.)*+"', re.DOTALL)
-_PLAIN_NAME = re.compile(r"[ !#-\[\]-~]*")
-_KINDS = {0x22: "string", 0x2D: "number", 0x74: "bool", 0x66: "bool", 0x6E: "null", **dict.fromkeys(range(0x30, 0x3A), "number")}
+# Names that a text can spell without escapes.
+_RAW = re.compile(r'[^\x00-\x1f"\\\ud800-\udfff]*')
+_KINDS = {0x7B: "object", 0x5B: "array", 0x22: "string", 0x2D: "number", 0x74: "bool", 0x66: "bool", 0x6E: "null", **dict.fromkeys(range(0x30, 0x3A), "number")}
 _SIMPLE = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", '"': '"', "\\": "\\", "/": "/"}
 _FIVE = {"v": "\v", "0": "\0", "'": "'"}
 _HIGH = re.compile(rb"[\x80-\xff]+")
@@ -90,8 +91,7 @@ class Node:
 
 
 class Plain(Node):
-    """A value that was seen to need no check: a literal, a number, a string of plain characters; or a container of good
-    values, whose nodes nobody asked for."""
+    """A value that was seen to need no check, a container's nodes among them: nobody asked for these."""
 
     __slots__ = ()
 
@@ -120,10 +120,10 @@ class Want:
         if self._row is None:
             self._row = (None,)
             leaves = all(w is None or w.full for w in self.keys.values())
-            if self.keys and leaves and not self.names and all(_PLAIN_NAME.fullmatch(k) for k in self.keys):
-                no = b"|".join(re.escape(k).encode() for k in self.keys)
-                other = rb'"(?!(?:' + no + rb')")[ !#-\[\]-~]*+"' + _GAP + rb":" + _GAP + _nested(1)
-                own = [rb'"' + re.escape(k).encode() + rb'"' + _GAP + rb":" + _GAP + rb"(" + _PLAIN_TOKEN + rb")" for k in self.keys]
+            if self.keys and leaves and not self.names and all(_RAW.fullmatch(k) for k in self.keys):
+                no = b"|".join(re.escape(k.encode()) for k in self.keys)
+                other = rb'(?!"(?:' + no + rb')")' + _RAW_NAME + _GAP + rb":" + _GAP + _nested(1)
+                own = [rb'"' + re.escape(k.encode()) + rb'"' + _GAP + rb":" + _GAP + rb"(" + _nested(1, _GOOD_STRING, _GOOD_TOKEN) + rb")" for k in self.keys]
                 member = rb"(?:" + b"|".join([*own, other]) + rb")" + _GAP + rb'(?:,' + _GAP + rb'(?=")|(?=\}))'
                 self._row = (_run_pattern(rb"(\{" + _GAP + rb"(?:" + member + rb")*+\})" + _GAP + rb"(?:," + _GAP + rb"|(\]))").match,)
         return self._row[0]
@@ -131,9 +131,9 @@ class Want:
     def run(self):
         """A pattern of members that aren't wanted, each with the comma after it; it may match nothing."""
         if self._run is None:
-            # A plain name that isn't wanted; names with escapes or beyond ASCII are read one by one.
-            no = b"|".join(re.escape(k).encode() for k in self.keys if _PLAIN_NAME.fullmatch(k))
-            name = rb'"' + (rb'(?!(?:' + no + rb')")' if no else b"") + rb'[ !#-\[\]-~]*+"'
+            # A name without escapes that isn't wanted; names with escapes are read one by one.
+            no = b"|".join(re.escape(k.encode()) for k in self.keys if _RAW.fullmatch(k))
+            name = (rb'(?!"(?:' + no + rb')")' if no else b"") + _RAW_NAME
             member = name + _GAP + rb":" + _GAP + _nested(_SKIP_DEPTH - 1) + _GAP + rb"," + _GAP + rb'(?=")'
             self._run = _run_pattern(rb"(?:" + member + rb")*+")
         return self._run
@@ -158,14 +158,17 @@ def merged(a: Want | None, b: Want | None) -> Want | None:
     """What is asked by a or b."""
     if a is None or b is None or a is b:
         return a or b
+    if a is CHECKED and b.rest is CHECKED or b is CHECKED and a.rest is CHECKED:
+        # All that isn't wanted there is checked, too.
+        return b if a is CHECKED else a
     if a.full or b.full:
         return FULL
     keys = {k: merged(a.keys.get(k), b.keys.get(k)) for k in {**a.keys, **b.keys}}
     if not (a.arrays and b.arrays):
         w = a if a.arrays else b
-        return Want(False, keys, a.names or b.names, w.arrays, w.items, w.window)
+        return Want(False, keys, a.names or b.names, w.arrays, w.items, w.window, a.rest or b.rest)
     window = range(min(a.window.start, b.window.start), max(a.window.stop, b.window.stop)) if a.window is not None and b.window is not None else None
-    return Want(False, keys, a.names or b.names, True, merged(a.items, b.items), window)
+    return Want(False, keys, a.names or b.names, True, merged(a.items, b.items), window, a.rest or b.rest)
 
 
 class Reader:
@@ -334,7 +337,7 @@ class Reader:
                 if want.full:
                     item = self.value(depth + 1)
                 else:
-                    item = self.take(items if window is None or len(node.items) in window else None, depth + 1)
+                    item = self.take(items if window is None or len(node.items) in window else want.rest, depth + 1)
                 node.items.append(item)
                 yield item
                 if self._closes(node, b"]", len(node.items)):
@@ -533,7 +536,28 @@ def value_of(src: bytes, node: Node, dialect: str = "rfc8259"):
     return {name: value_of(src, n, dialect) for name, n in [(m[0], m[2]) for m in node.members]}
 
 
+def _no_constant(text: str):
+    raise AssertionError(text)
+
+
+def checked_value(src: bytes, at: int, dialect: str = "rfc8259", max_nesting: int = MAX_NESTING):
+    """The value that begins at `at`, and where it ends: checked first, then parsed by the standard library's scanner."""
+    reader = Reader(src, dialect, max_nesting)
+    reader.at = at
+    if dialect != "rfc8259":
+        return value_of(src, reader.value(), dialect), reader.at
+    node = reader.take(CHECKED)
+    if type(node) is not Plain:
+        check(src, node, dialect)
+    return json.loads(src[at : reader.at], parse_int=Number, parse_float=Number, parse_constant=_no_constant), reader.at
+
+
 def parse(src: bytes | str, dialect: str = "rfc8259", max_nesting: int = MAX_NESTING):
     """The value of one JSON text."""
     src = src.encode() if isinstance(src, str) else src
-    return value_of(src, Reader(src, dialect, max_nesting).document(), dialect)
+    reader = Reader(src, dialect, max_nesting)
+    reader.at = 3 if src[:3] == BOM else 0
+    reader.trivia()
+    value, reader.at = checked_value(src, reader.at, dialect, max_nesting)
+    reader.finish()
+    return value

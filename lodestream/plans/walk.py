@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 from lodestream.functions import values
-from lodestream.functions.lexer import _ANY_STRING, BOM, CHECKED, FULL, Node, Plain, Reader, Want, check, decoded, merged, number_at, value_of
+from lodestream.functions.lexer import _ANY_STRING, BOM, CHECKED, FULL, Node, Plain, Reader, Want, check, checked_value, decoded, merged, number_at, value_of
 from lodestream.plans import model as m
 from lodestream.plans.model import JsonError
 from lodestream.sources.framing import frames
@@ -144,7 +144,7 @@ def _compiled(op: str, name: str, kind: str, operand: str | None) -> Test:
     slow = m.Compare(op, name, want)
     order = {"gt": operator.gt, "lt": operator.lt, "ge": operator.ge, "le": operator.le, "eq": operator.eq, "ne": operator.ne}[op]
     short = _short(operand) if kind == "number" else None
-    raw = operand.encode() if kind == "string" and re.fullmatch(r"[ !#-\[\]-~]*", operand) else None
+    raw = operand.encode("utf-8", "surrogatepass") if kind == "string" else None
     unequal = op == "ne"
 
     def number(w: Walker, named: dict[str, Node]) -> bool:
@@ -161,8 +161,8 @@ def _compiled(op: str, name: str, kind: str, operand: str | None) -> Test:
         node = named.get(name)
         if node is None:
             return unequal
-        if type(node) is Plain and node.kind == "string":
-            return (w.src[node.start + 1 : node.end - 1] == raw) != unequal
+        if type(node) is Plain and node.kind == "string" and b"\\" not in (own := w.src[node.start + 1 : node.end - 1]):
+            return (own == raw) != unequal
         return w.holds(named, slow)
 
     if short is not None:
@@ -396,8 +396,8 @@ class Walker:
     def _equals(self, node: Node, want) -> bool:
         if node.kind != values.kind_of(want):
             return False
-        if type(node) is Plain and node.kind == "string":
-            return self.src[node.start + 1 : node.end - 1].decode() == want
+        if type(node) is Plain and node.kind == "string" and b"\\" not in (raw := self.src[node.start + 1 : node.end - 1]):
+            return raw.decode() == want
         own = self._scalar(node)
         if isinstance(want, values.Number):
             return isinstance(own, values.Number) and own.compare(want) == 0
@@ -686,9 +686,7 @@ def materialize(src: bytes | str, answer: m.Answer, dialect: str = "rfc8259"):
     src = src.encode() if isinstance(src, str) else src
 
     def at(cell: tuple[int, int]):
-        reader = Reader(src[: cell[1]], dialect)
-        reader.at = cell[0]
-        return value_of(src, reader.value(), dialect)
+        return checked_value(src, cell[0], dialect)[0]
 
     if isinstance(answer, m.Document):
         return at((answer.start, answer.end))

@@ -1,11 +1,13 @@
 """Encoding, edits, facts and framing."""
 
 import json
+import random
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from lodestream.functions import edit as edit_module
 from lodestream.functions import lexer, values
 from lodestream.functions.edit import Clear, Comment, Delete, Insert, ReplaceMember, Set, edit, edit_document
 from lodestream.functions.encode import Options, encode_document, encode_part, encode_value, plan_parts, stitch_parts
@@ -130,3 +132,61 @@ def test_framing():
     for target in (1, 50, 10_000):
         parts = partition(src, "ndjson", target)
         assert sum(len(frames(src[s:e], "ndjson")) for s, e in parts) == 40
+
+
+def _random_edit(rng, value):
+    path, at = [], value
+    for _ in range(rng.randint(1, 3)):
+        if isinstance(at, dict) and at and rng.random() < 0.9:
+            path.append(rng.choice(list(at)))
+            at = at[path[-1]]
+        elif isinstance(at, list) and at and rng.random() < 0.9:
+            i = rng.randrange(-len(at), len(at))
+            path.append(i)
+            at = at[i]
+        else:
+            path.append(rng.choice(["new", 0, -1, 7]))
+            break
+    p = P(*path)
+    return rng.choice([Set(p, N("1.50")), Insert(p, ["x"]), Delete(p), Clear(p), ReplaceMember(p, "re\"named", None)])
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_edits_read_no_more_than_their_ways(seed, monkeypatch):
+    """The same text, or the same refusal, as from a reading of all nodes; damaged texts among them."""
+    rng = random.Random(seed)
+
+    def some(depth):
+        kind = rng.randrange(8 if depth else 5)
+        if kind == 5:
+            return [some(depth - 1) for _ in range(rng.randrange(4))]
+        if kind > 5:
+            return {k: some(depth - 1) for k in rng.sample(["a", "b", "é", 'q"', "new"], rng.randrange(5))}
+        return rng.choice([None, True, 0, -2.5, "x\n", "é"])
+
+    cases = []
+    for _ in range(25):
+        value = some(5)
+        text = json.dumps(value, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1])).encode()
+        if rng.random() < 0.2:
+            at = rng.randrange(len(text) + 1)
+            text = text[:at] + rng.choice([b"01", b'"', b",", b"\\ud800", b"}"]) + text[at:]
+        cases.append((text, [_random_edit(rng, value) for _ in range(rng.randint(1, 2))]))
+
+    def outcome(text, edits):
+        try:
+            return edit(text, edits)
+        except JsonError as error:
+            return error.cls, error.code, error.offset
+
+    quick = [outcome(*c) for c in cases]
+    monkeypatch.setattr(edit_module, "_want", lambda path: lexer.FULL)
+    for c, q in zip(cases, quick, strict=True):
+        assert q == outcome(*c), c
+
+
+@given(JSON)
+def test_values_by_the_scanner(value):
+    """The value that the standard scanner gives is the nodes' own: spellings, order and repeated names."""
+    text = json.dumps(value).replace("{}", '{"d": 1.50, "e": -0, "d": 1E2}').encode()
+    assert values.strict_equal(lexer.parse(text), lexer.value_of(text, lexer.Reader(text).document()))
