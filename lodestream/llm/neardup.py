@@ -6,9 +6,10 @@ filled, so no coordinate is ever empty and equal coordinates estimate the Jaccar
 independent samples. Bands of sketch coordinates give buckets. In each bucket all classes are compared with one pivot.
 Buckets whose members still lie in several components are open: for their members, the shingles that no other open member
 has are counted, which bounds the similarity of any two. The member with the least share of own shingles is the next
-pivot, the hub. What is then still open is compared pair by pair, where two members' differences from the hub share one
-among their rarest, as those of linked sets must, and the bound doesn't rule a link out. Links make components by hooking and pointer jumping. Nothing is collected: every step is a join or an
-aggregation.
+pivot, the hub; so it goes on with what lies outside the bucket's largest component, as long as that halves. What is then
+still open is compared pair by pair, where two members' differences from the hub share one among their rarest, as those of
+linked sets must, and the bound doesn't rule a link out. Links make components by hooking and pointer jumping. Nothing is
+collected: every step is a join or an aggregation.
 """
 
 from __future__ import annotations
@@ -235,11 +236,22 @@ def _components_of(sketches: DataFrame, docs: DataFrame) -> DataFrame:
     if not rows.isEmpty():
         sets = stored(_sets(rows, texts), "neardup-open-sets")
         rows = stored(rows.join(_own_shingles(sets), "node"), "neardup-open")
-        for pairs in (_hub_pairs, _remaining_pairs):
-            more = stored(pairs(rows, sets, tested), "neardup-open-pairs")
-            tested = tested.union(stored(verified(more, texts), "neardup-tested"))
-            labels = components(tested.filter(linked))
-            rows = rows.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        before = None
+        while True:
+            # Hubs of what isn't in a bucket's largest component, as long as that halves with each round.
+            apart = stored(_apart(rows) if before else rows, "neardup-left")
+            left = apart.select("node").distinct().count()
+            if not left:
+                break
+            done = before is not None and 2 * left > before
+            before = left
+            pairs = _remaining_pairs(rows, sets, tested) if done else _hub_pairs(apart, sets, tested)
+            new = stored(verified(stored(pairs, "neardup-open-pairs"), texts), "neardup-tested")
+            tested = tested.union(new)
+            labels = _relabelled(labels, new.filter(linked))
+            if done:
+                break
+            rows = stored(rows.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "neardup-open")
     by_class = classes.select("node", "least_doc").join(labels, "node", "left").select("node", "least_doc", F.coalesce("comp", "node").alias("comp"))
     return stored(by_class, "neardup-components")
 
@@ -272,6 +284,22 @@ def _open_rows(placed: DataFrame, tested: DataFrame, labels: DataFrame) -> DataF
     return placed.join(open_keys, "key", "left_semi").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """The open rows outside their bucket's largest component."""
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"))
+    return rows.join(sizes.select("key", F.col("m.comp").alias("main")), "key").filter(F.col("comp") != F.col("main")).drop("main")
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after further links: only the components that these join are gone through again."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    every = stored(labels.union(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("comp"))), "neardup-labels")
+    a, b = every.select(F.col("node").alias("a"), F.col("comp").alias("ca")), every.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    joined = components(links.select("a", "b").join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a != b"))
+    moved = every.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
+    return stored(moved.select("node", F.coalesce("to", "comp").alias("comp")), "neardup-labels")
+
+
 def _sets(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, id, items) of the open nodes: their shingles, and a shorter name."""
 

@@ -72,6 +72,26 @@ def test_near_duplicates_against_all_pairs(spark, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_families_within_one_bucket(spark, monkeypatch):
+    """Texts of one page frame in families that are alike only within: hubs settle them family by family."""
+    rng = random.Random(5)
+    frame = [f"frame{k}" for k in range(70)]
+    rows = []
+    for g in range(5):
+        own = frame + [f"g{g}_{k}" for k in range(28)]
+        for _ in range(12):
+            words = list(own)
+            words[rng.randrange(98)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    rounds = []
+    hubs = neardup._hub_pairs
+    monkeypatch.setattr(neardup, "_hub_pairs", lambda *a: rounds.append(1) or hubs(*a))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    comp, _ = brute_components(rows)
+    assert {r.doc_id: r.component_id for r in got} == comp and len(set(comp.values())) >= 5
+    assert len(rounds) >= 1
+
+
 def test_near_duplicates_of_odd_rows(spark, docs, no_docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = neardup.near_duplicates(docs).collect()
