@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 from typing import Any
@@ -140,6 +141,32 @@ def encode_document(src: bytes, doc: Document, options: Options = Options(), ver
     return _framed(_Writer(options).node(src, reader.value()), options.framing)
 
 
+class _Repeated(Exception):
+    """An object has a name twice."""
+
+
+def _names(pairs: list[tuple[str, Any]]) -> None:
+    if len({k for k, _ in pairs}) != len(pairs):
+        raise _Repeated
+
+
+_GAPS = re.compile(rb'("[^"]*+")|[ \t\n\r]++')
+
+
+def compacted(text: bytes, options: Options = Options()) -> bytes | None:
+    """What encode_value() gives for the value of a checked text, without making the value; None where that is needed.
+
+    Without escapes and repeated names the compact text is the text without its gaps.
+    """
+    if options.indent is not None or options.sort_keys or options.ascii or options.dialect != "rfc8259" or b"\\" in text:
+        return None
+    try:
+        json.loads(text, object_pairs_hook=_names, parse_int=str, parse_float=str)
+    except _Repeated:
+        return None
+    return _framed(_GAPS.sub(rb"\1", text).decode(), options.framing)
+
+
 def plan_parts(v: Any, least: int = LEAST_ITEMS) -> list[range]:
     """Ranges of a top-level array's items that can be written apart; one empty plan for other values."""
     if not isinstance(v, list) or len(v) < 2 * least:

@@ -274,15 +274,17 @@ def encoded(df: DataFrame, column: str, out: str = "encoded", options: Any = Non
 
     Documents of a less strict reading are refused by the writer of tokens. In mode permissive also issue.
     """
-    from lodestream.functions.encode import Options, encode_document, encode_value
+    from lodestream.functions.encode import Options, compacted, encode_document, encode_value
 
     options = replace(options or Options(), dialect=dialect)
     request = m.Request((m.Whole(),), strictness=strictness, dialect=dialect)
 
     def each(src: bytes) -> str:
         answer = walk.scan(src, request).answers[0]
-        plain = dialect == "rfc8259" and not verbatim
-        return (encode_value(walk.materialize(src, answer), options) if plain else encode_document(src, answer, options, verbatim)).decode()
+        if dialect != "rfc8259" or verbatim:
+            return encode_document(src, answer, options, verbatim).decode()
+        made = compacted(src[answer.start : answer.end], options) if strictness != "lazy" else None
+        return (encode_value(walk.materialize(src, answer), options) if made is None else made).decode()
 
     return _mapped(df, column, df.columns if keep is None else keep, *_or_issue(mode, out, each))
 

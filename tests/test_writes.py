@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from lodestream.functions import edit as edit_module
 from lodestream.functions import lexer, values
 from lodestream.functions.edit import Clear, Comment, Delete, Insert, ReplaceMember, Set, edit, edit_document
-from lodestream.functions.encode import Options, encode_document, encode_part, encode_value, plan_parts, stitch_parts
+from lodestream.functions.encode import Options, compacted, encode_document, encode_part, encode_value, plan_parts, stitch_parts
 from lodestream.plans import walk
 from lodestream.plans.model import JsonError, Request, Whole, steps
 from lodestream.sources.framing import adjacent_prefix, complete_prefix, frames, partition
@@ -29,6 +29,16 @@ def test_round_trip(value):
     assert json.loads(encode_value(lexer.parse(json.dumps(value)))) == value
 
 
+@given(JSON, st.sampled_from([None, 1]), st.booleans())
+def test_compact_texts(value, indent, ascii):
+    text = json.dumps(value, indent=indent, ensure_ascii=ascii).encode("utf-8", "replace")
+    want = encode_value(lexer.parse(text))
+    for options in (Options(), Options(framing="ndjson"), Options(sort_keys=True), Options(indent=2)):
+        assert compacted(text, options) in (None, encode_value(lexer.parse(text), options))
+    assert (b"\\" in text) == (compacted(text) is None) and compacted(b'{"x": 1, "x": 2}') is None
+    assert compacted(text) in (None, want)
+
+
 def test_spellings_survive():
     text = '{"b":[1.50,-0,1e2,123456789012345678901234567890],"a":"caf\\u00e9\\n\\u0001"}'
     assert encode_value(lexer.parse(text)).decode() == '{"b":[1.50,-0,1e2,123456789012345678901234567890],"a":"café\\n\\u0001"}'
