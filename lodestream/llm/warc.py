@@ -1,7 +1,8 @@
 """WARC archives: written with revisit records for repeated payloads, read by boundary-chain verification.
 
 Writing: pages with equal payloads of some size become one response and revisits of it. Records are text rows that Spark's
-own writer separates by two line ends, so archives land in any store Spark can write.
+own writer separates by two line ends, so archives land in any store Spark can write. They are plain unless asked for
+otherwise, since tasks can only share plain archives.
 
 Reading: Spark's text reader deals ranges of the archives out to tasks, as runs of bytes between one magic at a line's start
 and the next, so no header is ever cut. A run that parses as a header is a candidate; it names its successor, the byte after
@@ -23,13 +24,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestream.llm.common import fresh_path, ship, stored
+from lodestream.llm.common import fresh_path, passing, ship, small_batches, stored
 
 #: Payloads below this many bytes are always written in full.
 LEAST_REVISIT_BYTES = 100
-#: Records in one archive file, at most.
+#: Records in one packed archive, at most.
 RECORDS_PER_FILE = 2000
-#: Rows of one payload go to so many tasks when they are joined with its response.
+#: Bytes of repeated payloads' digests and responses that are broadcast, at most, and of one without its page_id.
+BROADCAST_BYTES = 64 << 20
+DIGEST_BYTES = 96
+#: Rows of one payload go to so many tasks when they are shuffled to its response.
 SALTS = 16
 MAGIC, EOL = "WARC/1.1\r\n", "\r\n"
 #: Bytes of payloads in an output batch, about; longer pieces of a cut record are handed out in parts.
@@ -60,15 +64,24 @@ def revisits(pages: DataFrame, page_id: str = "page_id", payload: str = "html")
 def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """One record a row, as text: its headers, an empty line, and the payload unless it is a revisit.
 
-    A row whose page_id is the response's own is a response, even if rows repeat. Short payloads meet nothing in the join,
-    and rows of one payload are spread, so no payload's rows gather in one task.
+    A row whose page_id is the response's own is a response, even if rows repeat. Repeated payloads' digests are counted
+    first: they go out in a broadcast while their measured size allows, and payloads stay where they are; beyond it rows
+    are shuffled by digest. Short payloads meet nothing in the join, and rows of one payload are spread, so no payload's
+    rows gather in one task.
     """
     body = F.coalesce(F.col(payload), F.lit(""))
     own = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.regexp_replace(F.col(url), r"[\r\n]", ""), F.lit("")).alias("url"), body.alias("body"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("n"))
-    spread = F.xxhash64("page_id", "url")
-    own = own.withColumn("__key", F.when(F.col("n") >= LEAST_REVISIT_BYTES, F.col("digest"))).withColumn("__salt", F.when(F.col("n") >= LEAST_REVISIT_BYTES, F.pmod(spread, F.lit(SALTS))).otherwise(spread))
-    known = revisits(pages, page_id, payload).select(F.col("digest").alias("__key"), "response", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__salt"))
-    joined = own.join(known, ["__key", "__salt"], "left")
+    long_enough = F.col("n") >= LEAST_REVISIT_BYTES
+    own = own.withColumn("__key", F.when(long_enough, F.col("digest")))
+    known = stored(revisits(pages, page_id, payload).select(F.col("digest").alias("__key"), "response"), "warc-revisits")
+    size = known.agg(F.sum(F.octet_length(F.col("response").cast("string")) + DIGEST_BYTES)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        joined = own.join(F.broadcast(known), "__key", "left")
+    else:
+        spread = F.xxhash64("page_id", "url")
+        own = own.withColumn("__salt", F.when(long_enough, F.pmod(spread, F.lit(SALTS))).otherwise(spread))
+        known = known.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = own.join(known, ["__key", "__salt"], "left")
     again = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit(EOL))
     head = F.concat(
@@ -87,9 +100,13 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", payloa
     return joined.select(F.concat(head, F.when(again, "").otherwise(F.col("body"))).alias("value"))
 
 
-def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Writes the pages as gzipped WARC files below path; files hold at most records_per_file records."""
-    records(pages, page_id, url, payload).write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", records_per_file: int | None = None, packed: bool = False) -> None:
+    """Writes the pages as WARC files below path, plain or gzipped; files hold at most records_per_file records.
+
+    Many tasks read a plain archive, so it may have any size; a packed one is one task's, so it is bounded if nothing is said.
+    """
+    most = records_per_file or (RECORDS_PER_FILE if packed else 0)
+    records(pages, page_id, url, payload).write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", most).option("compression", "gzip" if packed else "none").text(path)
 
 
 #: What stands between two runs.
@@ -193,11 +210,14 @@ def first_records(runs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 _FIELDS = (("type", b"warc-type"), ("record_id", b"warc-record-id"), ("url", b"warc-target-uri"), ("refers_to", b"warc-refers-to"), ("digest", b"warc-payload-digest"), ("length", b"payload-length"))
-_ROW = pa.schema([("part", pa.string()), ("path", pa.string()), ("offset", pa.int64()), *[(n, pa.string()) for n, _ in _FIELDS], ("at", pa.int64()), ("block", pa.binary()), ("block_sha256", pa.string())])
+_ROW = pa.schema([("part", pa.string()), ("path", pa.string()), ("offset", pa.int64()), *[(n, pa.string()) for n, _ in _FIELDS], ("at", pa.int64()), ("block", pa.binary()), ("block_bytes", pa.int64()), ("block_sha256", pa.string())])
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of whole records, and of cut ones: their beginning, and the pieces that later ranges hold."""
+def _read(batches: Iterator[pa.RecordBatch], blocks: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of whole records, and of cut ones: their beginning, and the pieces that later ranges hold.
+
+    Whole records come without their blocks unless these are asked for; the others' are needed to make them whole.
+    """
     rows: list[tuple] = []
     held = 0
 
@@ -220,9 +240,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(block: bytes, done: bool) -> None:
             if fields is None:
                 if block:
-                    rows.append(("piece", path, offset, *[None] * len(_FIELDS), content, block, None))  # noqa: B023
+                    rows.append(("piece", path, offset, *[None] * len(_FIELDS), content, block, None, None))  # noqa: B023
+            elif fields and done:
+                rows.append(("record", path, offset, *fields, content, block if blocks else None, len(block), hashlib.sha256(block).hexdigest()))  # noqa: B023
             elif fields:
-                rows.append(("record" if done else "beginning", path, offset, *fields, content, block, hashlib.sha256(block).hexdigest() if done else None))  # noqa: B023
+                rows.append(("beginning", path, offset, *fields, content, block, None, None))  # noqa: B023
 
         for at, here, pos, data in _placed(runs, base):
             if at >= follows:
@@ -262,33 +284,35 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _rows(runs: DataFrame, known: DataFrame | None) -> DataFrame:
-    schema = "part string, path string, offset long, " + ", ".join(f"{n} string" for n, _ in _FIELDS) + ", at long, block binary, block_sha256 string"
+def _rows(runs: DataFrame, known: DataFrame | None, blocks: bool) -> DataFrame:
+    schema = "part string, path string, offset long, " + ", ".join(f"{n} string" for n, _ in _FIELDS) + ", at long, block binary, block_bytes long, block_sha256 string"
     names = ["base", "total", "first", "open", "open_to", "ends"]
     if known is None:
         dealt = runs.select("path", "start", *[F.lit(None).cast("boolean" if n == "ends" else "long").alias(n) for n in names], "run")
     else:
         # One row of some 150 bytes for each range of an archive, so about 1 MB for each TB.
         dealt = runs.join(F.broadcast(known), ["path", "start"], "left").select("path", "start", *names, "run")
-    return dealt.mapInArrow(_read, schema)
+    return dealt.mapInArrow(lambda batches: _read(batches, blocks), schema)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(path, offset, type, record_id, url, refers_to, digest, length, block, block_sha256) of the archives' records.
+def read(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
+    """(path, offset, type, record_id, url, refers_to, digest, length, block, block_bytes, block_sha256) of the archives'
+    records; without the column block if blocks is false.
 
     Archives may be plain or packed. A packed one is one task's stream and is read as the result is; plain ones are read in
     ranges by many tasks, and their records are written to the shared folder. digest and length are the record's own
-    headers; block_sha256 is computed from the bytes read. A record's block is one value, so it is bounded by Spark's 2 GB.
-    An archive whose chain of records breaks fails the query.
+    headers; block_bytes and block_sha256 are computed from the bytes read. A record's block is one value, so it is bounded
+    by Spark's 2 GB. An archive whose chain of records breaks fails the query.
     """
     ship(spark)
+    small_batches(spark)
     lines = spark.read.option("lineSep", _BETWEEN.decode()).text(path)
     runs = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("run"))
     packed = F.col("path").rlike(r"\.(gz|bz2|zst|lz4|snappy|deflate)$")
-    columns = ["path", "offset", *[n for n, _ in _FIELDS], "block", "block_sha256"]
+    columns = ["path", "offset", *[n for n, _ in _FIELDS], *(["block"] if blocks else []), "block_bytes", "block_sha256"]
     # Names and lengths only; no file is read.
     plain = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).filter(~packed)
-    streamed = _rows(runs.filter(packed), None).select(columns)
+    streamed = _rows(runs.filter(packed), None, blocks).select(columns)
     if plain.isEmpty():
         return streamed
     # Both readings must deal the same ranges, even if executors come or go between them.
@@ -296,19 +320,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     before = spark.conf.get(setting, None)
     spark.conf.set(setting, before or str(spark.sparkContext.defaultParallelism))
     try:
-        known = stored(first_records(runs.filter(~packed), plain), "warc-ranges")
-        rows = stored(_rows(runs.filter(~packed), known), "warc-records")
+        with passing(spark) as keep:
+            known = stored(first_records(runs.filter(~packed), plain), "warc-ranges")
+            rows = stored(_rows(runs.filter(~packed), known, blocks), "warc-records")
+            keep(rows._lodestream_path)
     finally:
         spark.conf.set(setting, before) if before else spark.conf.unset(setting)
     cut = rows.filter("part != 'record'")
     pieces = F.array_sort(F.collect_list(F.when(F.col("part") == "piece", F.struct("at", "block"))))
     joined = F.aggregate(pieces, F.max(F.when(F.col("part") == "beginning", F.col("block"))), lambda x, p: F.concat(x, p["block"]))
-    made = cut.groupBy("path", "offset").agg(*[F.max(n).alias(n) for n, _ in _FIELDS], joined.alias("block")).withColumn("block_sha256", F.sha2("block", 256))
+    made = cut.groupBy("path", "offset").agg(*[F.max(n).alias(n) for n, _ in _FIELDS], joined.alias("block")).withColumn("block_bytes", F.octet_length("block").cast("long")).withColumn("block_sha256", F.sha2("block", 256))
     return streamed.unionByName(rows.filter("part = 'record'").select(columns)).unionByName(made.select(columns))
 
 
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """Writes the pages as archives in the shared folder and reads them back: one row for each page.
+    """Writes the pages as plain archives in the shared folder and reads them back in ranges: one row for each page.
 
     page_id, payload_bytes and payload_digest (of the full payload; a revisit's come from its headers, a response's from
     the bytes read), record_type, and refers_to, the response's page_id for revisits. Null payloads are empty. A null
@@ -318,7 +344,7 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", pay
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
     write(pages, folder, page_id, url, payload)
-    return digests(read(spark, folder), pages.schema[page_id].dataType)
+    return digests(read(spark, folder, blocks=False), pages.schema[page_id].dataType)
 
 
 def digests(found: DataFrame, kind: T.DataType | None = None) -> DataFrame:
@@ -326,7 +352,7 @@ def digests(found: DataFrame, kind: T.DataType | None = None) -> DataFrame:
     again = F.col("type") == "revisit"
     return found.select(
         id_of(F.col("record_id"), kind).alias("page_id"),
-        F.when(again, F.col("length").cast("long")).otherwise(F.octet_length("block")).cast("long").alias("payload_bytes"),
+        F.when(again, F.col("length").cast("long")).otherwise(F.col("block_bytes")).cast("long").alias("payload_bytes"),
         F.when(again, F.regexp_replace("digest", "^sha256:", "")).otherwise(F.col("block_sha256")).alias("payload_digest"),
         F.col("type").alias("record_type"),
         id_of(F.col("refers_to"), kind).alias("refers_to"),
